@@ -39,9 +39,13 @@ def cumulate(
     those with an equal or greater one; both map an output name to
     ``(sum|min|max, input column)``. ``levels`` names bucket columns from fine
     to coarse, each a monotone function of ``order``. ``order`` must be
-    integral, unless ``distinct_order`` states that it is unique per key. Key
-    columns must not be NULL when there are levels.
+    integral, unless ``distinct_order`` states that it is unique per key. With
+    levels, rows whose key or bucket is NULL are dropped: they have no place in
+    the order. (Saying so up front also keeps the two branches below alike, so
+    that Spark computes their common input once.)
     """
+    for column in [*keys, *levels] if levels else []:
+        rows = rows.filter(F.col(column).isNotNull())
     return _fold(rows, keys, order, before, onward or {}, levels, distinct_order, strict_onward=False)
 
 
