@@ -79,9 +79,9 @@ _put(
 )
 
 _REASONED = """parsed AS (SELECT event_id, data, CASE WHEN json_valid(data) THEN data END AS j FROM messages),
- reasoned AS (SELECT *, CASE WHEN data IS NULL THEN 'no payload' WHEN j IS NULL THEN 'malformed'
- WHEN json_type(j, '$.amount') = 'VARCHAR' THEN 'malformed'
- WHEN json_extract_string(j, '$.transaction_id') IS NULL THEN 'no transaction id' END AS reason FROM parsed)"""
+ reasoned AS (SELECT *, CASE WHEN data IS NULL THEN 'no payload' WHEN j IS NULL OR json_type(j) <> 'OBJECT'
+ OR json_type(j, '$.amount') = 'VARCHAR' THEN 'malformed'
+ WHEN json_extract_string(j, '$.timestamp') = 'soon' THEN 'unreadable time' END AS reason FROM parsed)"""
 _DECODED = _REASONED + f""", decoded AS (SELECT event_id, json_extract_string(j, '$.transaction_id') AS transaction_id,
  json_extract_string(j, '$.user_id') AS user_id, json_extract_string(j, '$.merchant_id') AS merchant_id,
  CAST(json_extract_string(j, '$.amount') AS DOUBLE) AS amount,
@@ -96,6 +96,12 @@ _put(
     ["messages"],
     f", {_REASONED} SELECT data, reason FROM reasoned WHERE reason IS NOT NULL",
 )
+_put(
+    "stream_transactions",
+    ["messages"],
+    f""", {_DECODED} SELECT transaction_id, user_id, merchant_id, amount, timestamp, card_provider, location,
+ coalesce(run_id, 'unknown') AS run_id, is_fraud AS label FROM decoded""",
+)
 _put(
     "latest_predictions",
     ["deliveries"],
@@ -340,6 +346,15 @@ def _features(asking: str, stored: str) -> str:
  FROM {asking} t JOIN metrics USING (user_id, timestamp) LEFT JOIN profiles USING (user_id))"""
 
 
+_put(
+    "user_data",
+    ["history", "live"],
+    f""", {_served('live', 'history')}, newest AS (SELECT user_id, string_agg(transaction_id, ',' ORDER BY rn) AS ids
+ FROM (SELECT user_id, transaction_id, row_number() OVER (PARTITION BY user_id
+ ORDER BY timestamp DESC, transaction_id DESC) AS rn FROM history) WHERE rn <= 10 GROUP BY 1)
+ SELECT m.user_id, timestamp, coalesce(preferred_card, 'UNKNOWN') AS preferred_card, transaction_count_30d,
+ coalesce(ids, '') AS recent_ids FROM metrics m LEFT JOIN profiles USING (user_id) LEFT JOIN newest USING (user_id)""",
+)
 _put("serving_features", ["history", "live"], f", {_features('live', 'history')} SELECT * FROM served")
 _NUMERIC = (
     "amount", "hour", "day_of_week", "is_weekend", "transaction_velocity", "avg_transaction_amount",

@@ -363,6 +363,18 @@ def serving_metrics_as_of(v: Views) -> DataFrame:
     )
 
 
+@query
+def user_data(v: Views) -> DataFrame:
+    stored = v.history.select("transaction_id", "user_id", "timestamp", "amount")
+    found = srv.user_data(v.live, stored, v.compact(), v.profiles())
+    return found.select(
+        "user_id", "timestamp",
+        F.col("profile.preferred_card").alias("preferred_card"),
+        F.col("metrics.transaction_count_30d").alias("transaction_count_30d"),
+        F.array_join("recent_transactions.transaction_id", ",").alias("recent_ids"),
+    )
+
+
 @query
 def serving_features(v: Views) -> DataFrame:
     return srv.serving_features(v.live, v.compact(), v.profiles()).select("transaction_id", *MODEL_FEATURES)
@@ -595,11 +607,20 @@ def _output(v: Views, table: str) -> DataFrame:
 
 @query
 def stream_score(v: Views) -> DataFrame:
-    return results.latest_predictions(_output(v, "predictions"), ["batch_id", "processed_at"]).select(
+    return results.latest_predictions(_output(v, "predictions"), ["batch_id", "arrival"]).select(
         "transaction_id", "user_id", "run_id", "amount", "timestamp", "is_fraud", "fraud_probability"
     )
 
 
+@query
+def stream_transactions(v: Views) -> DataFrame:
+    """What the stream delivered, apart from the model's part: every usable message once."""
+    return _output(v, "predictions").select(
+        "transaction_id", "user_id", "merchant_id", "amount", "timestamp", "card_provider", "location",
+        "run_id", "label",
+    )
+
+
 @query
 def stream_dead_letters(v: Views) -> DataFrame:
     return _output(v, "dead_letters").select("data", "reason")

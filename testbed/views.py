@@ -95,7 +95,8 @@ _PAYLOAD = (
 _MESSAGE = (
     f"CASE event_id % 23 WHEN 3 THEN NULL WHEN 5 THEN substr({_PAYLOAD}, 1, 40) WHEN 7 THEN 'init:reset'"
     f" WHEN 11 THEN replace({_PAYLOAD}, '\"amount\":', '\"amount\":\"x\",\"was\":')"
-    f" WHEN 13 THEN replace({_PAYLOAD}, '\"transaction_id\"', '\"txn\"') ELSE {_PAYLOAD} END"
+    f" WHEN 13 THEN replace({_PAYLOAD}, '\"timestamp\":', '\"timestamp\":\"soon\",\"was\":')"
+    f" WHEN 17 THEN concat('[', {_PAYLOAD}, ']') ELSE {_PAYLOAD} END"
 )
 
 _RUN_OF_ORDER = "concat('run-', lpad(CAST(o_custkey % 40 AS STRING), 3, '0'))"

@@ -102,6 +102,11 @@ MESSAGES = [
     "",
     '{"init":"reset"}',
     '{"transaction_id":"a","amount":6}',
+    '[{"transaction_id":"a","amount":6}]',
+    '{"transaction_id":"e","timestamp":"soon"}',
+    '{"transaction_id":"f","timestamp":9223372036854775807}',
+    '{"transaction_id":"g","is_fraud":true,"synthetic":"odd"}',
+    "null",
 ]
 
 
@@ -109,7 +114,12 @@ def test_messages_are_decoded_or_routed(spark):
     rows = one_column(spark, MESSAGES, "STRING").withColumnRenamed("x", "data")
     good = {r["i"]: r for r in decode_messages(rows).collect()}
     bad = {r["i"]: r["reason"] for r in dead_letters(parse_messages(rows)).collect()}
-    assert sorted(good) == [0, 1, 2, 8]
+    assert sorted(good) == [0, 1, 2, 7, 8, 12]
     assert good[0]["timestamp"] == good[1]["timestamp"] == 1704067200
     assert good[2]["amount"] is None
-    assert bad == {3: "malformed", 4: "malformed", 5: "no payload", 6: "no payload", 7: "no transaction id"}
+    assert good[7]["transaction_id"] is None
+    assert (good[12]["is_fraud"], good[12]["synthetic"]) == (1, None)
+    assert bad == {
+        3: "malformed", 4: "malformed", 5: "no payload", 6: "no payload", 9: "malformed",
+        10: "unreadable time", 11: "unreadable time", 13: "malformed",
+    }

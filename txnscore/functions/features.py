@@ -22,14 +22,23 @@ UNKNOWN = "UNKNOWN"
 MONEY = "decimal(24,6)"
 
 
+# Seconds a nanosecond clock can hold; times beyond it are unusable.
+LAST_SECOND = 9_223_372_036
+
+
 def money(amount: Column) -> Column:
-    return amount.cast(MONEY)
+    """The exact amount; NULL for one that is no number (it must not fail the job)."""
+    return amount.try_cast(MONEY)
 
 
 def half_up(value: Column, digits: int) -> Column:
-    """Round by plain double arithmetic, so every engine gets the same bits."""
+    """Round by plain double arithmetic, so every engine gets the same bits.
+
+    Values too large to have such a digit stay as they are.
+    """
     scale = float(10**digits)
-    return F.floor(value * scale + 0.5) / F.lit(scale)
+    rounded = F.floor(value * scale + 0.5) / F.lit(scale)
+    return F.when(F.abs(value) < 9.0e15 / scale, rounded).otherwise(value)
 
 
 def epoch_seconds(raw: Column) -> Column:

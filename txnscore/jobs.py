@@ -8,12 +8,13 @@ tables the scoring stream writes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txnscore.config import DEFAULTS, Settings
-from txnscore.functions import features as fx
 from txnscore.ml.model import train
 from txnscore.ml.registry import ModelRegistry
 from txnscore.plans import results, runstats
@@ -21,23 +22,25 @@ from txnscore.plans.history import load_history, offline_features
 from txnscore.plans.labels import add_fraud_labels
 from txnscore.plans.profiles import user_profiles
 from txnscore.plans.serving import compact_history
+from txnscore.schemas import STATS_EVENT
+from txnscore.session import prepare as prepare_session
 from txnscore.sources import readers, sinks
 from txnscore.sources.runlog import RunLog
 from txnscore.streaming.score import ScoringJob
 from txnscore.streaming.tail import tail_results
 
 
-def load(spark: SparkSession, raw: DataFrame, root: str, seq: str | None = None) -> None:
+def load(spark: SparkSession, raw: DataFrame, root: str, seq: str | Sequence[str]) -> None:
     """Raw transactions to the history, profile and serving tables.
 
-    History files are ranges of (user, time), so a lookup by user reads few of
-    them and a hot user still spreads over several; serving files are ranges of
-    time, so a recent window reads only the newest.
+    ``seq`` orders the writes of one transaction id. History files are ranges of
+    (user, time), so a lookup by user reads few of them and a hot user still
+    spreads over several; serving files are ranges of time, so a recent window
+    reads only the newest.
     """
-    if seq is None:
-        # Without an arrival number the later timestamp counts as the later write.
-        raw = raw.withColumn("_seq", F.coalesce(fx.epoch_seconds(F.col("timestamp")), F.lit(0)))
-    ready = load_history(raw, seq or "_seq").drop("_seq")
+    prepare_session(spark)
+    order = [seq] if isinstance(seq, str) else list(seq)
+    ready = load_history(raw, order).drop(*order)
     sinks.save_table(
         ready.repartitionByRange("user_id", "timestamp").sortWithinPartitions("user_id", "timestamp"),
         f"{root}/history",
@@ -52,6 +55,7 @@ def load(spark: SparkSession, raw: DataFrame, root: str, seq: str | None = None)
 
 def build_training(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Features and labels of the whole history, as the ``training`` table."""
+    prepare_session(spark)
     features = offline_features(spark.read.parquet(f"{root}/history"))
     labelled = add_fraud_labels(features, settings.fraud_label_ratio, settings.random_state)
     sinks.save_table(labelled, f"{root}/training")
@@ -71,7 +75,8 @@ def prepare(
     spark: SparkSession, raw_path: str, root: str, settings: Settings = DEFAULTS, multiline: bool = True
 ) -> tuple[str, DataFrame]:
     """From raw JSON to a registered model."""
-    load(spark, readers.read_raw_json(spark, raw_path, multiline), root)
+    raw = readers.read_raw_json(spark, raw_path, multiline, arrival=True)
+    load(spark, raw, root, readers.ARRIVAL)
     build_training(spark, root, settings)
     return train_model(spark, root, settings)
 
@@ -104,12 +109,17 @@ def start_worker(
     files_per_trigger: int = 8,
 ) -> StreamingQuery:
     """Score the message files below ``feed`` as they arrive."""
-    job = scoring_job(spark, root, version, worker_id, settings)
+    job = scoring_job(prepare_session(spark), root, version, worker_id, settings)
     return job.start(readers.stream_messages(spark, feed, files_per_trigger), available_now)
 
 
+def stats_events(spark: SparkSession, root: str) -> DataFrame:
+    """The stats events; the declared schema also reads a table that is empty."""
+    return prepare_session(spark).read.schema(STATS_EVENT).parquet(f"{root}/stats_events")
+
+
 def worker_stats(spark: SparkSession, root: str) -> DataFrame:
-    return runstats.worker_stats(spark.read.parquet(f"{root}/stats_events"))
+    return runstats.worker_stats(stats_events(spark, root))
 
 
 def run_stats(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
@@ -142,10 +152,23 @@ def follow_results(spark: SparkSession, root: str, run_id: str | None = None) ->
     return tail_results(spark, f"{root}/results", run_id)
 
 
-def expire(spark: SparkSession, root: str, now, settings: Settings = DEFAULTS) -> None:
-    """Keep only the retained part of the stats events (rewritten through a fresh copy)."""
-    from txnscore.session import materialize
+def expire(spark: SparkSession, root: str, now: Column, settings: Settings = DEFAULTS) -> list[int]:
+    """Drop the stats event batches that are older than the retention as a whole.
 
-    path = f"{root}/stats_events"
-    kept = results.retained(spark.read.parquet(path), "timestamp", now, settings.retention_hours)
-    sinks.save_table(materialize(kept, "retained"), path, sinks.BATCH)
+    Whole batch folders are removed, so nothing is rewritten and a running
+    stream is not disturbed; readers cut exactly with ``results.retained``.
+    Returns the dropped batch ids.
+    """
+    table = f"{root}/stats_events"
+    batches = (
+        prepare_session(spark).read.parquet(table)
+        .groupBy(sinks.BATCH)
+        .agg(F.max("timestamp").alias("newest"))
+    )
+    kept = results.retained(batches, "newest", now, settings.retention_hours)
+    stale = batches.join(kept.select(sinks.BATCH), sinks.BATCH, "left_anti").select(sinks.BATCH)
+    dropped = []
+    for row in stale.toLocalIterator():
+        sinks.remove_folder(spark, f"{table}/{sinks.BATCH}={row[0]}")
+        dropped.append(row[0])
+    return dropped

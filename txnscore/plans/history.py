@@ -11,6 +11,8 @@ user is spread over many tasks; the payload rows are shuffled once, on
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,7 +171,7 @@ def recent_transactions(txns: DataFrame, limit: int = 10) -> DataFrame:
     return ranked.filter(F.col("recency") <= limit)
 
 
-def load_history(raw: DataFrame, seq: str) -> DataFrame:
+def load_history(raw: DataFrame, seq: str | Sequence[str]) -> DataFrame:
     """Historical transactions ready for use: epoch timestamps, a location where
     the coordinates give one, and one row per transaction id (the last one)."""
     ready = raw.withColumns(

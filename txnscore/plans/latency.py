@@ -41,7 +41,7 @@ def percentiles(
     """
     times = F.sum(weight) if weight else F.count(F.lit(1))
     counted = (
-        rows.filter(F.col(value).isNotNull())
+        rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
         .groupBy(*keys, value)
         .agg(times.alias("times"))
         .withColumn("bin", F.floor(F.col(value) * _BINS_PER_MS))
@@ -65,9 +65,9 @@ def mean_ms(total: Column, count: Column) -> Column:
 
 def latency_sums(value: str) -> list[Column]:
     """Partial aggregates of a latency column; the sum is exact to a nanosecond."""
-    latency = F.col(value)
+    latency = F.when(~F.isnan(value), F.col(value))
     return [
-        F.sum(latency.cast("decimal(24,6)")).alias("total_ms"),
+        F.sum(latency.try_cast("decimal(24,6)")).alias("total_ms"),
         F.min(latency).alias("min_ms"),
         F.max(latency).alias("max_ms"),
         F.count(latency).alias("latency_count"),

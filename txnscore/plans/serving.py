@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from txnscore.functions import features as fx
 from txnscore.operators.cumulate import cumulate
+from txnscore.plans.history import recent_transactions
 from txnscore.plans.profiles import PROFILE_DEFAULTS, with_profile
 
 ASK = ["user_id", "timestamp"]
@@ -152,3 +153,30 @@ def serving_features(
         "asked_at", "first_seen", "preferred_card", "home_location", "registration_date",
         "transaction_count_30d",
     )
+
+
+def user_data(
+    asks: DataFrame, history: DataFrame, compact: DataFrame, profiles: DataFrame, latest: int = 10
+) -> DataFrame:
+    """Per distinct (user, second): ``profile``, ``recent_transactions`` and ``metrics``.
+
+    The list holds at most ``latest`` transactions of the stored history,
+    newest first, so its size is bounded.
+    """
+    fields = [c for c in history.columns if c != "user_id"]
+    listed = (
+        recent_transactions(history, latest)
+        .groupBy("user_id")
+        .agg(F.array_sort(F.collect_list(F.struct("recency", F.struct(*fields).alias("txn")))).alias("ranked"))
+        .select("user_id", F.col("ranked.txn").alias("recent_transactions"))
+    )
+    metrics = (
+        "transaction_velocity", "avg_transaction_amount", "transaction_count_30d", "days_since_first_seen",
+    )
+    own_metrics = F.struct(*metrics)
+    return user_metrics(asks, compact, profiles).join(listed, "user_id", "left").select(
+        *ASK,
+        F.struct("user_id", *PROFILE_DEFAULTS).alias("profile"),
+        F.coalesce("recent_transactions", F.array()).alias("recent_transactions"),
+        F.when(F.col("timestamp") != 0, own_metrics).alias("metrics"),
+    )

@@ -28,11 +28,12 @@ RAW_TRANSACTION = _struct(
     " card_provider STRING, location STRING, vector_text STRING"
 )
 
-# Payload of one live message.
+# Payload of one live message. Fields that scoring does not need are read as
+# text, so that an odd value in them does not make the message unusable.
 LIVE_TRANSACTION = _struct(
     "transaction_id STRING, user_id STRING, merchant_id STRING, amount DOUBLE,"
     " currency STRING, timestamp STRING, card_provider STRING, location STRING,"
-    " run_id STRING, is_fraud INT, synthetic INT, device_info STRING, category STRING"
+    " run_id STRING, is_fraud STRING, synthetic STRING, device_info STRING, category STRING"
 )
 
 USER_PROFILE = _struct(
