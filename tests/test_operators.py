@@ -58,7 +58,7 @@ def test_cumulate_without_keys_over_doubles(spark):
 def test_values_at_ranks(spark, few):
     rows = random_rows(9, 400)
     df = spark.createDataFrame(rows, "i INT, k STRING, t BIGINT, x BIGINT").withColumn("bin", F.floor(F.col("t") / 40))
-    ranks = lambda n: F.array(F.lit(0), F.floor(n / 2), n - 1, n)
+    ranks = lambda n: [F.lit(0), F.floor(n / 2), n - 1, n]
     got = values_at_ranks(df, ["k"], ["bin"], "t", ranks, few_keys=few).collect()
     for key in {r[1] for r in rows}:
         times = sorted(r[2] for r in rows if r[1] == key)
@@ -69,7 +69,7 @@ def test_values_at_ranks(spark, few):
 
 def test_values_at_ranks_with_weights(spark):
     df = spark.createDataFrame([(1.0, 3), (2.0, 1), (5.0, 6)], "v DOUBLE, w INT").withColumn("bin", F.floor("v"))
-    got = values_at_ranks(df, [], ["bin"], "v", lambda n: F.array(*[F.lit(i) for i in range(10)]), weight="w")
+    got = values_at_ranks(df, [], ["bin"], "v", lambda n: [F.lit(i) for i in range(10)], weight="w")
     assert [r["value"] for r in got.orderBy("slot").collect()] == [1.0] * 3 + [2.0] + [5.0] * 6
 
 

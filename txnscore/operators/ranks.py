@@ -19,7 +19,7 @@ def values_at_ranks(
     keys: Sequence[str],
     bins: Sequence[str],
     value: str,
-    ranks: Callable[[Column], Column],
+    ranks: Callable[[Column], Sequence[Column]],
     weight: str | None = None,
     few_keys: bool = False,
 ) -> DataFrame:
@@ -27,7 +27,7 @@ def values_at_ranks(
 
     ``bins`` are columns from coarse to fine; sorting by them and then by
     ``value`` must equal sorting by ``value``. ``ranks`` maps the row count of
-    a key to an array of ranks; ``weight`` counts a row several times. Returns
+    a key to the wanted ranks; ``weight`` counts a row several times. Returns
     one row per key and rank: ``keys, slot, value, n``. ``few_keys`` states
     that the number of keys has a small fixed bound (a class label, or none),
     which bounds the rank targets too, so these are broadcast; otherwise Spark
@@ -35,6 +35,7 @@ def values_at_ranks(
     """
     count = F.sum(weight) if weight else F.count(F.lit(1))
     prefix = list(keys)
+    slots: list[str] = []
     targets: DataFrame | None = None
     for level in [*bins, value]:
         part = rows
@@ -48,32 +49,29 @@ def values_at_ranks(
         )
         counted = counted.withColumn("before", before)
         if targets is None:
-            counted = counted.withColumn(
-                "n", F.sum("freq").over(Window.partitionBy(*prefix))
-            ).withColumn(
-                "wanted",
-                F.transform(
-                    ranks(F.col("n")),
-                    lambda rank, slot: F.struct(slot.alias("slot"), rank.cast("bigint").alias("rank")),
-                ),
+            counted = counted.withColumn("n", F.sum("freq").over(Window.partitionBy(*prefix)))
+            wanted = list(ranks(F.col("n")))
+            slots = [f"slot{i}" for i in range(len(wanted))]
+            counted = counted.withColumns(
+                {slot: rank.cast("bigint") for slot, rank in zip(slots, wanted)}
             )
         else:
             # One target row per prefix, so this join pairs each bin with one row.
             counted = counted.join(F.broadcast(targets) if few_keys else targets, prefix)
-        inside = F.filter(
-            "wanted",
-            lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("freq")),
-        )
-        rest = F.transform(
-            inside,
-            lambda w: F.struct(w["slot"].alias("slot"), (w["rank"] - F.col("before")).alias("rank")),
-        )
         prefix = [*prefix, level]
-        targets = (
-            counted.withColumn("wanted", rest)
-            .filter(F.size("wanted") > 0)
-            .select(*prefix, "n", "wanted")
-        )
-    return targets.select(
-        *keys, F.explode("wanted.slot").alias("slot"), F.col(value).alias("value"), "n"
+        targets = counted.select(
+            *prefix,
+            "n",
+            # The rank inside this bin, NULL for a slot that lies in another one.
+            *[
+                F.when(
+                    F.col(s).between(F.col("before"), F.col("before") + F.col("freq") - 1),
+                    F.col(s) - F.col("before"),
+                ).alias(s)
+                for s in slots
+            ],
+        ).filter(F.coalesce(*slots).isNotNull())
+    found = F.array(*[F.when(F.col(s).isNotNull(), F.lit(i)) for i, s in enumerate(slots)])
+    return targets.select(*keys, F.explode(found).alias("slot"), F.col(value).alias("value"), "n").filter(
+        F.col("slot").isNotNull()
     )

@@ -23,12 +23,12 @@ def _position(n: Column, q: float) -> Column:
     return F.when(n >= SMALL_SAMPLE, (n - 1) * F.lit(q)).otherwise(F.floor(n * F.lit(q)).cast("double"))
 
 
-def _wanted_ranks(n: Column) -> Column:
+def _wanted_ranks(n: Column) -> list[Column]:
     spots = []
     for _, q in PERCENTILES:
         at = _position(n, q)
         spots += [F.floor(at), F.ceil(at)]
-    return F.array(*spots)
+    return spots
 
 
 def percentiles(
