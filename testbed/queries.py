@@ -607,7 +607,7 @@ def _output(v: Views, table: str) -> DataFrame:
 
 @query
 def stream_score(v: Views) -> DataFrame:
-    return results.latest_predictions(_output(v, "predictions"), ["batch_id", "arrival"]).select(
+    return results.latest_predictions(_output(v, "predictions"), ["processed_at", "batch_id", "arrival"]).select(
         "transaction_id", "user_id", "run_id", "amount", "timestamp", "is_fraud", "fraud_probability"
     )
 

@@ -129,10 +129,10 @@ def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
     worker(spark, root, feed, version)
     stored = spark.read.parquet(f"{root}/predictions")
     assert stored.count() == 70 + 22
-    streamed = latest_predictions(stored, ["batch_id", "arrival"])
+    streamed = latest_predictions(stored, ["processed_at", "batch_id", "arrival"])
     assert streamed.count() == 91
 
-    job = jobs.scoring_job(spark, root, version, settings=SETTINGS)
+    job = jobs.scoring_job(spark, root, version, worker_id="w1", settings=SETTINGS)
     batch = job.predict(decode_messages(spark.read.parquet(feed).distinct()))
     columns = ["transaction_id", "amount", "user_id", "is_fraud", "label", "fraud_probability"]
     assert sorted(map(tuple, streamed.select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
@@ -147,6 +147,16 @@ def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
     job.process(spark.createDataFrame([(message(i),) for i in range(40)], "data STRING"), 0)
     assert spark.read.parquet(f"{root}/predictions").filter("batch_id = 0").count() == 40
 
+    # A second query on its own feed keeps its output apart.
+    other_feed = str(tmp_path / "feed2")
+    write_feed(spark, other_feed, [[message(i, "run-3") for i in range(200, 205)]])
+    second = jobs.start_worker(spark, root, other_feed, version, "w2", SETTINGS, available_now=True)
+    assert second.awaitTermination(300)
+    events = spark.read.parquet(f"{root}/stats_events")
+    assert {(r["worker_id"], r["source"]) for r in events.select("worker_id", "source").distinct().collect()} == {
+        ("w1", "w1"), ("w2", "w2")}
+    assert events.filter("worker_id = 'w1'").count() == 92
+
     log = RunLog(spark, f"{root}/runs")
     log.start("run-1", "wave", 10.0, 0.2, 2)
     log.complete("run-1", transactions=70)
@@ -156,13 +166,13 @@ def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
     assert [r["run_id"] for r in listed] == ["run-2", "run-1"]
     assert [(r["pattern"], r["complete"]) for r in listed] == [("spike", False), ("wave", True)]
     stats = jobs.run_stats(spark, root, "run-1").first()
-    assert stats["worker_ids"] == "w1" or "spark" in stats["worker_ids"]
+    assert stats["worker_ids"] == "w1"
     assert jobs.run_stats(spark, root).first()["run_id"] == "run-2"
     assert jobs.run_stats(spark, root, "run-2").first()["transactions"] == 20
     jobs.export_run_stats(spark, root, str(tmp_path / "json"), "run-2")
     assert json.loads(spark.read.text(str(tmp_path / "json")).first()[0])["transactions"] == 20
     newest = jobs.latest_results(spark, root, 5).collect()
-    assert len(newest) == 5 and {r["batch_id"] for r in newest} == {2}
+    assert len(newest) == 5 and {r["run_id"] for r in newest} == {"run-3"}
     assert jobs.latest_results(spark, root, 100, "run-2").count() == 20
 
     tail = lambda: drain(
@@ -174,13 +184,13 @@ def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
     newest_at = spark.read.parquet(f"{root}/stats_events").agg(F.max("timestamp")).first()[0]
     assert jobs.expire(spark, root, F.lit(newest_at), SETTINGS) == []
     later = F.lit(newest_at) + F.expr("INTERVAL 25 HOURS")
-    assert sorted(jobs.expire(spark, root, later, SETTINGS)) == [0, 1, 2]
+    assert sorted(jobs.expire(spark, root, later, SETTINGS)) == [("w1", 0), ("w1", 1), ("w1", 2), ("w2", 0)]
     assert jobs.worker_stats(spark, root).count() == 0
     with pytest.raises(ValueError):
-        sinks.remove_folder(spark, f"{root}/models/batch_id=0")
+        sinks.remove_folder(spark, f"{root}/models/source=w1/batch_id=0")
 
     left = {r["table"]: r["rows"] for r in sinks.purge(spark, root, ("predictions",)).collect()}
-    assert left == {"predictions": 0}
+    assert left == {"predictions": 0, "scored": 0}
     assert spark.read.parquet(f"{root}/results").count() > 0
     with pytest.raises(ValueError):
         sinks.purge(spark, root, ("everything",))

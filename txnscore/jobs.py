@@ -145,30 +145,29 @@ def latest_results(spark: SparkSession, root: str, limit: int = 10, run_id: str
     newest = typed.withColumn(
         "processed_at", F.to_timestamp(F.get_json_object("data", "$.processed_at"))
     )
-    return results.latest_results(newest, ["batch_id", "processed_at", "transaction_id"], limit, run_id)
+    return results.latest_results(newest, ["processed_at", "batch_id", "transaction_id"], limit, run_id)
 
 
 def follow_results(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
     return tail_results(spark, f"{root}/results", run_id)
 
 
-def expire(spark: SparkSession, root: str, now: Column, settings: Settings = DEFAULTS) -> list[int]:
+def expire(spark: SparkSession, root: str, now: Column, settings: Settings = DEFAULTS) -> list[tuple[str, int]]:
     """Drop the stats event batches that are older than the retention as a whole.
 
     Whole batch folders are removed, so nothing is rewritten and a running
     stream is not disturbed; readers cut exactly with ``results.retained``.
-    Returns the dropped batch ids.
+    Returns the dropped (source, batch id) pairs.
     """
     table = f"{root}/stats_events"
+    folder = [sinks.SOURCE, sinks.BATCH]
     batches = (
-        prepare_session(spark).read.parquet(table)
-        .groupBy(sinks.BATCH)
-        .agg(F.max("timestamp").alias("newest"))
+        prepare_session(spark).read.parquet(table).groupBy(*folder).agg(F.max("timestamp").alias("newest"))
     )
     kept = results.retained(batches, "newest", now, settings.retention_hours)
-    stale = batches.join(kept.select(sinks.BATCH), sinks.BATCH, "left_anti").select(sinks.BATCH)
+    stale = batches.join(kept.select(*folder), folder, "left_anti").select(*folder)
     dropped = []
-    for row in stale.toLocalIterator():
-        sinks.remove_folder(spark, f"{table}/{sinks.BATCH}={row[0]}")
-        dropped.append(row[0])
+    for source, batch_id in stale.toLocalIterator():
+        sinks.remove_folder(spark, sinks.batch_folder(table, source, batch_id))
+        dropped.append((source, batch_id))
     return dropped
