@@ -112,7 +112,7 @@ _put(
 
 _RUN_FIELDS = (
     "start_time", "end_time", "pattern", "target_tps", "fraud_ratio", "thread_count",
-    "complete", "transactions", "fraud_count",
+    "complete", "transactions", "fraud_count", "duration_seconds", "actual_tps",
 )
 _RUN_DEFAULTS = {"pattern": "'constant'", "target_tps": "0e0", "fraud_ratio": "0.1e0", "thread_count": "1", "complete": "false"}
 
@@ -440,7 +440,7 @@ _WORKERS = f"""masked AS (SELECT * REPLACE (CASE WHEN worker_id <> 'generator' T
  lat AS ({_latency('masked', 'run_id, worker_id')}),
  counts AS (SELECT run_id, worker_id, count(*) AS transactions, CAST(sum(is_fraud) AS BIGINT) AS fraud_count,
  max(batch_size) AS batch_size, min(timestamp) AS start_time, {_SPAN} AS processing_time FROM results GROUP BY 1, 2),
- workers AS (SELECT run_id, worker_id, transactions, fraud_count, batch_size, start_time, processing_time, {_ZERO},
+ workers AS (SELECT run_id, worker_id, transactions, fraud_count, batch_size, false AS parallel_mode, 1 AS threads, start_time, processing_time, {_ZERO},
  coalesce(count, 0) AS latency_count, {_per_second('transactions', 'processing_time')} AS throughput,
  {_share('fraud_count', 'transactions')} AS fraud_ratio FROM counts LEFT JOIN lat USING (run_id, worker_id))"""
 _put("worker_stats", ["results"], f", {_WORKERS} SELECT * FROM workers")
@@ -519,11 +519,11 @@ def _run_stats(workers: str) -> str:
  string_agg(worker_id, ',' ORDER BY worker_id) AS worker_ids, {_merge('latency_count')}
  FROM chosen WHERE worker_id <> 'generator' GROUP BY run_id),
  gen AS (SELECT run_id, sum(transactions) AS gt, sum(fraud_count) AS gf FROM chosen WHERE worker_id = 'generator' GROUP BY run_id),
- picked AS (SELECT r.run_id, start_time, end_time, pattern, target_tps, fraud_ratio AS target_fraud_ratio, thread_count,
+ picked AS (SELECT r.run_id, r.start_time, r.end_time, r.pattern, target_tps, fraud_ratio AS target_fraud_ratio, thread_count,
  complete, CAST(coalesce(wt, gt, nullif(transactions, 0), 0) AS BIGINT) AS transactions,
  CAST(CASE WHEN wt IS NOT NULL THEN wf WHEN gt IS NOT NULL THEN gf WHEN transactions > 0 THEN coalesce(fraud_count, 0)
  ELSE 0 END AS BIGINT) AS fraud_count, {_ZERO}, coalesce(latency_count, 0) AS latency_count,
- coalesce(CAST(epoch_us(end_time) - epoch_us(start_time) AS DOUBLE) / 1e6, 0e0) AS duration_seconds,
+ coalesce(CAST(epoch_us(r.end_time) - epoch_us(r.start_time) AS DOUBLE) / 1e6, 0e0) AS duration_seconds,
  coalesce(worker_count, 0) AS worker_count, coalesce(worker_ids, '') AS worker_ids
  FROM runs r LEFT JOIN real USING (run_id) LEFT JOIN gen USING (run_id)),
  stats AS (SELECT *, {_per_second('transactions', 'duration_seconds')} AS actual_tps,
@@ -568,11 +568,15 @@ _put(
  FROM real WHERE latency_count > 0 GROUP BY 1),
  marks AS (SELECT run_id, {', '.join(f"quantile_cont(x, {q}) AS {n}" for n, q in (('p50_ms', 0.5), ('p95_ms', 0.95), ('p99_ms', 0.99)))}
  FROM spread GROUP BY 1),
- heads AS (SELECT run_id, sum(transactions) AS wt, count(*) AS workers FROM real GROUP BY 1)
- SELECT run_id, pattern, complete, CAST(coalesce(transactions, wt, 0) AS BIGINT) AS transaction_count,
- coalesce(workers, 0) AS workers, coalesce({_r2('avg_ms')}, 0e0) AS avg_ms,
- {', '.join(f"coalesce(CASE WHEN samples < 10 THEN {_r2('avg_ms')} ELSE {_r2(n)} END, 0e0) AS {n}" for n in ('p50_ms', 'p95_ms', 'p99_ms'))}
- FROM runs LEFT JOIN heads USING (run_id) LEFT JOIN sums USING (run_id) LEFT JOIN marks USING (run_id)""",
+ heads AS (SELECT run_id, sum(transactions) AS wt, count(*) AS workers,
+ string_agg(worker_id, ',' ORDER BY worker_id) AS worker_ids FROM real GROUP BY 1)
+ SELECT run_id, start_time, end_time, coalesce(fraud_ratio, 0e0) AS fraud_ratio, coalesce(target_tps, 0e0) AS target_tps,
+ coalesce(actual_tps, 0e0) AS actual_tps, coalesce(duration_seconds, 0e0) AS duration_seconds,
+ CAST(coalesce(transactions, wt, 0) AS BIGINT) AS transaction_count, coalesce({_r2('avg_ms')}, 0e0) AS avg_ms,
+ {', '.join(f"coalesce(CASE WHEN samples < 10 THEN {_r2('avg_ms')} ELSE {_r2(n)} END, 0e0) AS {n}" for n in ('p50_ms', 'p95_ms', 'p99_ms'))},
+ coalesce(workers, 0) AS workers, coalesce(worker_ids, '') AS worker_ids, coalesce(pattern, 'unknown') AS pattern,
+ coalesce(complete, false) AS complete
+ FROM merged LEFT JOIN heads USING (run_id) LEFT JOIN sums USING (run_id) LEFT JOIN marks USING (run_id)""",
 )
 _put(
     "feed_stats",
@@ -587,8 +591,9 @@ _put(
     "list_runs",
     ["run_log"],
     f""", {_RUNS} SELECT run_id, start_time, end_time,
- coalesce(CAST(epoch_us(end_time) - epoch_us(start_time) AS DOUBLE) / 1e6, 0e0) AS duration, pattern, target_tps, complete
- FROM runs ORDER BY start_time DESC NULLS LAST, run_id LIMIT 10""",
+ coalesce(CAST(epoch_us(end_time) - epoch_us(start_time) AS DOUBLE) / 1e6, 0e0) AS duration,
+ coalesce(pattern, 'unknown') AS pattern, coalesce(target_tps, 0e0) AS target_tps, coalesce(complete, false) AS complete
+ FROM merged ORDER BY start_time DESC NULLS LAST, run_id LIMIT 10""",
 )
 _put(
     "run_ids",

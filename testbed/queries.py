@@ -428,7 +428,7 @@ def run_stats_generator_only(v: Views) -> DataFrame:
 
 @query
 def legacy_run_stats(v: Views) -> DataFrame:
-    return runstats.legacy_run_stats(v.runs(), v.workers())
+    return runstats.legacy_run_stats(v.run_log, v.workers())
 
 
 @query
@@ -439,7 +439,7 @@ def feed_stats(v: Views) -> DataFrame:
 
 @query
 def list_runs(v: Views) -> DataFrame:
-    return runstats.list_runs(v.runs())
+    return runstats.list_runs(v.run_log)
 
 
 @query
@@ -454,7 +454,7 @@ def base_run_keys(v: Views) -> DataFrame:
 
 @query
 def latest_run_stats(v: Views) -> DataFrame:
-    return runstats.latest_run_stats(v.runs(), v.workers())
+    return runstats.latest_run_stats(v.run_log, v.workers())
 
 
 @query

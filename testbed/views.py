@@ -202,13 +202,15 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
             "start_time": _of("O", "CAST(o_orderdate AS TIMESTAMP)"),
             "end_time": "CASE WHEN o_orderstatus = 'F' AND o_custkey % 4 <> 0"
             " THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 2000 DAY + INTERVAL 13505 SECOND END",
-            "pattern": _of("O", "CASE o_orderkey % 4 WHEN 0 THEN 'constant' WHEN 1 THEN 'wave' WHEN 2 THEN 'spike' END"),
+            "pattern": "CASE WHEN o_orderstatus = 'O' AND o_custkey % 5 <> 0 THEN " + ("CASE o_orderkey % 4 WHEN 0 THEN 'constant' WHEN 1 THEN 'wave' WHEN 2 THEN 'spike' END END"),
             "target_tps": _of("O", "floor(o_totalprice / 1000) + 0.5e0"),
             "fraud_ratio": _of("O", "CAST(o_orderkey % 30 AS DOUBLE) / 100"),
             "thread_count": _of("O", "CAST(1 + o_orderkey % 4 AS INT)"),
             "complete": "CASE WHEN o_orderstatus = 'F' AND o_custkey % 4 <> 0 THEN true END",
             "transactions": _of("P", "o_orderkey % 5000"),
             "fraud_count": _of("P", "o_orderkey % 5000 % 100"),
+            "duration_seconds": _of("P", "CAST(o_orderkey % 1000 AS DOUBLE) / 4"),
+            "actual_tps": _of("P", "CAST(o_orderkey % 300 AS DOUBLE) / 8"),
         },
         None,
     ),

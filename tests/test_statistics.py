@@ -75,11 +75,12 @@ def statistics(spark):
         AS t(run_id, seq, start_time, end_time, pattern, target_tps, fraud_ratio, thread_count, complete, transactions, fraud_count)"""
     )
     workers = runstats.worker_stats(events)
-    return runstats.runs_table(changes), workers
+    return changes, workers
 
 
 def test_run_stats(spark):
-    runs, workers = statistics(spark)
+    changes, workers = statistics(spark)
+    runs = runstats.runs_table(changes)
     got = {r["run_id"]: r for r in runstats.run_stats(runs, workers).collect()}
     assert sorted(got) == ["r1", "r2", "r3", "r4"]
     r = got["r1"]
@@ -92,15 +93,18 @@ def test_run_stats(spark):
 
 
 def test_latest_run_and_unknown_run(spark):
-    runs, workers = statistics(spark)
-    assert runstats.latest_run_stats(runs, workers).first()["run_id"] == "r4"
-    none = runs.filter("run_id = 'nope'")
+    changes, workers = statistics(spark)
+    assert runstats.latest_run_stats(changes, workers).first()["run_id"] == "r4"
+    listed = runstats.list_runs(changes, 3).collect()
+    assert [(r["run_id"], r["pattern"]) for r in listed] == [("r4", "unknown"), ("r3", "unknown"), ("r2", "unknown")]
+    none = runstats.runs_table(changes).filter("run_id = 'nope'")
     assert runstats.run_stats(none, workers).count() == 0
 
 
 def test_run_json(spark):
-    runs, workers = statistics(spark)
-    rows = runstats.run_stats_json(runstats.run_stats(runs, workers), workers).collect()
+    changes, workers = statistics(spark)
+    stats = runstats.run_stats(runstats.runs_table(changes), workers)
+    rows = runstats.run_stats_json(stats, workers).collect()
     docs = {r["run_id"]: json.loads(r["document"]) for r in rows}
     r1 = docs["r1"]
     assert r1["metadata"]["end_time"] == "2024-01-01T00:00:08" and r1["metadata"]["pattern"] == "wave"

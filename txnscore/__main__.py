@@ -26,8 +26,8 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--worker-id", default="spark")
     w.add_argument("--files-per-batch", type=int, default=8)
     w.add_argument("--once", action="store_true", help="stop when the feed is read")
-    m = jobs_.add_parser("monitor", help="run statistics, run list or latest results")
-    m.add_argument("what", choices=["stats", "runs", "latest", "workers"])
+    m = jobs_.add_parser("monitor", help="run statistics, run list, latest or arriving results")
+    m.add_argument("what", choices=["stats", "runs", "latest", "workers", "live"])
     m.add_argument("--run-id")
     m.add_argument("--count", type=int, default=10)
     m.add_argument("--json", help="write the run statistics as JSON to this folder")
@@ -52,6 +52,10 @@ def main(argv: list[str] | None = None) -> None:
         sinks.purge(spark, root, tuple(args.groups)).show()
     elif args.what == "runs":
         jobs.list_runs(spark, root, args.count).show(args.count, truncate=False)
+    elif args.what == "live":
+        jobs.latest_results(spark, root, 5, args.run_id).drop("data").show(5, truncate=False)
+        new = jobs.follow_results(spark, root, args.run_id).drop("data")
+        new.writeStream.format("console").option("truncate", False).start().awaitTermination()
     elif args.what == "latest":
         jobs.latest_results(spark, root, args.count, args.run_id).drop("data").show(args.count, truncate=False)
     elif args.what == "workers":

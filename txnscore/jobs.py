@@ -124,15 +124,15 @@ def worker_stats(spark: SparkSession, root: str) -> DataFrame:
 
 def run_stats(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
     """Statistics of one run, by default of the newest; empty if the run is unknown."""
-    runs, workers = RunLog(spark, f"{root}/runs").runs(), worker_stats(spark, root)
+    changes, workers = RunLog(spark, f"{root}/runs").changes(), worker_stats(spark, root)
     if run_id is None:
-        return runstats.latest_run_stats(runs, workers)
+        return runstats.latest_run_stats(changes, workers)
     wanted = F.col("run_id") == run_id
-    return runstats.run_stats(runs.filter(wanted), workers.filter(wanted))
+    return runstats.run_stats(runstats.runs_table(changes.filter(wanted)), workers.filter(wanted))
 
 
 def list_runs(spark: SparkSession, root: str, limit: int = 10) -> DataFrame:
-    return runstats.list_runs(RunLog(spark, f"{root}/runs").runs(), limit)
+    return runstats.list_runs(RunLog(spark, f"{root}/runs").changes(), limit)
 
 
 def export_run_stats(spark: SparkSession, root: str, path: str, run_id: str | None = None) -> None:
@@ -140,6 +140,16 @@ def export_run_stats(spark: SparkSession, root: str, path: str, run_id: str | No
     sinks.export_json(documents, path)
 
 
+def run_stats_text(spark: SparkSession, root: str, run_id: str) -> str | None:
+    """The indented JSON document of one run, None if the run is unknown."""
+    mine = F.col("run_id") == run_id
+    documents = runstats.run_stats_json(
+        run_stats(spark, root, run_id), worker_stats(spark, root).filter(mine), pretty=True
+    )
+    found = documents.first()
+    return found and found["document"]
+
+
 def latest_results(spark: SparkSession, root: str, limit: int = 10, run_id: str | None = None) -> DataFrame:
     typed = results.typed_results(spark.read.parquet(f"{root}/results"))
     newest = typed.withColumn(

@@ -39,6 +39,12 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, half_up(part / whole, 4)).otherwise(0.0)
 
 
+def _configured(events: DataFrame, name: str, fold, default: Column) -> Column:
+    """A worker setting, where the events carry it."""
+    value = F.coalesce(fold(name), default) if name in events.columns else F.first(default)
+    return value.alias(name)
+
+
 def worker_stats(events: DataFrame) -> DataFrame:
     """One row per (run, worker) from the stats events.
 
@@ -53,6 +59,8 @@ def worker_stats(events: DataFrame) -> DataFrame:
         F.sum(F.col("is_fraud").cast("int")).cast("bigint").alias("fraud_count"),
         *latency_sums("latency_ms"),
         F.max("batch_size").alias("batch_size"),
+        _configured(events, "parallel_mode", F.bool_or, F.lit(False)),
+        _configured(events, "threads", F.max, F.lit(1)),
         F.min("timestamp").alias("start_time"),
         rx.elapsed_seconds(F.min("timestamp"), F.max("timestamp")).alias("processing_time"),
     )
@@ -166,34 +174,39 @@ def run_stats(runs: DataFrame, workers: DataFrame) -> DataFrame:
     )
 
 
-def legacy_run_stats(runs: DataFrame, workers: DataFrame) -> DataFrame:
-    """Run latency with each worker's average standing in for its measurements."""
-    real = workers.filter((F.col("worker_id") != GENERATOR) & (F.col("latency_count") > 0))
-    sums = real.groupBy("run_id").agg(
+def legacy_run_stats(changes: DataFrame, workers: DataFrame) -> DataFrame:
+    """Run summaries with each worker's average standing in for its measurements."""
+    real = workers.filter(F.col("worker_id") != GENERATOR)
+    measured = real.filter(F.col("latency_count") > 0)
+    total = F.sum(F.col("avg_ms").cast("decimal(18,6)") * F.col("latency_count").cast("decimal(19,0)"))
+    sums = measured.groupBy("run_id").agg(
         F.sum("latency_count").alias("samples"),
-        (
-            F.sum(F.col("avg_ms").cast("decimal(18,6)") * F.col("latency_count").cast("decimal(19,0)")).cast("double")
-            / F.sum("latency_count")
-        ).alias("avg_ms"),
+        (total.cast("double") / F.sum("latency_count")).alias("avg_ms"),
     )
-    marks = percentiles(real, ["run_id"], "avg_ms", weight="latency_count")
+    marks = percentiles(measured, ["run_id"], "avg_ms", weight="latency_count")
     few = F.col("samples") < SMALL_SAMPLE
     named = sums.join(marks, "run_id").select(
-        "run_id", "samples", "avg_ms",
+        "run_id", "avg_ms",
         *[F.when(few, F.col("avg_ms")).otherwise(F.col(p)).alias(p) for p in ("p50_ms", "p95_ms", "p99_ms")],
     )
-    heads = workers.filter(F.col("worker_id") != GENERATOR).groupBy("run_id").agg(
-        F.sum("transactions").alias("worker_transactions"), F.count(F.lit(1)).alias("workers")
+    heads = real.groupBy("run_id").agg(
+        F.sum("transactions").alias("worker_transactions"),
+        F.array_sort(F.collect_set("worker_id")).alias("worker_ids"),
     )
-    joined = runs.join(heads, "run_id", "left").join(named, "run_id", "left")
+    joined = merge_run_changes(changes).join(heads, "run_id", "left").join(named, "run_id", "left")
+    zero = ("fraud_ratio", "target_tps", "actual_tps", "duration_seconds")
     return joined.select(
-        "run_id", "pattern", "complete",
+        "run_id", "start_time", "end_time",
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in zero],
         F.coalesce("transactions", "worker_transactions", F.lit(0)).alias("transaction_count"),
-        F.coalesce("workers", F.lit(0)).alias("workers"),
         *[
             F.coalesce(half_up(F.col(c), 2), F.lit(0.0)).alias(c)
             for c in ("avg_ms", "p50_ms", "p95_ms", "p99_ms")
         ],
+        F.coalesce(F.size("worker_ids"), F.lit(0)).alias("workers"),
+        F.coalesce(F.array_join("worker_ids", ","), F.lit("")).alias("worker_ids"),
+        F.coalesce("pattern", F.lit("unknown")).alias("pattern"),
+        F.coalesce("complete", F.lit(False)).alias("complete"),
     )
 
 
@@ -213,10 +226,11 @@ def feed_stats(feed: DataFrame) -> DataFrame:
     )
 
 
-def list_runs(runs: DataFrame, limit: int = 10) -> DataFrame:
-    """Newest runs first (a top-k report)."""
+def list_runs(changes: DataFrame, limit: int = 10) -> DataFrame:
+    """Newest runs first (a top-k report) from the run change log."""
     return (
-        runs.orderBy(F.col("start_time").desc_nulls_last(), "run_id")
+        merge_run_changes(changes)
+        .orderBy(F.col("start_time").desc_nulls_last(), "run_id")
         .limit(limit)
         .select(
             "run_id", "start_time", "end_time",
@@ -246,13 +260,13 @@ def base_run_keys(keys: DataFrame, key: str) -> DataFrame:
     return keys.filter(F.size(F.split(key, ":")) == 3)
 
 
-def latest_run_stats(runs: DataFrame, workers: DataFrame) -> DataFrame:
+def latest_run_stats(changes: DataFrame, workers: DataFrame) -> DataFrame:
     """Statistics of the most recently started run.
 
     The one run is picked first, so only its worker rows are aggregated.
     """
-    newest = list_runs(runs, 1).select("run_id").scalar()
-    return run_stats(runs.filter(F.col("run_id") == newest), workers.filter(F.col("run_id") == newest))
+    mine = F.col("run_id") == list_runs(changes, 1).select("run_id").scalar()
+    return run_stats(runs_table(changes.filter(mine)), workers.filter(mine))
 
 
 def run_report(stats: DataFrame) -> DataFrame:
@@ -289,7 +303,7 @@ def worker_report(workers: DataFrame) -> DataFrame:
     )
 
 
-def run_stats_json(stats: DataFrame, workers: DataFrame) -> DataFrame:
+def run_stats_json(stats: DataFrame, workers: DataFrame, pretty: bool = False) -> DataFrame:
     """One JSON document per run, with a map of its workers (bounded by the cluster)."""
     latency = lambda: F.struct(*LATENCY_FIELDS, F.col("latency_count").alias("count"))
     per_worker = (
@@ -299,7 +313,7 @@ def run_stats_json(stats: DataFrame, workers: DataFrame) -> DataFrame:
             *WORKER,
             F.struct(
                 "worker_id", "run_id", "transactions", "fraud_count", latency().alias("latency"),
-                "batch_size", "start_time", "processing_time",
+                "batch_size", "parallel_mode", "threads", "start_time", "processing_time",
             ).alias("worker"),
         )
         .groupBy("run_id")
@@ -320,5 +334,5 @@ def run_stats_json(stats: DataFrame, workers: DataFrame) -> DataFrame:
         F.filter(F.split("worker_ids", ","), lambda w: w != "").alias("worker_ids"),
     )
     return stats.join(per_worker, "run_id", "left").select(
-        "run_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document")
+        "run_id", F.to_json(document, {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("document")
     )
