@@ -222,3 +222,27 @@ def test_search(spark, deployed):
 def test_settings_from_environment():
     assert Settings.from_env({"TXNSCORE_FRAUD_THRESHOLD": "0.5", "TXNSCORE_NUM_TREES": "7"}).num_trees == 7
     assert Settings.from_env({}).fraud_threshold == 0.7
+
+
+def test_command_line(spark, deployed, tmp_path, capsys, monkeypatch):
+    from txnscore.__main__ import main
+
+    root, version, _ = deployed
+    feed = str(tmp_path / "feed")
+    write_feed(spark, feed, [[message(i, "run-9") for i in range(12)]])
+    RunLog(spark, f"{root}/runs").start("run-9", "wave", 5.0)
+    main(["--root", root, "worker", feed, "--once", "--worker-id", "cli", "--model-version", version])
+    main(["--root", root, "monitor", "runs"])
+    main(["--root", root, "monitor", "latest", "--run-id", "run-9", "--count", "3"])
+    main(["--root", root, "monitor", "workers", "--run-id", "run-9"])
+    main(["--root", root, "monitor", "stats", "--json", str(tmp_path / "json")])
+    shown = capsys.readouterr().out
+    assert "run-9" in shown and "wave" in shown and "In Progress" in shown and "cli" in shown
+    text = jobs.run_stats_text(spark, root, "run-9")
+    assert json.loads(text)["transactions"] == 12 and "\n" in text
+    assert jobs.run_stats_text(spark, root, "nope") is None
+    main(["--root", root, "cleanup", "predictions"])
+    assert spark.read.parquet(f"{root}/predictions").count() == 0
+    assert jobs.latest_results(spark, root, 50).count() == 12
+    with pytest.raises(ValueError):
+        main(["--root", root, "cleanup", "history"])
