@@ -23,7 +23,7 @@ from txnscore.plans import profiles as prof
 from txnscore.plans import serving as srv
 from txnscore.plans.labels import add_fraud_labels, fraud_scores, stratified_split
 from txnscore.schemas import MODEL_FEATURES, NUMERIC_FEATURES, RAW_TRANSACTION
-from txnscore.session import fresh_path, prepare
+from txnscore.session import fresh_path, materialize, prepare
 from txnscore.sources import readers, sinks
 from txnscore.streaming.score import ScoringJob
 from txnscore.streaming.tail import drain, tail_results
@@ -547,7 +547,7 @@ def encoded_features(v: Views) -> DataFrame:
 def _trained(spark: SparkSession, sf_dir: str) -> ml.Trained:
     v = Views(spark, sf_dir)
     labelled = add_fraud_labels(hist.offline_features(v.txns))
-    return ml.train(labelled, TEST_SETTINGS)
+    return ml.train(materialize(labelled, "training"), TEST_SETTINGS)
 
 
 @query
@@ -592,9 +592,9 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
     v = Views(spark, sf_dir)
     out = fresh_path(spark, "stream")
     feed = f"{out}/feed"
-    v.messages.select("data").repartitionByRange(6, F.md5(F.coalesce("data", F.lit("")))).write.parquet(feed)
+    v.messages.select("data").repartition(24).write.parquet(feed)
     job = _job(v, out)
-    running = job.start(readers.stream_messages(spark, feed, files_per_trigger=2), available_now=True)
+    running = job.start(readers.stream_messages(spark, feed, files_per_trigger=8), available_now=True)
     if not running.awaitTermination(1200):
         running.stop()
         raise TimeoutError("the scoring stream did not finish")

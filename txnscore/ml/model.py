@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from txnscore.config import DEFAULTS, Settings
 from txnscore.functions import features as fx
 from txnscore.ml.metrics import eval_metrics
-from txnscore.plans.labels import stratified_split
+from txnscore.plans.labels import mark_split, split_edges
 from txnscore.plans.results import flag_predictions
 from txnscore.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES, require_columns
 from txnscore.session import materialize
@@ -127,12 +127,15 @@ class Trained:
 def train(labelled: DataFrame, settings: Settings = DEFAULTS) -> Trained:
     """Fit on the training share only and evaluate on the rest.
 
-    The prepared rows are written once: fitting makes many passes over them.
+    ``labelled`` should be a stored table: fitting scans its feature columns
+    several times. The split itself is kept as one edge per class, so it costs
+    a hash per row and no copy of the rows.
     """
     require_columns(labelled, [*MODEL_FEATURES, "is_fraud", "transaction_id"])
     kept = labelled.select(*MODEL_FEATURES, "is_fraud", "transaction_id")
-    split = stratified_split(kept, "is_fraud", "transaction_id", settings.test_size, settings.random_state)
-    rows = materialize(split, "training")
+    key = ("is_fraud", "transaction_id")
+    edges = materialize(split_edges(kept, *key, settings.test_size, settings.random_state), "edges")
+    rows = mark_split(kept, edges, *key, settings.random_state)
     check_categories(rows, settings.max_categories)
     fit_rows = model_input(rows.filter("is_test = 0"))
     forest = RandomForestClassifier(
