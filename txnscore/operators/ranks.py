@@ -38,11 +38,19 @@ def values_at_ranks(
     slots: list[str] = []
     targets: DataFrame | None = None
     for level in [*bins, value]:
-        part = rows
-        if targets is not None:
-            spots = targets.select(*prefix)
-            part = rows.join(F.broadcast(spots) if few_keys else spots, prefix, "left_semi")
-        counted = part.groupBy(*prefix, level).agg(count.cast("bigint").alias("freq"))
+        freq = count.cast("bigint").alias("freq")
+        if targets is None:
+            counted = rows.groupBy(*prefix, level).agg(freq)
+        elif few_keys:
+            # The few targets travel with their rows; all rows of a prefix share one.
+            carried = [F.first(c).alias(c) for c in ("n", *slots)]
+            near = rows.join(F.broadcast(targets), prefix)
+            counted = near.groupBy(*prefix, level).agg(freq, *carried)
+        else:
+            # Many targets: cut the rows first (below any aggregate that made
+            # them), then pair each remaining bin with the one target of its prefix.
+            near = rows.join(targets.select(*prefix), prefix, "left_semi")
+            counted = near.groupBy(*prefix, level).agg(freq).join(targets, prefix)
         ordered = Window.partitionBy(*prefix).orderBy(level)
         before = F.coalesce(
             F.sum("freq").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -55,9 +63,6 @@ def values_at_ranks(
             counted = counted.withColumns(
                 {slot: rank.cast("bigint") for slot, rank in zip(slots, wanted)}
             )
-        else:
-            # One target row per prefix, so this join pairs each bin with one row.
-            counted = counted.join(F.broadcast(targets) if few_keys else targets, prefix)
         prefix = [*prefix, level]
         targets = counted.select(
             *prefix,
