@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from txnscore import jobs
 from txnscore.config import Settings
 from txnscore.functions.messages import decode_messages
-from txnscore.ml.model import check_categories, encoding_stages, model_input, probability
+from txnscore.ml.model import check_categories, encoding_stages, model_input, probability, train
 from txnscore.ml.registry import ModelRegistry
 from txnscore.plans.results import latest_predictions, search_profiles, search_transactions
 from txnscore.schemas import MODEL_FEATURES
@@ -224,6 +224,16 @@ def test_settings_from_environment():
     assert Settings.from_env({}).fraud_threshold == 0.7
 
 
+def test_fresh_model_scores_in_a_session_with_observations(spark, deployed):
+    from pyspark.sql import Observation
+
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    trained = train(spark.read.parquet(f"{deployed[0]}/training"), SETTINGS)
+    assert trained.test.count() == 180
+
+
 def test_command_line(spark, deployed, tmp_path, capsys, monkeypatch):
     from txnscore.__main__ import main
 

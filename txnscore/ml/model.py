@@ -145,7 +145,9 @@ def train(labelled: DataFrame, settings: Settings = DEFAULTS) -> Trained:
         maxDepth=settings.max_depth,
         seed=settings.random_state,
     )
-    model = Pipeline(stages=[*encoding_stages(), forest]).fit(fit_rows)
+    # The copy leaves out the forest's training summary, which holds on to the
+    # session and would be serialized with every scoring task.
+    model = Pipeline(stages=[*encoding_stages(), forest]).fit(fit_rows).copy()
     test = materialize(
         probability(rows.filter("is_test = 1"), model).select("transaction_id", "is_fraud", "fraud_probability"),
         "evaluation",
