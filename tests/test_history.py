@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from txnscore.plans.history import offline_features, recent_transactions, with_history
 from txnscore.plans.profiles import user_profiles

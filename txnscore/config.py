@@ -16,7 +16,6 @@ class Settings:
     random_state: int = 42
     home_radius_km: float = 10.0
     model_name: str = "fraud-detection-model"
-    namespace: str = "inference-pipeline"
     num_trees: int = 100
     max_depth: int = 10
     # Widest one-hot column the trainer accepts; wider data is refused, not cut.
