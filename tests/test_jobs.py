@@ -256,3 +256,12 @@ def test_command_line(spark, deployed, tmp_path, capsys, monkeypatch):
     assert jobs.latest_results(spark, root, 50).count() == 12
     with pytest.raises(ValueError):
         main(["--root", root, "cleanup", "history"])
+
+
+def test_a_purged_table_takes_new_batches(spark, tmp_path):
+    rows = spark.range(5).select(F.col("id").cast("string").alias("transaction_id"))
+    sinks.write_batch(rows, f"{tmp_path}/predictions", "w1", 0)
+    assert sinks.purge(spark, str(tmp_path), ("predictions",)).first()["rows"] == 0
+    sinks.write_batch(rows, f"{tmp_path}/predictions", "w1", 1)
+    found = spark.read.parquet(f"{tmp_path}/predictions").groupBy("source", "batch_id").count().collect()
+    assert [tuple(r) for r in found] == [("w1", 1, 5)]
