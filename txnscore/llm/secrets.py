@@ -3,9 +3,11 @@
 Rules are regular expressions over bytes. They are compiled together: each to a
 nondeterministic automaton, all of them to one deterministic automaton by subset
 construction, which is then minimised. A text is scanned once, byte by byte; a
-state says which rules have a match that ends here. Spans are settled at those
-ends only: backwards with the automaton of the reversed rules for where a match
-begins, forwards for where the part begins whose length counts.
+state says which rules have a shortest match that ends here. Spans are settled at
+those ends only: the reversed rule's automaton runs back to where the match begins,
+the rule's own one on to where its longest match ends.
+
+A rule's matches must not lie inside each other (a later start with an earlier end).
 """
 
 from __future__ import annotations
@@ -242,20 +244,30 @@ class Automaton:
             row += [int(self.mark[k]), k]
 
 
+def _shortest(tree):
+    """What a match needs at least at its end: a last part that may repeat, once."""
+    kind, x = tree
+    if kind == "cat" and x[-1][0] == "plus":
+        return kind, [*x[:-1], x[-1][1]]
+    return tree
+
+
 class Scanner:
+    """One pass marks where matches first end; there the start is found backwards, the end forwards."""
+
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         trees = [_Parser(r).parse() for r in rules]
         # A run of one set would end everywhere: its least length belongs into the automaton.
-        trees = [_at_least(t, r.least) if t[0] == "cat" and len(t[1]) == 1 and t[1][0][0] == "plus" else t for t, r in zip(trees, rules)]
-        self.forward = Automaton(trees, anchored=False)
-        self.backward = [Automaton([_reversed(t)], anchored=True) for t in trees]
+        trees = [_at_least(t, r.least) if len(t[1]) == 1 and t[1][0][0] == "plus" else t for t, r in zip(trees, rules)]
+        short = [_shortest(t) for t in trees]
+        self.forward = Automaton(short, anchored=False)
+        self.backward = [Automaton([_reversed(t)], anchored=True) for t in short]
         self.onward = [Automaton([t], anchored=True) for t in trees]
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) of all secrets, in bytes: per rule leftmost, longest and apart."""
-        row, ends = self.forward.rows[self.forward.first], []
-        at = 0
+        row, ends, at = self.forward.rows[self.forward.first], [], 0
         for byte in data:
             row = row[byte]
             at += 1
@@ -264,48 +276,40 @@ class Scanner:
         return self._settle(data, ends) if ends else []
 
     def _settle(self, data: bytes, ends: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        out = []
-        for k, rule in enumerate(self.rules):
-            bit, done, last = 1 << k, 0, None
-            places = [at for at, mark in ends if mark & bit]
-            for n, end in enumerate(places):
-                # Ends in a row are one match that goes on; the last counts.
-                if n + 1 < len(places) and places[n + 1] == end + 1:
+        out, done = [], [0] * len(self.rules)
+        for first_end, mark in ends:
+            for k, rule in enumerate(self.rules):
+                if not mark >> k & 1:
                     continue
-                start = self._begin(k, data, end, done)
-                if start < 0:
+                start = self._begin(k, data, first_end, done[k])
+                if start < 0:  # it would reach into the match before
                     continue
-                done = end
-                first = self._first_end(k, data, start)
-                if (end - first + 1 if rule.last_part else end - start) >= rule.least:
+                end = done[k] = self._end(k, data, start)
+                if end - (first_end - 1 if rule.last_part else start) >= rule.least:
                     out.append((start, end, k))
-                last = end
-        out.sort(key=lambda x: (x[0], x[2]))
-        return out
+        return sorted(out, key=lambda x: (x[0], x[2]))
 
     def _begin(self, k: int, data: bytes, end: int, floor: int) -> int:
-        """The leftmost start, not before ``floor``, of a match that ends at ``end``."""
-        machine, found = self.backward[k], -1
-        row, dead = machine.rows[machine.first], machine.dead
-        at = end
-        while at > floor:
+        """The leftmost start, not before ``floor``, of a shortest match that ends at ``end``."""
+        machine, found, at = self.backward[k], -1, end
+        row = machine.rows[machine.first]
+        while at > floor and row[257] != machine.dead:
             at -= 1
             row = row[data[at]]
             if row[256]:
                 found = at
-            if row[257] == dead:
-                break
         return found
 
-    def _first_end(self, k: int, data: bytes, start: int) -> int:
-        """Where the shortest match from ``start`` ends."""
-        machine = self.onward[k]
+    def _end(self, k: int, data: bytes, start: int) -> int:
+        """The end of the longest match from ``start``."""
+        machine, found, at = self.onward[k], start, start
         row = machine.rows[machine.first]
-        for at in range(start, len(data)):
+        while at < len(data) and row[257] != machine.dead:
             row = row[data[at]]
+            at += 1
             if row[256]:
-                return at + 1
-        return len(data)
+                found = at
+        return found
 
 
 @lru_cache(maxsize=8)
