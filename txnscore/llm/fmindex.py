@@ -14,8 +14,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from txnscore.llm.shared import text_rows
+from txnscore.llm.shared import WORD_PATTERN, text_rows
 from txnscore.llm.windows import Scheme, repeated_spans
 
 WINDOW = 20
@@ -154,6 +155,15 @@ def _finish(docs: pa.Table, data: np.ndarray, offsets: np.ndarray, spans: dict[i
     return pa.table(columns, schema=_ARROW)
 
 
+def _copies(window: int):
+    def copies(rows: DataFrame) -> DataFrame:
+        span = F.when(F.col("units") >= window, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("units").alias("stop")))).otherwise(F.array())
+        words = F.regexp_extract_all(F.coalesce(F.col("short"), F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
+        return rows.select("doc_id", F.col("units").alias("n_words"), span.cast("array<struct<start:long,stop:long>>").alias("spans"), F.array_join(words, " ").alias("kept_text"))
+
+    return copies
+
+
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 6) -> DataFrame:
     """Cut every word covered by a ``window``-word sequence that also starts earlier.
 
@@ -164,4 +174,4 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stand at the same places, so neither is earlier. Other columns are not read.
     """
     scheme = Scheme(window=window, gram=gram, words=True)
-    return repeated_spans(text_rows(docs, id_col, text_col), scheme, match, _finish, RESULT)
+    return repeated_spans(text_rows(docs, id_col, text_col), scheme, match, _finish, _copies(window), RESULT)

@@ -71,10 +71,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word in ``data``, and the offsets of the rows among the words."""
     n = len(data)
-    blank = BLANK[data]
+    blank = gap[data]
     begins = ~blank
     begins[1:] &= blank[:-1]
     ends = np.zeros(n, bool)

@@ -4,16 +4,18 @@ The common plan of substring and suffix-array deduplication, for windows of W
 units (bytes or words). It holds whatever one text repeats, because everything
 is reduced per bucket of documents before it is shuffled:
 
-1. Documents fall into buckets by hash. Every window is represented by the
+0. Of exact copies only the one of smallest id goes on, each text at most once
+   from each task; the windows of the others all stand in it.
+1. Texts fall into buckets by digest. Every window is represented by the
    smallest hash among its g-unit grams (equal windows have equal ones, at equal
    places), so a bucket reports about one anchor in (W - g) / 2 units, each once.
 2. Anchors are counted by slices of the hash. Those seen at least twice go back
    to the buckets they came from.
 3. Buckets cut out the text around their shared anchors (all windows the anchor
    represents, one snippet), each different snippet once with its earliest place.
-   An anchor in more than ``hot`` places is followed by many different contexts;
-   its windows are cut one by one and dealt by the hash of the whole window, so
-   no task meets all contexts of a common line.
+   An anchor in more than ``hot`` places may stand in as many contexts; its
+   windows are cut one by one and dealt by the hash of the whole window, so no
+   task meets all contexts of a common line.
 4. A matcher per slice compares the snippets of each key and returns, for runs of
    windows, the earliest place of the same units anywhere.
 5. Buckets put the answers on their documents.
@@ -37,6 +39,8 @@ from txnscore.llm import shared
 
 CHUNK = 1 << 21
 NO_ID = 2**63 - 1
+_CODEC = pa.Codec("zstd")
+_THIN = pa.schema([("bucket", pa.int32()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("id_key", pa.int64()), ("text", pa.string()), ("copies", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -46,7 +50,7 @@ class Scheme:
     window: int
     gram: int
     words: bool
-    hot: int = 100
+    hot: int = 20_000
     bucket_bytes: int = 8 << 20
 
 
@@ -54,7 +58,7 @@ class Units:
     """The units of a run of documents: their hashes, offsets by document, and places in the bytes."""
 
     def __init__(self, scheme: Scheme, data: np.ndarray, offsets: np.ndarray):
-        self.data = data
+        self.raw = data.tobytes()
         if scheme.words:
             self.start, self.end, self.rows = shared.words_of(data, offsets)
             self.hash = shared.word_hashes(data, self.start, self.end)
@@ -66,8 +70,8 @@ class Units:
     def content(self, first: int, last: int) -> bytes:
         """Units [first, last) as bytes; words are joined by one space."""
         if not self.words:
-            return self.data[first:last].tobytes()
-        return b" ".join(self.data[self.start[first] : self.end[last - 1]].tobytes().split())
+            return self.raw[first:last]
+        return b" ".join(self.raw[self.start[first] : self.end[last - 1]].split())
 
 
 def anchors(scheme: Scheme, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,13 +99,49 @@ def anchors(scheme: Scheme, units: Units) -> tuple[np.ndarray, np.ndarray, np.nd
     return grams[place[first]], first, stop, row[first]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return _CODEC.compress(x.tobytes(), asbytes=True)
+
+
+def _unpacked(blob: bytes, kind, n: int) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(blob, n * np.dtype(kind).itemsize, asbytes=True), kind)
+
+
+def _thin(batches):
+    """Step 0 in a task: each text once with its smallest id so far; repeats of that row as a number."""
+    least: dict[bytes, int] = {}
+    again: dict[bytes, list] = {}
+    for batch in batches:
+        keep = []
+        for row, (key, doc) in enumerate(zip(batch["digest"].to_pylist(), batch["id_key"].to_pylist())):
+            if doc < least.get(key, NO_ID + 1):
+                least[key] = doc
+                again.pop(key, None)
+                keep.append(row)
+            elif doc == least[key]:
+                again.setdefault(key, [batch["bucket"][row].as_py(), batch["doc_id"][row].as_py(), 0])[2] += 1
+        part = batch.take(pa.array(keep, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(part[c] for c in _THIN.names[:-1]), pa.array(np.ones(len(keep), np.int64))], schema=_THIN)
+    rows = [{"bucket": b, "digest": key, "doc_id": doc, "id_key": least[key], "text": None, "copies": n} for key, (b, doc, n) in again.items()]
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _THIN)
+
+
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """Ids (NULL last), text bytes and offsets of a bucket, in order of id."""
-    ids = np.array([NO_ID if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
-    order = np.argsort(ids, kind="stable")
-    table = table.take(pa.array(order))
+    """Ids (NULL last), text bytes and offsets of a bucket's texts, in order of id, with their rows."""
+    least: dict[bytes, list] = {}
+    for row, (key, doc, has, n) in enumerate(zip(table["digest"].to_pylist(), table["id_key"].to_pylist(), table["text"].is_valid().to_pylist(), table["copies"].to_pylist())):
+        known = least.get(key)
+        if known is None or doc < known[0]:
+            least[key] = [doc, row if has else -1, n]
+        elif doc == known[0]:
+            known[1] = row if has else known[1]
+            known[2] += n
+    chosen = sorted(least.items(), key=lambda x: (x[1][0], x[0]))
+    table = table.take(pa.array([row for _, (_, row, _) in chosen], pa.int64()))
+    table = table.set_column(table.schema.get_field_index("copies"), "copies", pa.array([n for _, (_, _, n) in chosen], pa.int64()))
     data, offsets = shared.byte_column(table["text"])
-    return ids[order], data, offsets, table
+    return np.array([doc for _, (doc, _, _) in chosen], np.int64), data, offsets, table
 
 
 def _blocks(scheme: Scheme, data: np.ndarray, offsets: np.ndarray):
@@ -110,12 +150,11 @@ def _blocks(scheme: Scheme, data: np.ndarray, offsets: np.ndarray):
         yield a, b, Units(scheme, data[lo : offsets[b]], offsets[a : b + 1] - lo)
 
 
-def _sliced(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by slice, the slices present, and where each begins (with the end)."""
-    at = (keys >> np.uint64(20)) % np.uint64(slices)
-    order = np.argsort(at, kind="stable")
-    present, first = np.unique(at[order], return_index=True)
-    return order, present.astype(np.int64), np.append(first, len(keys))
+def _sliced(keys: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The slices of ascending keys, and the range of keys of each."""
+    at = (keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+    present, first = np.unique(at, return_index=True)
+    return present.astype(np.int64), list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
 
 
 def _report(scheme: Scheme, slices: int, table: pa.Table) -> dict:
@@ -137,33 +176,35 @@ def _report(scheme: Scheme, slices: int, table: pa.Table) -> dict:
         h = h[keep]
     h, n = np.unique(h, return_counts=True)
     n = np.minimum(n, 65535).astype(np.uint16)
-    order, present, first = _sliced(h, slices)
-    h, n = h[order], n[order]
+    # Kept to 48 bits, as differences: a false match only makes a candidate.
+    present, ranges = _sliced(h, slices)
     return {
         "slice": present.tolist(),
-        "hashes": [h[x:y].tobytes() for x, y in zip(first[:-1], first[1:])],
-        "counts": [n[x:y].tobytes() for x, y in zip(first[:-1], first[1:])],
+        "size": [y - x for x, y in ranges],
+        "hashes": [_packed(np.diff(h[x:y] >> np.uint64(16), prepend=np.uint64(0))) for x, y in ranges],
+        "counts": [_packed(n[x:y]) for x, y in ranges],
     }
 
 
 def _shared(scheme: Scheme, table: pa.Table) -> dict:
     """Step 2: of one slice, the anchors that stand in two places, for each bucket that has them."""
-    blobs = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-    h = np.concatenate(blobs)
-    n = np.concatenate([np.frombuffer(x, np.uint16) for x in table["counts"].to_pylist()]).astype(np.int64)
-    of = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
+    sizes, buckets = table["size"].to_pylist(), table["bucket"].to_pylist()
+    h = np.concatenate([np.cumsum(_unpacked(x, np.uint64, n), dtype=np.uint64) for x, n in zip(table["hashes"].to_pylist(), sizes)])
+    n = np.concatenate([_unpacked(x, np.uint16, n) for x, n in zip(table["counts"].to_pylist(), sizes)]).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
     unique, back = np.unique(h, return_inverse=True)
     total = np.bincount(back, n, len(unique))[back]
-    out = {"bucket": [], "cold": [], "hot": []}
-    buckets = table["bucket"].to_pylist()
+    out = {"bucket": [], "sizes": [], "cold": [], "hot": []}
     common = total >= 2
     h, of, hot = h[common], of[common], total[common] > scheme.hot
-    edges = np.searchsorted(of, np.arange(len(blobs) + 1))
+    edges = np.searchsorted(of, np.arange(len(sizes) + 1))
     for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
         if y > x:
+            cold, warm = h[x:y][~hot[x:y]], h[x:y][hot[x:y]]
             out["bucket"].append(buckets[k])
-            out["cold"].append(h[x:y][~hot[x:y]].tobytes())
-            out["hot"].append(h[x:y][hot[x:y]].tobytes())
+            out["sizes"].append([len(cold), len(warm)])
+            out["cold"].append(_packed(np.diff(cold, prepend=np.uint64(0))))
+            out["hot"].append(_packed(np.diff(warm, prepend=np.uint64(0))))
     return out
 
 
@@ -179,7 +220,8 @@ def _snippets(scheme: Scheme, data, offsets, cold: np.ndarray, hot: np.ndarray):
     for a, _, units in _blocks(scheme, data, offsets):
         h, first, last, row = anchors(scheme, units)
         begin = units.rows[row]
-        is_cold, is_hot = _member(cold, h), _member(hot, h)
+        short = h >> np.uint64(16)
+        is_cold, is_hot = _member(cold, short), _member(hot, short)
         for k, x, y, r, o in zip(h[is_cold].tolist(), first[is_cold].tolist(), last[is_cold].tolist(), row[is_cold].tolist(), begin[is_cold].tolist()):
             yield k, r + a, x - o, units.content(x, y + scheme.window)
         if is_hot.any():
@@ -192,8 +234,12 @@ def _snippets(scheme: Scheme, data, offsets, cold: np.ndarray, hot: np.ndarray):
 
 
 def _marks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    empty = np.zeros(0, np.uint64)
-    return tuple(np.sort(np.concatenate([empty, *(np.frombuffer(x, np.uint64) for x in table[c].to_pylist() if x)])) for c in ("cold", "hot"))
+    out = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+    for sizes, *blobs in zip(*(table[c].to_pylist() for c in ("sizes", "cold", "hot"))):
+        if sizes:
+            for part, blob, n in zip(out, blobs, sizes):
+                part.append(np.cumsum(_unpacked(blob, np.uint64, n), dtype=np.uint64))
+    return tuple(np.sort(np.concatenate(x)) for x in out)
 
 
 def _distinct(scheme: Scheme, ids, data, offsets, cold, hot) -> dict[tuple[int, bytes], tuple[int, int]]:
@@ -211,18 +257,19 @@ def _cut(scheme: Scheme, slices: int, docs: pa.Table, marks: pa.Table) -> dict:
     ids, data, offsets, _ = _documents(docs)
     found = sorted(_distinct(scheme, ids, data, offsets, *_marks(marks)).items())
     keys = np.array([k for (k, _), _ in found], np.uint64)
-    order, present, first = _sliced(keys, slices)
-    sizes = np.array([len(c) for (_, c), _ in found], np.int32)[order]
-    places = np.array([p for _, p in found], np.int64).reshape(-1, 2)[order]
-    order = order.astype(np.int32)
-    ranges = list(zip(first[:-1].tolist(), first[1:].tolist()))
+    sizes = np.array([len(c) for (_, c), _ in found], np.int32)
+    places = np.array([p for _, p in found], np.int64).reshape(-1, 2)
+    present, ranges = _sliced(keys, slices)
+    contents = [b"".join(c for (_, c), _ in found[x:y]) for x, y in ranges]
     return {
         "slice": present.tolist(),
-        "keys": [keys[order[x:y]].tobytes() for x, y in ranges],
-        "indices": [order[x:y].tobytes() for x, y in ranges],
-        "sizes": [sizes[x:y].tobytes() for x, y in ranges],
-        "contents": [b"".join(found[i][0][1] for i in order[x:y]) for x, y in ranges],
-        "places": [places[x:y].tobytes() for x, y in ranges],
+        "first": [x for x, _ in ranges],
+        "size": [y - x for x, y in ranges],
+        "bytes": [len(x) for x in contents],
+        "keys": [_packed(keys[x:y]) for x, y in ranges],
+        "sizes": [_packed(sizes[x:y]) for x, y in ranges],
+        "contents": [_CODEC.compress(x, asbytes=True) for x in contents],
+        "places": [_packed(places[x:y].T.copy()) for x, y in ranges],
     }
 
 
@@ -231,9 +278,13 @@ def _answers(matcher: Callable, window: int, table: pa.Table) -> dict:
     number: dict[tuple[int, bytes], int] = {}
     earliest: list[tuple[int, int]] = []
     uses = []  # (bucket, index in the bucket, snippet, place in the bucket)
-    for bucket, keys, indices, sizes, contents, places in zip(*(table[c].to_pylist() for c in ("bucket", "keys", "indices", "sizes", "contents", "places"))):
-        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-        for key, index, end, size, (doc, at) in zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(indices, np.int32).tolist(), ends, np.frombuffer(sizes, np.int32).tolist(), np.frombuffer(places, np.int64).reshape(-1, 2).tolist()):
+    for bucket, base, n, size, *blobs in zip(*(table[c].to_pylist() for c in ("bucket", "first", "size", "bytes", "keys", "sizes", "contents", "places"))):
+        keys, sizes = (_unpacked(x, kind, n).tolist() for x, kind in zip(blobs, (np.uint64, np.int32)))
+        contents = _CODEC.decompress(blobs[2], size, asbytes=True)
+        docs, starts = _unpacked(blobs[3], np.int64, 2 * n).reshape(2, n).tolist()
+        end = 0
+        for index, (key, size, doc, at) in enumerate(zip(keys, sizes, docs, starts), base):
+            end += size
             n = number.setdefault((key, contents[end - size : end]), len(earliest))
             if n == len(earliest):
                 earliest.append((doc, at))
@@ -304,34 +355,51 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def repeated_spans(docs: DataFrame, scheme: Scheme, matcher: Callable, finish: Callable, result: str) -> DataFrame:
-    """Find repeated windows and hand every document to ``finish``.
+def repeated_spans(docs: DataFrame, scheme: Scheme, matcher: Callable, finish: Callable, copies: Callable, result: str) -> DataFrame:
+    """Find repeated windows and hand every document to ``finish``, exact copies to ``copies``.
 
     ``docs`` has doc_id and text. ``matcher(keys, contents, window)`` returns arrays
     (snippet, offset, class) of all windows of the snippets, in that order, where
     windows under one key have one class exactly if their units are equal.
     ``finish(docs table, data, offsets, spans by row)`` returns the columns of ``result``.
+    ``copies`` gets rows whose text has a row of smaller id, with ``units`` (their number)
+    and ``short`` (the text if it has no window), and returns the same columns.
     """
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = slices = max(8, -(-total // scheme.bucket_bytes))
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    dealt = dealt.repartition("bucket")
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
+    types = "bucket int, digest binary, doc_id long, id_key long, text string, copies long"
+    dealt = docs.select(bucket, "digest", "doc_id", "id_key", "text").mapInArrow(_thin, types).repartition("bucket")
 
     def with_bucket(key, columns: dict, schema: pa.Schema) -> pa.Table:
         columns["bucket"] = [key[0].as_py()] * len(columns["slice"])
         return pa.table({f.name: pa.array(columns[f.name], f.type) for f in schema})
 
-    reported = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-    known = dealt.groupBy("bucket").applyInArrow(lambda key, t: with_bucket(key, _report(scheme, slices, t), reported), "slice long, bucket int, hashes binary, counts binary")
-    marked = pa.schema([("bucket", pa.int32()), ("cold", pa.binary()), ("hot", pa.binary())])
-    marks = known.groupBy("slice").applyInArrow(lambda t: pa.table(_shared(scheme, t), marked), "bucket int, cold binary, hot binary")
-    pieces = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "indices", "sizes", "contents", "places"))])
+    reported = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("size", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    known = dealt.groupBy("bucket").applyInArrow(lambda key, t: with_bucket(key, _report(scheme, slices, t), reported), "slice long, bucket int, size long, hashes binary, counts binary")
+    marked = pa.schema([("bucket", pa.int32()), ("sizes", pa.list_(pa.int64())), ("cold", pa.binary()), ("hot", pa.binary())])
+    marks = known.groupBy("slice").applyInArrow(lambda t: pa.table(_shared(scheme, t), marked), "bucket int, sizes array<long>, cold binary, hot binary")
+    numbers, blobs = ("slice", "first", "size", "bytes"), ("keys", "sizes", "contents", "places")
+    pieces = pa.schema([("bucket", pa.int32()), *((c, pa.int64()) for c in numbers), *((c, pa.binary()) for c in blobs)])
     cuts = (
         dealt.groupBy("bucket")
         .cogroup(marks.groupBy("bucket"))
-        .applyInArrow(lambda key, t, m: with_bucket(key, _cut(scheme, slices, t, m), pieces), "slice long, bucket int, keys binary, indices binary, sizes binary, contents binary, places binary")
+        .applyInArrow(lambda key, t, m: with_bucket(key, _cut(scheme, slices, t, m), pieces), "bucket int, slice long, first long, size long, bytes long, keys binary, sizes binary, contents binary, places binary")
     )
     answered = pa.schema([("bucket", pa.int32()), ("runs", pa.binary())])
     answers = cuts.groupBy("slice").applyInArrow(lambda t: pa.table(_answers(matcher, scheme.window, t), answered), "bucket int, runs binary")
     notes = marks.withColumn("runs", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
-    return dealt.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(lambda t, m: finish(*_covered(scheme, t, m)), result)
+
+    def put(t: pa.Table, m: pa.Table) -> pa.Table:
+        rows, data, offsets, spans = _covered(scheme, t, m)
+        done = finish(rows, data, offsets, spans)
+        again = rows["copies"].to_numpy()
+        return done if (again == 1).all() else done.take(pa.array(np.repeat(np.arange(len(again)), again)))
+
+    firsts = dealt.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(put, result)
+    units = F.regexp_count("text", F.lit(shared.WORD_PATTERN)) if scheme.words else F.octet_length("text")
+    rows = docs.select("doc_id", "id_key", "digest", units.cast("long").alias("units"), F.when(units < scheme.window, F.col("text")).alias("short"))
+    least = rows.groupBy("digest").agg(F.min("id_key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return firsts.unionByName(copies(rows.join(least, "digest").where("id_key > least")))
