@@ -96,7 +96,8 @@ def anchors(scheme: Scheme, units: Units) -> tuple[np.ndarray, np.ndarray, np.nd
     fresh &= whole
     first = np.flatnonzero(fresh)
     stop = np.flatnonzero(whole & np.append(fresh[1:] | ~whole[1:], True))
-    return grams[place[first]], first, stop, row[first]
+    # Least hashes crowd near 0: spread them again, so slices get equal shares.
+    return shared.mix(grams[place[first]]), first, stop, row[first]
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -215,22 +216,45 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def _snippets(scheme: Scheme, data, offsets, cold: np.ndarray, hot: np.ndarray):
-    """Every place of a shared anchor: (key, row, first window's unit in the document, content)."""
+@dataclass
+class Snippets:
+    """The different snippets of a bucket in order of key and content, and every place they stand at."""
+
+    keys: np.ndarray
+    contents: list[bytes]
+    owner: np.ndarray  # of each snippet the earliest place: id, unit in the document
+    row: np.ndarray  # of each place: the text's row,
+    at: np.ndarray  # the unit in it,
+    number: np.ndarray  # and the snippet
+
+
+def _snippets(scheme: Scheme, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, cold: np.ndarray, hot: np.ndarray) -> Snippets:
+    """Cut out the windows of all shared anchors, those of cold ones together."""
+    seen: dict[tuple[int, bytes], int] = {}
+    rows, starts, numbers = [], [], []
     for a, _, units in _blocks(scheme, data, offsets):
         h, first, last, row = anchors(scheme, units)
-        begin = units.rows[row]
         short = h >> np.uint64(16)
         is_cold, is_hot = _member(cold, short), _member(hot, short)
-        for k, x, y, r, o in zip(h[is_cold].tolist(), first[is_cold].tolist(), last[is_cold].tolist(), row[is_cold].tolist(), begin[is_cold].tolist()):
-            yield k, r + a, x - o, units.content(x, y + scheme.window)
+        parts = [(h[is_cold], first[is_cold], last[is_cold], row[is_cold])]
         if is_hot.any():
             size = last[is_hot] - first[is_hot] + 1
             place = np.repeat(first[is_hot] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
             whole = shared.mix(shared.rolling(units.hash, scheme.window)[place])
-            rows, begins = np.repeat(row[is_hot], size), np.repeat(begin[is_hot], size)
-            for k, x, r, o in zip(whole.tolist(), place.tolist(), rows.tolist(), begins.tolist()):
-                yield k, r + a, x - o, units.content(x, x + scheme.window)
+            parts.append((whole, place, place, np.repeat(row[is_hot], size)))
+        for key, x, y, r in parts:
+            content = units.content
+            numbers.append([seen.setdefault((k, content(i, j)), len(seen)) for k, i, j in zip(key.tolist(), x.tolist(), (y + scheme.window).tolist())])
+            rows.append(r + a)
+            starts.append(x - units.rows[r])
+    found = sorted(seen)
+    rank = np.empty(len(found), np.int64)
+    rank[[seen[x] for x in found]] = np.arange(len(found))
+    row, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, starts))
+    number = rank[np.concatenate([np.array(x, np.int64) for x in numbers])] if numbers else np.zeros(0, np.int64)
+    order = np.lexsort((at, ids[row], number))
+    first = order[np.flatnonzero(np.diff(number[order], prepend=-1))]
+    return Snippets(np.array([k for k, _ in found], np.uint64), [c for _, c in found], np.stack([ids[row[first]], at[first]], 1), row, at, number)
 
 
 def _marks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -242,34 +266,22 @@ def _marks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.sort(np.concatenate(x)) for x in out)
 
 
-def _distinct(scheme: Scheme, ids, data, offsets, cold, hot) -> dict[tuple[int, bytes], tuple[int, int]]:
-    """Earliest place (id, unit) of every different snippet of a bucket."""
-    seen: dict[tuple[int, bytes], tuple[int, int]] = {}
-    for key, row, at, content in _snippets(scheme, data, offsets, cold, hot):
-        place = (int(ids[row]), at)
-        if place < seen.get((key, content), (NO_ID + 1, 0)):
-            seen[key, content] = place
-    return seen
-
-
 def _cut(scheme: Scheme, slices: int, docs: pa.Table, marks: pa.Table) -> dict:
     """Step 3: the different snippets of a bucket, by slice of their key."""
     ids, data, offsets, _ = _documents(docs)
-    found = sorted(_distinct(scheme, ids, data, offsets, *_marks(marks)).items())
-    keys = np.array([k for (k, _), _ in found], np.uint64)
-    sizes = np.array([len(c) for (_, c), _ in found], np.int32)
-    places = np.array([p for _, p in found], np.int64).reshape(-1, 2)
-    present, ranges = _sliced(keys, slices)
-    contents = [b"".join(c for (_, c), _ in found[x:y]) for x, y in ranges]
+    found = _snippets(scheme, ids, data, offsets, *_marks(marks))
+    sizes = np.array([len(x) for x in found.contents], np.int32)
+    present, ranges = _sliced(found.keys, slices)
+    contents = [b"".join(found.contents[x:y]) for x, y in ranges]
     return {
         "slice": present.tolist(),
         "first": [x for x, _ in ranges],
         "size": [y - x for x, y in ranges],
         "bytes": [len(x) for x in contents],
-        "keys": [_packed(keys[x:y]) for x, y in ranges],
+        "keys": [_packed(found.keys[x:y]) for x, y in ranges],
         "sizes": [_packed(sizes[x:y]) for x, y in ranges],
         "contents": [_CODEC.compress(x, asbytes=True) for x in contents],
-        "places": [_packed(places[x:y].T.copy()) for x, y in ranges],
+        "places": [_packed(found.owner[x:y].T.copy()) for x, y in ranges],
     }
 
 
@@ -319,40 +331,51 @@ def _answers(matcher: Callable, window: int, table: pa.Table) -> dict:
 
 
 def _covered(scheme: Scheme, docs: pa.Table, marks: pa.Table):
-    """Step 5: the documents of a bucket in order of id, and where repeated windows begin and end in their units."""
+    """Step 5: the texts of a bucket in order of id, and the maximal runs of units in repeated windows of each."""
     ids, data, offsets, docs = _documents(docs)
-    cold, hot = _marks(marks)
-    found = _distinct(scheme, ids, data, offsets, cold, hot)
-    index = {x: n for n, x in enumerate(sorted(found))}
-    runs: dict[int, list] = {}
-    for blob in marks["runs"].to_pylist():
-        if blob:
-            for n, *run in np.frombuffer(blob, np.int64).reshape(-1, 5).tolist():
-                runs.setdefault(n, []).append(run)
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for key, row, at, content in _snippets(scheme, data, offsets, cold, hot):
-        me, own = int(ids[row]), found[key, content]
-        elsewhere = runs.get(index[key, content], ())
-        units = content.count(b" ") + 1 if scheme.words else len(content)
-        free = 0  # windows before this one are settled
-        for x, y, doc, start in [*elsewhere, (units - scheme.window + 1, 0, 0, 0)]:
-            # Between the runs the earliest place is the bucket's own.
-            if x > free and (own[0] < me or (scheme.words and own[0] == me and own[1] < at)):
-                spans.setdefault(row, []).append((at + free, at + x - 1 + scheme.window))
-            if y > x and (doc < me or (scheme.words and doc == me and start < at + x)):
-                spans.setdefault(row, []).append((at + x, at + y - 1 + scheme.window))
-            free = max(free, y)
-    return docs, data, offsets, {row: _merged(x) for row, x in spans.items()}
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+    found = _snippets(scheme, ids, data, offsets, *_marks(marks))
+    blobs = [np.frombuffer(x, np.int64).reshape(-1, 5) for x in marks["runs"].to_pylist() if x]
+    runs = np.concatenate([np.zeros((0, 5), np.int64), *blobs])
+    snippet, x, y, doc, start = runs[np.lexsort((runs[:, 1], runs[:, 0]))].T
+    # Between the runs, and behind the last, a snippet's earliest place is the bucket's own.
+    units = np.array([c.count(b" ") + 1 if scheme.words else len(c) for c in found.contents], np.int64)
+    count = units - scheme.window + 1
+    done = np.append(0, y[:-1]) * (np.diff(snippet, prepend=-1) == 0) if len(snippet) else y
+    tail = np.zeros(len(count), np.int64)
+    tail[snippet] = y  # runs are in order: the last one stays
+    own = np.arange(len(count))
+    of = np.concatenate([snippet, snippet, own])
+    low, high = np.concatenate([x, done, tail]), np.concatenate([y, x, count])
+    first = np.concatenate([doc, found.owner[snippet, 0], found.owner[:, 0]])
+    at = np.concatenate([start, found.owner[snippet, 1] + done, found.owner[:, 1] + tail])
+    part = np.flatnonzero(high > low)
+    part = part[np.argsort(of[part], kind="stable")]
+    edge = np.searchsorted(of[part], np.arange(len(count) + 1))
+    # Every place of a snippet meets each of its parts.
+    size = np.diff(edge)[found.number]
+    ends = np.cumsum(size)
+    each = part[np.repeat(edge[found.number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    row, here = np.repeat(found.row, size), np.repeat(found.at, size)
+    again = first[each] < ids[row]
+    if scheme.words:
+        again |= (first[each] == ids[row]) & (at[each] < here + low[each])
+    # Mark units by differences, over all texts in a row.
+    rows = Units(scheme, data, offsets).rows if scheme.words else offsets
+    begin = (rows[row] + here + low[each])[again]
+    stop = (rows[row] + here + high[each] - 1 + scheme.window)[again]
+    total = int(rows[-1])
+    depth = np.cumsum(np.bincount(begin, minlength=total + 1)[: total + 1] - np.bincount(stop, minlength=total + 1)[: total + 1])
+    inside = depth[:total] > 0
+    starts, stops = inside.copy(), inside.copy()
+    head, last = rows[:-1][np.diff(rows) > 0], rows[1:][np.diff(rows) > 0] - 1
+    starts[1:] &= ~inside[:-1]
+    starts[head] = inside[head]
+    stops[:-1] &= ~inside[1:]
+    stops[last] = inside[last]
+    starts, stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    edge = np.searchsorted(starts, rows)
+    spans = {r: list(zip((starts[i:j] - rows[r]).tolist(), (stops[i:j] - rows[r]).tolist())) for r, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if j > i}
+    return docs, data, offsets, spans
 
 
 def repeated_spans(docs: DataFrame, scheme: Scheme, matcher: Callable, finish: Callable, copies: Callable, result: str) -> DataFrame:
@@ -360,7 +383,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, matcher: Callable, finish: C
 
     ``docs`` has doc_id and text. ``matcher(keys, contents, window)`` returns arrays
     (snippet, offset, class) of all windows of the snippets, in that order, where
-    windows under one key have one class exactly if their units are equal.
+    windows of different snippets under one key have one class exactly if their units are equal.
     ``finish(docs table, data, offsets, spans by row)`` returns the columns of ``result``.
     ``copies`` gets rows whose text has a row of smaller id, with ``units`` (their number)
     and ``short`` (the text if it has no window), and returns the same columns.
