@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,7 +122,7 @@ def plan(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
         settled[r["key"]] = (r["total"], float(t), passes, int(t - passes * r["total"]))
     given = spark.createDataFrame([(k, *v) for k, v in settled.items()], "key string, source_size long, target double, whole int, rest long")
 
-    def one_source(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one_source(key, frame):
         frame = frame.sort_values("size")
         frame["more"] = fill(frame["size"].to_numpy(), frame["n"].to_numpy(), int(frame["rest"].iloc[0]))
         return frame[["key", "size", "more"]]

@@ -90,38 +90,119 @@ def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
     return out / np.where(length > 0, length, 1)[:, None], usable
 
 
-def _linked(forest: Forest, own: int, one: tuple, two: tuple | None) -> tuple:
-    """Links of one block of a leaf with itself (``two`` is None) or with another block.
+_LINKED = pa.schema([("vec", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
+STRIP = 512
 
-    A block is (vectors, number of copies, rank of the smallest id, leaves). Returns for both
-    blocks' rows the number of links this leaf counts and the smallest linked rank.
+
+def _cell(forest: Forest, leaf: int, table: pa.Table, both: bool) -> pa.Table:
+    """One leaf, or two blocks of one: per vector its links that count here and the smallest vector linked.
+
+    ``both``: the table has two blocks, to be compared with each other only.
+    """
+    vector, _ = _matrix(table["embedding"])
+    vec, copies = table["vec"].to_numpy(), table["copies"].to_numpy()
+    # Which earlier leaves each vector is in: a pair that shares one has been counted there.
+    places = table["leaves"].combine_chunks()
+    of = np.repeat(np.arange(len(vec)), np.diff(places.offsets.to_numpy()))
+    place = places.flatten().to_numpy()
+    names, column = np.unique(place[place < leaf], return_inverse=True)
+    earlier = np.zeros((len(vec), len(names)), np.float32)
+    earlier[of[place < leaf], column] = 1
+    side = table["side"].to_numpy() if both else np.zeros(len(vec), np.int64)
+    rows = np.flatnonzero(side == 0)
+    others = np.flatnonzero(side == 1) if both else rows
+    links, least = np.zeros(len(vec), np.int64), vec.copy()
+    for a in range(0, len(rows), STRIP):
+        own = rows[a : a + STRIP]
+        near = vector[own] @ vector[others].T >= forest.least
+        if not both:
+            near[np.arange(len(own)), a + np.arange(len(own))] = False
+        if not near.any():
+            continue
+        least[own] = np.minimum(least[own], np.where(near, vec[others], np.iinfo(np.int64).max).min(axis=1))
+        fresh = near & (earlier[own] @ earlier[others].T == 0)
+        links[own] += fresh @ copies[others]
+        if both:
+            least[others] = np.minimum(least[others], np.where(near, vec[own][:, None], np.iinfo(np.int64).max).min(axis=0))
+            links[others] += copies[own] @ fresh
+    keep = (least < vec) | (links > 0)
+    return pa.table({"vec": vec[keep], "links": links[keep], "least": least[keep]}, schema=_LINKED)
+
+
+def link(vectors: DataFrame, forest: Forest = Forest(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for every row.
+
+    Vectors are compared if their labels are equal and not NULL; similar from cosine
+    ``forest.least`` on. NULL and zero vectors, and those with NULL or non-finite components,
+    link with nothing, nor do vectors of different lengths. Equal vectors of a label are one
+    point with copies: they link with each other and share all other links. ``component_id``
+    is the smallest id reachable over links. A row with a NULL id links like any other but
+    never names a component that has another id. An empty table gives no rows.
     """
-    same = two is None
-    other = one if same else two
-    counts = [np.zeros(len(x[0]), np.int64) for x in (one, other)]
-    least = [x[2].copy() for x in (one, other)]
-    for a in range(0, len(one[0]), 512):
-        near = one[0][a : a + 512] @ other[0].T >= forest.least
-        i, j = np.nonzero(near)
-        i += a
-        if same:
-            i, j = i[i < j], j[i < j]
-        for x, y, low in ((i, j, least[0]), (j, i, least[1])):
-            np.minimum.at(low, x, (other if low is least[0] else one)[2][y])
-        # Both have lists of leaves: this leaf counts the pair if no smaller one is common.
-        first = np.array([_first_common(one[3][x], other[3][y]) == own for x, y in zip(i.tolist(), j.tolist())], bool)
-        i, j = i[first], j[first]
-        np.add.at(counts[0], i, other[1][j])
-        np.add.at(counts[1], j, one[1][i])
-    return counts, least
-
-
-def _first_common(x: list[int], y: list[int]) -> int:
-    i = j = 0
-    while True:
-        if x[i] == y[j]:
-            return x[i]
-        if x[i] < y[j]:
-            i += 1
-        else:
-            j += 1
+    spark = vectors.sparkSession
+    kind = vectors.select(vector_col).schema[0].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"), F.col(label_col).alias("label"))
+    sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    rows = rows.withColumn("sound", F.coalesce(sound & finite, F.lit(False)))
+    # Equal vectors are one point, known by a number.
+    points = rows.where("sound").groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
+    points = materialize(points.withColumns({"vec": F.monotonically_increasing_id(), "width": F.size("embedding")}), "vector-points")
+    shapes = points.groupBy("label", "width").agg(F.count("*").alias("n")).groupBy("width").agg(F.max("n").alias("n"), F.sum("n").alias("all")).collect()
+    found = None
+    for shape in sorted(shapes, key=lambda r: r["width"]):
+        part = _links(points.where(F.col("width") == shape["width"]), shape["n"], shape["all"], forest)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "vec long, links long, least long")
+    found = materialize(found, "vector-links")
+    roots = components(found.where("least < vec").select(F.col("vec").alias("a"), F.col("least").alias("b")), "vectors")
+    counted = points.join(found.groupBy("vec").agg(F.sum("links").alias("links")), "vec", "left").join(roots.withColumnRenamed("node", "vec"), "vec", "left")
+    counted = counted.select("label", "embedding", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "vec").alias("root"))
+    names = counted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = counted.join(names, "root").select("label", "embedding", "n_links", "component_id")
+    linked = rows.where("sound").join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _links(points: DataFrame, most: int, total: int, forest: Forest) -> DataFrame:
+    """(vec, links, least) of every leaf, for points of one width."""
+    spark = points.sparkSession
+    # Spill keeps leaves from halving at each level; a bounded sample places the splits.
+    depth = 0
+    while depth < forest.deepest and most * 0.6**depth > forest.leaf:
+        depth += 1
+    share = min(1.0, forest.sample / max(1, total))
+    picked = points.where(F.pmod(F.xxhash64("vec", F.lit(forest.seed)), F.lit(1 << 20)) < share * (1 << 20))
+    sample, _ = _matrix(pa.chunked_array([pa.array(picked.select("embedding").limit(2 * forest.sample).toPandas()["embedding"], pa.list_(pa.float64()))]))
+    if not len(sample):
+        depth = 0
+    model = spark.sparkContext.broadcast(fit(sample, depth, forest) if depth else [[] for _ in range(1)])
+
+    def place(batches):
+        for batch in batches:
+            unit, _ = _matrix(batch["embedding"])
+            row, leaf = leaves(model.value, unit, forest.spill)
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(leaf))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("vec", "label", "copies", "embedding")), lists], ["vec", "label", "copies", "embedding", "leaves"])
+
+    label, kind = (points.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    placed = materialize(points.select("vec", "label", "copies", "embedding").mapInArrow(place, f"vec long, label {label}, copies long, embedding {kind}, leaves array<long>"), "vector-leaves")
+    each = placed.withColumn("leaf", F.explode("leaves"))
+    sizes = each.groupBy("label", "leaf").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / forest.cell).cast("int"))
+    sizes = materialize(sizes.where("n > 1").drop("n"), "leaf-sizes")
+    each = each.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["label", "leaf"])
+    small = each.where("blocks = 1").drop("blocks").groupBy("label", "leaf").applyInArrow(lambda key, t: _cell(forest, key[1].as_py(), t, False), "vec long, links long, least long")
+    # A leaf of several blocks: every pair of blocks is a cell that both are sent to.
+    block = F.pmod(F.xxhash64("vec", F.lit(forest.seed + 1)), F.col("blocks")).cast("int")
+    large = each.where("blocks > 1").withColumn("block", block)
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("one"), F.greatest(k, "block").alias("two"), (F.col("block") > k).cast("long").alias("side")))
+    large = large.withColumn("cell", F.explode(cells)).select("*", "cell.*").drop("cell", "blocks", "block")
+
+    def compare(key, table):
+        return _cell(forest, key[1].as_py(), table, key[2].as_py() != key[3].as_py())
+
+    return small.unionByName(large.groupBy("label", "leaf", "one", "two").applyInArrow(compare, "vec long, links long, least long"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnscore.llm import fmindex, secrets, suffixes
+from txnscore.llm import decontam, fmindex, jaccard, mix, neighbours, quality, secrets, suffixes, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,9 +21,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package where they cannot import it from their own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_txnscore_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(sc._temp_dir, "txnscore.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._txnscore_shipped = True
+
+
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
-    return run
+    @functools.wraps(run)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(spark, sf_dir)
+
+    QUERIES[run.__name__] = shipped
+    return shipped
+
+
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# The rules of the registered query: fixed values.
+URL_RULES = [
+    urls.Rule("com", "/", urls.ALLOW),
+    urls.Rule("example.com", "/en/", urls.BLOCK),
+    urls.Rule("www.example.com", "/en/", urls.ALLOW),
+    urls.Rule("net", "/es/", urls.BLOCK),
+    urls.Rule("net", "/fr/", urls.BLOCK),
+]
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query
@@ -43,6 +96,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.link(_table(spark, sf_dir, "embeddings"))
+
+
 def _joined(spans) -> Column:
     text = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
     return F.array_join(text, ",")
@@ -57,3 +115,18 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
     return found.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))

@@ -5,8 +5,7 @@ form (numbers, hexadecimal and other keys) become placeholders, and siblings who
 urls go on alike - same next segments, same labels - are merged into one wildcard
 branch by a chi-squared test against all siblings. A path's place in the finished
 tree is its template. Templates are rejected by the share of blocked urls among
-their labelled ones, smoothed towards the share over all hosts. Labels are the
-verdicts of the rules.
+their labelled ones, smoothed towards one half. Labels are the verdicts of the rules.
 
 All steps are aggregations and equi-joins over distinct (host, path) pairs.
 """
@@ -39,7 +38,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class Filter:
-    """``depth`` segments make a template, the rest is one placeholder; ``reject`` is the least purity of a blocked template."""
+    """``depth`` segments make a template, the rest is one placeholder; ``reject`` is the least purity of a
+    blocked template, ``strength`` the labelled urls that the smoothing counts for."""
 
     depth: int = 4
     reject: float = 0.7
@@ -121,9 +121,8 @@ def judge(pages: DataFrame, rules: list[Rule], how: Filter = Filter(), id_col: s
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``template`` and ``purity`` of every row.
 
     The verdict is the longest fitting rule's; without one, ``block`` if the template's purity
-    reaches ``how.reject``. A template without labelled urls has the purity of all hosts
-    together, so hosts nobody labelled are judged by what their branches share with labelled
-    ones only. NULL urls and urls without ``://`` have an empty host and path, and a verdict
+    reaches ``how.reject``. A template without labelled urls has a purity of one half and is
+    allowed. NULL urls and urls without ``://`` have an empty host and path, and a verdict
     like any other. Repeated urls count as often as they occur. An empty table gives no rows.
     """
     url = F.col(url_col).cast("string")
@@ -136,10 +135,8 @@ def judge(pages: DataFrame, rules: list[Rule], how: Filter = Filter(), id_col: s
     for mark, is_it in (("allow", F.col("ruled") == ALLOW), ("block", F.col("ruled") == BLOCK), ("none", F.col("ruled").isNull())):
         paths = paths.withColumn(f"n_{mark}", F.when(is_it, F.col("n")).otherwise(0).cast("long"))
     tree = templates(paths.drop("n"), how)
-    share = tree.agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a")).first()
-    prior = ((share["b"] or 0) + 1) / ((share["b"] or 0) + (share["a"] or 0) + 2)
     found = tree.groupBy("host", "template").agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a"))
-    purity = (F.col("b") + how.strength * prior) / (F.col("a") + F.col("b") + how.strength)
+    purity = (F.col("b") + how.strength / 2) / (F.col("a") + F.col("b") + how.strength)
     found = found.select("host", "template", purity.alias("purity"))
     judged = tree.join(found, ["host", "template"]).select(
         "host", "path", "rule", "template", "purity", F.coalesce("ruled", F.when(F.col("purity") >= how.reject, BLOCK).otherwise(ALLOW)).alias("verdict")
