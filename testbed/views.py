@@ -96,7 +96,11 @@ _MESSAGE = (
     f"CASE event_id % 23 WHEN 3 THEN NULL WHEN 5 THEN substr({_PAYLOAD}, 1, 40) WHEN 7 THEN 'init:reset'"
     f" WHEN 11 THEN replace({_PAYLOAD}, '\"amount\":', '\"amount\":\"x\",\"was\":')"
     f" WHEN 13 THEN replace({_PAYLOAD}, '\"timestamp\":', '\"timestamp\":\"soon\",\"was\":')"
-    f" WHEN 17 THEN concat('[', {_PAYLOAD}, ']') ELSE {_PAYLOAD} END"
+    f" WHEN 17 THEN concat('[', {_PAYLOAD}, ']')"
+    f" WHEN 19 THEN replace({_PAYLOAD}, '\"amount\":', '\"amount\":NaN,\"was\":')"
+    f" WHEN 21 THEN replace({_PAYLOAD}, '\"amount\":', '\"amount\":1e19,\"was\":')"
+    f" WHEN 2 THEN replace({_PAYLOAD}, '\"timestamp\":', '\"timestamp\":1704067300.75,\"was\":')"
+    f" ELSE {_PAYLOAD} END"
 )
 
 _RUN_OF_ORDER = "concat('run-', lpad(CAST(o_custkey % 40 AS STRING), 3, '0'))"
@@ -148,6 +152,23 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
         },
         None,
     ),
+    # Deliveries of which some cannot be used.
+    "rough_deliveries": (
+        "events",
+        {
+            "transaction_id": "CASE event_id % 17 WHEN 3 THEN NULL WHEN 4 THEN ' ' ELSE CAST(event_id - event_id % 2 AS STRING) END",
+            "user_id": "CASE WHEN event_id % 17 <> 5 THEN concat('USER', CAST(user_id AS STRING)) END",
+            "amount": "CASE event_id % 17 WHEN 11 THEN CAST('NaN' AS DOUBLE) WHEN 12 THEN CAST('Infinity' AS DOUBLE)"
+            " WHEN 13 THEN CAST('1e19' AS DOUBLE) WHEN 14 THEN NULL ELSE value * 10 END",
+            "timestamp": "CASE event_id % 17 WHEN 7 THEN 'soon' WHEN 8 THEN NULL"
+            " WHEN 9 THEN concat(CAST({EPOCH:ts} AS STRING), '.75') ELSE CAST({EPOCH:ts} AS STRING) END",
+            "location": "CAST(NULL AS STRING)",
+            "lat": "CAST(1 AS DOUBLE)",
+            "lon": "CAST(2 AS DOUBLE)",
+            "seq": "event_id",
+        },
+        None,
+    ),
     "messages": ("events", {"event_id": "event_id", "data": _MESSAGE}, None),
     # Scored output, as stats events.
     "results": (
@@ -233,7 +254,8 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
             "event_id": "event_id",
             "raw": "CASE event_id % 8 WHEN 0 THEN CAST({EPOCH:ts} AS STRING) WHEN 1 THEN {ISO:ts}"
             " WHEN 2 THEN concat({ISO:ts}, 'Z') WHEN 3 THEN concat({ISO:ts}, '+02:00')"
-            " WHEN 4 THEN replace({ISO:ts}, 'T', ' ') WHEN 5 THEN '' WHEN 6 THEN 'not a time' END",
+            " WHEN 4 THEN replace({ISO:ts}, 'T', ' ') WHEN 5 THEN '' WHEN 6 THEN 'not a time'"
+            " ELSE CASE event_id % 3 WHEN 0 THEN '1704067300.75' WHEN 1 THEN '-1.5' END END",
         },
         None,
     ),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from txnscore import jobs
 from txnscore.config import Settings
 from txnscore.functions.messages import decode_messages
-from txnscore.ml.model import check_categories, encoding_stages, model_input, probability, train
+from txnscore.ml.model import category_table, encoding_stages, model_input, probability, train, with_places
 from txnscore.ml.registry import ModelRegistry
 from txnscore.plans.results import latest_predictions, search_profiles, search_transactions
 from txnscore.schemas import MODEL_FEATURES
@@ -81,7 +81,7 @@ def test_prepare(spark, deployed):
 def test_registry_is_loud(spark, deployed, tmp_path):
     root, version, _ = deployed
     registry = ModelRegistry(spark, root, SETTINGS.model_name)
-    assert registry.load(version).stages
+    assert registry.load(version).stages.stages
     with pytest.raises(LookupError):
         registry.load("no-such-version")
     with pytest.raises(LookupError):
@@ -99,15 +99,51 @@ def test_unseen_category_encodes_as_zeros(spark, deployed):
     from pyspark.ml.functions import vector_to_array
 
     rows = model_input(spark.read.parquet(f"{deployed[0]}/training"))
-    fitted = Pipeline(stages=encoding_stages()).fit(rows)
+    categories = category_table(rows)
+    fitted = Pipeline(stages=encoding_stages()).fit(with_places(rows, categories))
     odd = rows.limit(1).withColumns({"merchant_id_text": F.lit("never seen"), "card_provider_text": F.lit("new")})
-    x = fitted.transform(odd).select(vector_to_array("features")).first()[0]
+    x = fitted.transform(with_places(odd, categories)).select(vector_to_array("features")).first()[0]
     assert sum(x[8:]) == 4.0
 
 
-def test_too_many_categories_are_refused(spark, deployed):
-    with pytest.raises(ValueError, match="merchant_id"):
-        check_categories(spark.read.parquet(f"{deployed[0]}/training"), 4)
+def test_very_many_merchants_train(spark, deployed):
+    rows = spark.read.parquet(f"{deployed[0]}/training").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(27))))
+    ident = F.concat("transaction_id", F.lit("-"), F.col("n").cast("string"))
+    many = rows.withColumns({"merchant_id": F.concat(F.lit("m"), ident), "transaction_id": ident})
+    trained = train(many, Settings(num_trees=1, max_depth=2))
+    assert trained.model.categories.filter("feature = 'merchant_id'").count() > 20_000
+    assert trained.metrics.first()["rows"] == 900 * 28 * 0.2
+
+
+def test_training_reports_classes_and_confusion(spark, deployed):
+    trained = train(spark.read.parquet(f"{deployed[0]}/training"), SETTINGS)
+    report = {r["class"]: r for r in trained.report.collect()}
+    cells = {r["label"]: r for r in trained.confusion.collect()}
+    metrics = trained.metrics.first()
+    assert report["accuracy"]["precision"] == metrics["accuracy"]
+    assert report["0"]["support"] + report["1"]["support"] == metrics["rows"]
+    assert (cells[1]["predicted_1"], cells[0]["predicted_1"]) == (metrics["tp"], metrics["fp"])
+
+
+def test_deliveries_that_cannot_be_used_are_kept_apart(spark, tmp_path):
+    lines = [
+        '{"transaction_id": "a", "user_id": "u", "amount": 10, "timestamp": 1704067300.5}',
+        '{"transaction_id": "b", "user_id": "u", "amount": NaN, "timestamp": 1704067301}',
+        '{"user_id": "u", "amount": 1, "timestamp": 1704067302}',
+        '{"transaction_id": "c", "amount": 1, "timestamp": 1704067303}',
+        '{"transaction_id": "d", "user_id": "u", "amount": 1, "timestamp": "soon"}',
+        '{"transaction_id": "e", "user_id": "u", "amou',
+        '{"transaction_id": "a", "user_id": "u", "amount": "x", "timestamp": 1704067304}',
+    ]
+    (tmp_path / "raw.json").write_text("\n".join(lines))
+    raw = readers.read_raw_json(spark, str(tmp_path / "raw.json"), multiline=False, arrival=True)
+    root = str(tmp_path / "root")
+    jobs.load(spark, raw, root, readers.ARRIVAL)
+    history = spark.read.parquet(f"{root}/history").collect()
+    assert [(r["transaction_id"], r["timestamp"]) for r in history] == [("a", 1704067300)]
+    reasons = sorted(r["reason"] for r in spark.read.parquet(f"{root}/rejected_history").collect())
+    assert reasons == sorted(["unusable amount", "no transaction id", "no user", "unreadable time", "malformed", "malformed"])
+    assert spark.read.parquet(f"{root}/profiles").first()["first_seen"] == 1704067300
 
 
 def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
@@ -118,7 +154,10 @@ def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
 
         shutil.copytree(f"{source}/{table}", f"{root}/{table}")
     feed = str(tmp_path / "feed")
-    bad = ["{broken", None, '{"transaction_id": "z", "timestamp": 99999999999999}']
+    bad = [
+        "{broken", None, '{"transaction_id": "z", "timestamp": 99999999999999999999}',
+        '{"transaction_id": "y", "user_id": "u1", "amount": NaN, "timestamp": 1704067300}',
+    ]
     write_feed(spark, feed, [[message(i) for i in range(0, 40)], [message(i) for i in range(40, 70)] + bad])
     worker(spark, root, feed, version)
     before = spark.read.parquet(f"{root}/predictions").count()
@@ -138,7 +177,7 @@ def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
     assert sorted(map(tuple, streamed.select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
 
     dead = {r["data"]: r["reason"] for r in spark.read.parquet(f"{root}/dead_letters").collect()}
-    assert dead == {"{broken": "malformed", None: "no payload", bad[2]: "unreadable time"}
+    assert dead == {"{broken": "malformed", None: "no payload", bad[2]: "unreadable time", bad[3]: "unusable amount"}
     runs = {r["run_id"] for r in spark.read.parquet(f"{root}/stats_events").select("run_id").distinct().collect()}
     assert runs == {"run-1", "run-2", "unknown"}
     sizes = sorted(r["transactions"] for r in spark.read.parquet(f"{root}/batch_stats").collect())

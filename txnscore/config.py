@@ -18,8 +18,6 @@ class Settings:
     model_name: str = "fraud-detection-model"
     num_trees: int = 100
     max_depth: int = 10
-    # Widest one-hot column the trainer accepts; wider data is refused, not cut.
-    max_categories: int = 20_000
     retention_hours: int = 24
 
     @classmethod

@@ -22,19 +22,28 @@ UNKNOWN = "UNKNOWN"
 MONEY = "decimal(24,6)"
 
 
-# Seconds a nanosecond clock can hold; times beyond it are unusable.
-LAST_SECOND = 9_223_372_036
+def finite(value: Column) -> Column:
+    """The number itself; NULL for NaN and the infinities."""
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def money(amount: Column) -> Column:
-    """The exact amount; NULL for one that is no number (it must not fail the job)."""
+    """The exact amount; NULL for one that is no finite number below 10**18.
+
+    Such an amount is unusable everywhere: it is in no sum and in no count, and a
+    message or a delivery that has one is routed aside with a reason.
+    """
     return amount.try_cast(MONEY)
 
 
+def unusable(amount: Column) -> Column:
+    return amount.isNotNull() & money(amount).isNull()
+
+
 def half_up(value: Column, digits: int) -> Column:
     """Round by plain double arithmetic, so every engine gets the same bits.
 
-    Values too large to have such a digit stay as they are.
+    A double of 9e15 or more has no digit behind the point, so it is rounded already.
     """
     scale = float(10**digits)
     rounded = F.floor(value * scale + 0.5) / F.lit(scale)
@@ -42,9 +51,16 @@ def half_up(value: Column, digits: int) -> Column:
 
 
 def epoch_seconds(raw: Column) -> Column:
-    """Epoch seconds from integer text or ISO-8601 text; NULL if neither."""
+    """Epoch seconds from a number or ISO-8601 text; NULL if neither.
+
+    Fractions of a second are cut off downwards. A number has at most 18 digits
+    before the point, so that times can be added without overflow.
+    """
     text = F.trim(raw.cast("string"))
-    return F.coalesce(text.try_cast("bigint"), F.unix_seconds(F.try_to_timestamp(text)))
+    whole = text.try_cast("decimal(18,0)").cast("bigint")
+    number = F.floor(text.try_cast("decimal(27,9)")).cast("bigint")
+    plain = F.when(text.rlike("^[+-]?[0-9]+$"), whole).otherwise(number)
+    return F.coalesce(plain, F.unix_seconds(F.try_to_timestamp(text)))
 
 
 def hour_of_day(epoch: Column) -> Column:

@@ -1,6 +1,7 @@
 """End-to-end jobs over one deployment folder (``root``).
 
-Layout below ``root``: ``history`` (all transactions), ``profiles``,
+Layout below ``root``: ``history`` (all usable transactions), ``rejected_history``
+(deliveries that could not be used, with the reason), ``profiles``,
 ``serving_history`` (one row per user and second), ``training`` (labelled
 features), ``models`` and ``model_registry``, ``runs`` (change log), and the
 tables the scoring stream writes.
@@ -18,7 +19,7 @@ from txnscore.config import DEFAULTS, Settings
 from txnscore.ml.model import train
 from txnscore.ml.registry import ModelRegistry
 from txnscore.plans import results, runstats
-from txnscore.plans.history import load_history, offline_features
+from txnscore.plans.history import load_history, offline_features, rejected_history
 from txnscore.plans.labels import add_fraud_labels
 from txnscore.plans.profiles import user_profiles
 from txnscore.plans.serving import compact_history
@@ -40,6 +41,7 @@ def load(spark: SparkSession, raw: DataFrame, root: str, seq: str | Sequence[str
     """
     prepare_session(spark)
     order = [seq] if isinstance(seq, str) else list(seq)
+    sinks.save_table(rejected_history(raw), f"{root}/rejected_history")
     ready = load_history(raw, order).drop(*order)
     sinks.save_table(
         ready.repartitionByRange("user_id", "timestamp").sortWithinPartitions("user_id", "timestamp"),

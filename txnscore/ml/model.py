@@ -6,19 +6,22 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnscore.config import DEFAULTS, Settings
 from txnscore.functions import features as fx
-from txnscore.ml.metrics import eval_metrics
+from txnscore.ml.metrics import argmax_class, classification_report, confusion_matrix, eval_metrics
 from txnscore.plans.labels import mark_split, split_edges
 from txnscore.plans.results import flag_predictions
 from txnscore.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES, require_columns
 from txnscore.session import materialize
 
+# Above every place a category table can give.
+UNSEEN = 2.0**31 - 2
+
 
 def _texts() -> dict[str, Column]:
     return {
@@ -27,7 +30,8 @@ def _texts() -> dict[str, Column]:
 
 
 def _numbers() -> dict[str, Column]:
-    return {f"{c}_num": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMERIC_FEATURES}
+    """Numbers the assembler accepts: what is missing or not finite is 0."""
+    return {f"{c}_num": F.coalesce(fx.finite(F.col(c).cast("double")), F.lit(0.0)) for c in NUMERIC_FEATURES}
 
 
 def model_input(rows: DataFrame) -> DataFrame:
@@ -89,39 +93,63 @@ def encoder_fit(rows: DataFrame) -> DataFrame:
     )
 
 
-def check_categories(rows: DataFrame, most: int) -> None:
-    """Refuse a column with more categories than ``most``: the encoder keeps its
-    labels in memory and the vectors get one slot each."""
-    wide = (
-        encoder_fit(rows).groupBy("feature").agg(F.count(F.lit(1)).alias("categories"))
-        .filter(F.col("categories") > most)
-        .collect()
-    )
-    if wide:
-        found = ", ".join(f"{r['feature']} ({r['categories']})" for r in wide)
-        raise ValueError(f"more than {most} categories: {found}")
+def category_table(rows: DataFrame) -> DataFrame:
+    """``feature``, ``category`` and its ``place``: the most frequent first, then by name."""
+    order = Window.partitionBy("feature").orderBy(F.col("rows").desc(), F.col("category"))
+    return encoder_fit(rows).select("feature", "category", (F.row_number().over(order) - 1).alias("place"))
+
+
+def with_places(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """``model_input`` rows with ``<feature>_index``, joined by value from the category table.
+
+    A category the table doesn't have gets ``UNSEEN``, which encodes as all zeros. No
+    list of categories is held anywhere, so a column may have any number of them.
+    """
+    for c in CATEGORICAL_FEATURES:
+        own = categories.filter(F.col("feature") == c).select(F.col("category").alias(f"{c}_text"), F.col("place").alias(f"{c}_index"))
+        rows = rows.join(own, f"{c}_text", "left")
+    return rows.withColumns({f"{c}_index": F.coalesce(F.col(f"{c}_index").cast("double"), F.lit(UNSEEN)) for c in CATEGORICAL_FEATURES})
 
 
 def encoding_stages() -> list:
+    """The stages behind ``with_places``. The scaler divides by the sample deviation."""
     indexed = [f"{c}_index" for c in CATEGORICAL_FEATURES]
     hot = [f"{c}_hot" for c in CATEGORICAL_FEATURES]
     return [
         VectorAssembler(inputCols=[f"{c}_num" for c in NUMERIC_FEATURES], outputCol="numbers"),
         StandardScaler(withMean=True, withStd=True, inputCol="numbers", outputCol="scaled"),
-        # An unseen category gets the extra index, which encodes as all zeros.
-        StringIndexer(
-            inputCols=[f"{c}_text" for c in CATEGORICAL_FEATURES], outputCols=indexed, handleInvalid="keep"
-        ),
-        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
+        # A place beyond those of the training rows is one more category, which is dropped.
+        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True, handleInvalid="keep"),
         VectorAssembler(inputCols=["scaled", *hot], outputCol="features"),
     ]
 
 
+@dataclass(frozen=True)
+class ScoringModel:
+    """Fitted stages and the category table they were fitted with."""
+
+    stages: PipelineModel
+    categories: DataFrame
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.stages.transform(with_places(rows, self.categories))
+
+    def save(self, path: str) -> None:
+        self.categories.write.parquet(f"{path}/categories")
+        self.stages.write().save(f"{path}/stages")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ScoringModel":
+        return cls(PipelineModel.load(f"{path}/stages"), spark.read.parquet(f"{path}/categories"))
+
+
 @dataclass(frozen=True)
 class Trained:
-    model: PipelineModel
+    model: ScoringModel
     metrics: DataFrame
     test: DataFrame
+    report: DataFrame
+    confusion: DataFrame
 
 
 def train(labelled: DataFrame, settings: Settings = DEFAULTS) -> Trained:
@@ -136,8 +164,9 @@ def train(labelled: DataFrame, settings: Settings = DEFAULTS) -> Trained:
     key = ("is_fraud", "transaction_id")
     edges = materialize(split_edges(kept, *key, settings.test_size, settings.random_state), "edges")
     rows = mark_split(kept, edges, *key, settings.random_state)
-    check_categories(rows, settings.max_categories)
-    fit_rows = model_input(rows.filter("is_test = 0"))
+    learnt = rows.filter("is_test = 0")
+    categories = materialize(category_table(learnt), "categories")
+    fit_rows = with_places(model_input(learnt), categories)
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol="is_fraud",
@@ -147,15 +176,24 @@ def train(labelled: DataFrame, settings: Settings = DEFAULTS) -> Trained:
     )
     # The copy leaves out the forest's training summary, which holds on to the
     # session and would be serialized with every scoring task.
-    model = Pipeline(stages=[*encoding_stages(), forest]).fit(fit_rows).copy()
+    model = ScoringModel(Pipeline(stages=[*encoding_stages(), forest]).fit(fit_rows).copy(), categories)
     test = materialize(
         probability(rows.filter("is_test = 1"), model).select("transaction_id", "is_fraud", "fraud_probability"),
         "evaluation",
     )
-    return Trained(model, eval_metrics(test, "is_fraud", "fraud_probability", settings.fraud_threshold), test)
+    likelier = argmax_class(F.col("fraud_probability"))
+    metrics = eval_metrics(test, "is_fraud", "fraud_probability", settings.fraud_threshold)
+    return Trained(
+        model,
+        # Stored, so that printing and registering them doesn't compute them again.
+        materialize(metrics, "metrics"),
+        test,
+        materialize(classification_report(test, "is_fraud", likelier), "report"),
+        materialize(confusion_matrix(test, "is_fraud", likelier), "confusion"),
+    )
 
 
-def probability(rows: DataFrame, model: PipelineModel) -> DataFrame:
+def probability(rows: DataFrame, model: ScoringModel) -> DataFrame:
     """``rows`` with ``fraud_probability``, the probability of class 1."""
     scored = model.transform(model_input(rows))
     return scored.select(
@@ -164,6 +202,6 @@ def probability(rows: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
-def score(features: DataFrame, model: PipelineModel, threshold: float = DEFAULTS.fraud_threshold) -> DataFrame:
+def score(features: DataFrame, model: ScoringModel, threshold: float = DEFAULTS.fraud_threshold) -> DataFrame:
     """Predictions: probability and flag on top of the input columns."""
     return flag_predictions(probability(features, model), threshold)

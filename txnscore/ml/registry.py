@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnscore.config import DEFAULTS
+from txnscore.ml.model import ScoringModel
 from txnscore.sources.sinks import table_exists
 
 REGISTRY_SCHEMA = (
@@ -24,12 +24,12 @@ class ModelRegistry:
         self.spark, self.root, self.name = spark, root.rstrip("/"), name
         self._table = f"{self.root}/model_registry"
 
-    def save(self, model: PipelineModel, description: str = "", metrics: DataFrame | None = None) -> str:
+    def save(self, model: ScoringModel, description: str = "", metrics: DataFrame | None = None) -> str:
         """Save a new version and return its id; errors are raised, never hidden."""
         now = datetime.now(timezone.utc)
         version = f"{now:%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:6]}"
         path = f"{self.root}/models/{self.name}/{version}"
-        model.write().save(path)
+        model.save(path)
         figures = metrics.select(F.to_json(F.struct("*"))).first()[0] if metrics is not None else None
         row = (self.name, version, description, now.replace(tzinfo=None), path, figures)
         schema = REGISTRY_SCHEMA.replace("created_at TIMESTAMP", "created_at TIMESTAMP_NTZ")
@@ -45,7 +45,7 @@ class ModelRegistry:
         rows = self.spark.read.schema(REGISTRY_SCHEMA).parquet(self._table)
         return rows.filter(F.col("name") == self.name).orderBy(F.col("created_at").desc(), F.col("version").desc())
 
-    def load(self, version: str | None = None) -> PipelineModel:
+    def load(self, version: str | None = None) -> ScoringModel:
         """One version, by default the newest; raises ``LookupError`` if there is none."""
         rows = self.versions()
         if version is not None:
@@ -53,4 +53,4 @@ class ModelRegistry:
         found = rows.select("path").first()
         if found is None:
             raise LookupError(f"no version {version or '(latest)'} of model {self.name}")
-        return PipelineModel.load(found["path"])
+        return ScoringModel.load(self.spark, found["path"])

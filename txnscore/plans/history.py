@@ -20,6 +20,7 @@ from txnscore.functions import features as fx
 from txnscore.operators.cumulate import cumulate
 from txnscore.operators.latest import latest_by_key
 from txnscore.plans.profiles import user_summary
+from txnscore.schemas import CORRUPT
 
 USER_SECOND = ["user_id", "timestamp"]
 
@@ -44,7 +45,7 @@ def prior_activity(txns: DataFrame) -> DataFrame:
         .groupBy(*USER_SECOND)
         .agg(
             F.count(F.lit(1)).alias("txns"),
-            F.count("amount").alias("priced"),
+            F.count(fx.money(F.col("amount"))).alias("priced"),
             F.sum(fx.money(F.col("amount"))).alias("spend"),
         )
     )
@@ -171,13 +172,33 @@ def recent_transactions(txns: DataFrame, limit: int = 10) -> DataFrame:
     return ranked.filter(F.col("recency") <= limit)
 
 
+def _rejection(raw: DataFrame) -> Column:
+    """Why a delivered row cannot be used, else NULL."""
+    empty = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    reason = F.when(F.col(CORRUPT).isNotNull(), "malformed") if CORRUPT in raw.columns else F
+    return (
+        reason.when(empty("transaction_id"), "no transaction id")
+        .when(empty("user_id"), "no user")
+        .when(fx.epoch_seconds(F.col("timestamp")).isNull(), "unreadable time")
+        .when(fx.unusable(F.col("amount")), "unusable amount")
+    )
+
+
 def load_history(raw: DataFrame, seq: str | Sequence[str]) -> DataFrame:
     """Historical transactions ready for use: epoch timestamps, a location where
-    the coordinates give one, and one row per transaction id (the last one)."""
-    ready = raw.withColumns(
+    the coordinates give one, and one row per transaction id (the last usable one).
+    Rows that cannot be used are in ``rejected_history`` instead."""
+    usable = raw.filter(_rejection(raw).isNull()).drop(CORRUPT)
+    ready = usable.withColumns(
         {
             "timestamp": fx.epoch_seconds(F.col("timestamp")),
             "location": F.coalesce("location", fx.compose_location(F.col("lon"), F.col("lat"))),
         }
     )
     return latest_by_key(ready, "transaction_id", seq)
+
+
+def rejected_history(raw: DataFrame) -> DataFrame:
+    """The delivered rows ``load_history`` leaves out, as delivered, with a ``reason``:
+    ``malformed``, ``no transaction id``, ``no user``, ``unreadable time``, ``unusable amount``."""
+    return raw.withColumn("reason", _rejection(raw)).filter(F.col("reason").isNotNull())

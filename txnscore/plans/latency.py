@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnscore.functions.features import half_up
+from txnscore.functions.features import finite, half_up
 from txnscore.operators.ranks import values_at_ranks
 
 # Reported percentiles, and the size below which a group takes
@@ -41,7 +41,7 @@ def percentiles(
     """
     times = F.sum(weight) if weight else F.count(F.lit(1))
     counted = (
-        rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
+        rows.filter(finite(F.col(value)).isNotNull())
         .groupBy(*keys, value)
         .agg(times.alias("times"))
         .withColumn("bin", F.floor(F.col(value) * _BINS_PER_MS))
@@ -65,7 +65,7 @@ def mean_ms(total: Column, count: Column) -> Column:
 
 def latency_sums(value: str) -> list[Column]:
     """Partial aggregates of a latency column; the sum is exact to a nanosecond."""
-    latency = F.when(~F.isnan(value), F.col(value))
+    latency = finite(F.col(value))
     return [
         F.sum(latency.try_cast("decimal(24,6)")).alias("total_ms"),
         F.min(latency).alias("min_ms"),

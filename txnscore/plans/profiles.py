@@ -33,7 +33,7 @@ def user_summary(
             F.lit("card").alias("kind"),
             card.alias("value"),
             F.lit(1).alias("txns"),
-            fx.money(F.coalesce("amount", F.lit(0.0))).alias("spend"),
+            F.coalesce(fx.money(F.col("amount")), fx.money(F.lit(0.0))).alias("spend"),
         ),
         F.struct(
             F.lit("home").alias("kind"),
@@ -64,21 +64,23 @@ def user_summary(
 
 
 def user_profiles(txns: DataFrame) -> DataFrame:
-    """One profile per user: a missing card counts as UNKNOWN, an empty location not at all."""
-    dated = txns.withColumn("timestamp", F.coalesce("timestamp", F.lit(0)))
+    """One profile per user: a missing card counts as UNKNOWN, an empty location not at all.
+
+    Transactions without a time say nothing about when a user was first seen.
+    """
     place = F.col("location")
     summary = user_summary(
-        dated,
+        txns,
         card=F.coalesce("card_provider", F.lit(fx.UNKNOWN)),
         location=F.when(place != "", place),
     )
     return summary.select(
         "user_id",
-        "first_seen",
+        F.coalesce("first_seen", F.lit(0)).alias("first_seen"),
         "preferred_card",
         fx.spend_segment(F.col("total_spend")).alias("user_segment"),
         F.coalesce("home_location", F.lit(fx.NO_HOME)).alias("home_location"),
-        F.col("first_seen").alias("registration_date"),
+        F.coalesce("first_seen", F.lit(0)).alias("registration_date"),
     )
 
 

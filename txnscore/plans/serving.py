@@ -24,7 +24,7 @@ def compact_history(history: DataFrame) -> DataFrame:
         .groupBy("user_id", F.coalesce("timestamp", F.lit(0)).alias("timestamp"))
         .agg(
             F.count(F.lit(1)).alias("txns"),
-            F.sum(fx.money(F.coalesce("amount", F.lit(0.0)))).alias("spend"),
+            F.sum(F.coalesce(fx.money(F.col("amount")), fx.money(F.lit(0.0)))).alias("spend"),
         )
     )
 

@@ -21,6 +21,9 @@ def _struct(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
+# Where a reader puts a record it cannot parse.
+CORRUPT = "_corrupt_record"
+
 # Historical transaction as it arrives: timestamp is epoch seconds or ISO text.
 RAW_TRANSACTION = _struct(
     "transaction_id STRING, user_id STRING, merchant_id STRING, item_name STRING,"

@@ -23,7 +23,7 @@ def tail_results(
     return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
 
 
-def drain(tail: DataFrame, out: str, checkpoint: str, timeout: int = 300) -> DataFrame:
+def drain(tail: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Append everything that arrived since the last call to ``out`` and return the table."""
     query = (
         tail.writeStream.format("parquet")
@@ -33,7 +33,5 @@ def drain(tail: DataFrame, out: str, checkpoint: str, timeout: int = 300) -> Dat
         .trigger(availableNow=True)
         .start()
     )
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"the tail did not finish within {timeout} s")
+    query.awaitTermination()
     return tail.sparkSession.read.schema(tail.schema).parquet(out)
