@@ -12,6 +12,7 @@ from testbed.views import spark_view
 from txnscore.config import DEFAULTS
 from txnscore.functions import features as fx
 from txnscore.functions.messages import dead_letters, decode_messages, parse_messages
+from txnscore.jobs import save_serving
 from txnscore.ml import model as ml
 from txnscore.ml.metrics import classification_report, confusion_matrix, eval_metrics, flagged, roc_auc
 from txnscore.ml.registry import ModelRegistry
@@ -611,13 +612,11 @@ def _checked(scored: DataFrame) -> DataFrame:
 
 
 def _job(v: Views, out: str) -> ScoringJob:
-    history_path, profile_path = f"{out}/history", f"{out}/profiles"
-    sinks.save_table(v.compact(), history_path)
-    sinks.save_table(v.profiles(), profile_path)
+    save_serving(v.profiles(), v.compact(), out)
     return ScoringJob(
         _trained(v.spark, v.sf_dir).model,
-        v.spark.read.parquet(history_path),
-        v.spark.read.parquet(profile_path),
+        v.spark.read.parquet(f"{out}/serving_history"),
+        v.spark.read.parquet(f"{out}/profiles"),
         out,
     )
 

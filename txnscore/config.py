@@ -19,6 +19,8 @@ class Settings:
     num_trees: int = 100
     max_depth: int = 10
     retention_hours: int = 24
+    # Partitions of the stored serving tables; a table keeps the number it was written with.
+    user_buckets: int = 64
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> "Settings":

@@ -22,7 +22,7 @@ from txnscore.plans import results, runstats
 from txnscore.plans.history import load_history, offline_features, rejected_history
 from txnscore.plans.labels import add_fraud_labels
 from txnscore.plans.profiles import user_profiles
-from txnscore.plans.serving import compact_history
+from txnscore.plans.serving import USER_BUCKET, compact_history, user_bucket
 from txnscore.schemas import STATS_EVENT
 from txnscore.session import prepare as prepare_session
 from txnscore.sources import readers, sinks
@@ -31,13 +31,15 @@ from txnscore.streaming.score import ScoringJob
 from txnscore.streaming.tail import tail_results
 
 
-def load(spark: SparkSession, raw: DataFrame, root: str, seq: str | Sequence[str]) -> None:
+def load(
+    spark: SparkSession, raw: DataFrame, root: str, seq: str | Sequence[str], settings: Settings = DEFAULTS
+) -> None:
     """Raw transactions to the history, profile and serving tables.
 
     ``seq`` orders the writes of one transaction id. History files are ranges of
     (user, time), so a lookup by user reads few of them and a hot user still
-    spreads over several; serving files are ranges of time, so a recent window
-    reads only the newest.
+    spreads over several. Profiles and serving history are partitioned by a hash of
+    the user; within a partition the serving files are ranges of time.
     """
     prepare_session(spark)
     order = [seq] if isinstance(seq, str) else list(seq)
@@ -48,10 +50,18 @@ def load(spark: SparkSession, raw: DataFrame, root: str, seq: str | Sequence[str
         f"{root}/history",
     )
     history = spark.read.parquet(f"{root}/history")
-    sinks.save_table(user_profiles(history), f"{root}/profiles")
+    save_serving(user_profiles(history), compact_history(history), root, settings)
+
+
+def save_serving(profiles: DataFrame, compact: DataFrame, root: str, settings: Settings = DEFAULTS) -> None:
+    """The two stored tables of scoring, partitioned by the hash of the user."""
+    bucket = user_bucket(settings.user_buckets)
+    spread = compact.withColumn(USER_BUCKET, bucket).repartitionByRange(USER_BUCKET, "timestamp")
+    sinks.save_table(
+        profiles.withColumn(USER_BUCKET, bucket).repartition(USER_BUCKET), f"{root}/profiles", USER_BUCKET
+    )
     sinks.save_table(
-        compact_history(history).repartitionByRange("timestamp").sortWithinPartitions("user_id"),
-        f"{root}/serving_history",
+        spread.sortWithinPartitions(USER_BUCKET, "timestamp"), f"{root}/serving_history", USER_BUCKET
     )
 
 
@@ -78,7 +88,7 @@ def prepare(
 ) -> tuple[str, DataFrame]:
     """From raw JSON to a registered model."""
     raw = readers.read_raw_json(spark, raw_path, multiline, arrival=True)
-    load(spark, raw, root, readers.ARRIVAL)
+    load(spark, raw, root, readers.ARRIVAL, settings)
     build_training(spark, root, settings)
     return train_model(spark, root, settings)
 

@@ -6,7 +6,7 @@ batch and any split of it into micro-batches get the same features.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnscore.functions import features as fx
@@ -15,6 +15,20 @@ from txnscore.plans.history import recent_transactions
 from txnscore.plans.profiles import PROFILE_DEFAULTS, with_profile
 
 ASK = ["user_id", "timestamp"]
+# Stored serving tables are partitioned by this, so a micro-batch reads its users' buckets only.
+USER_BUCKET = "user_bucket"
+
+
+def user_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+
+
+def of_users(stored: DataFrame, asking: DataFrame, buckets: int) -> DataFrame:
+    """The partitions of a stored table that hold users of ``asking`` (at most ``buckets`` numbers)."""
+    if USER_BUCKET not in stored.columns:
+        return stored
+    wanted = asking.filter(F.col("user_id").isNotNull()).select(user_bucket(buckets).alias("b")).distinct()
+    return stored.filter(F.col(USER_BUCKET).isin([r["b"] for r in wanted.collect()])).drop(USER_BUCKET)
 
 
 def compact_history(history: DataFrame) -> DataFrame:
@@ -38,7 +52,13 @@ def serving_activity(asks: DataFrame, compact: DataFrame, as_of: bool = False) -
     user and day replace the range join, so no pairs are formed.
     """
     t = F.col("timestamp")
-    stored = compact.select(
+    # Only the asking users' stored seconds are unfolded, each user's from 30 days before the
+    # earliest question on.
+    users = asks.groupBy("user_id").agg(F.min(F.when(t != 0, t)).alias("oldest"))
+    near = compact.join(users, "user_id").filter(t >= F.col("oldest") - fx.HISTORY_SECONDS)
+    if as_of:
+        near = compact.join(users, "user_id", "left_semi")
+    stored = near.select(
         "user_id",
         F.explode(
             F.array(
@@ -165,7 +185,7 @@ def user_data(
     """
     fields = [c for c in history.columns if c != "user_id"]
     listed = (
-        recent_transactions(history, latest)
+        recent_transactions(history.join(asks.select("user_id").distinct(), "user_id", "left_semi"), latest)
         .groupBy("user_id")
         .agg(F.array_sort(F.collect_list(F.struct("recency", F.struct(*fields).alias("txn")))).alias("ranked"))
         .select("user_id", F.col("ranked.txn").alias("recent_transactions"))
