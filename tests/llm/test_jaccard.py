@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from txnscore.llm import jaccard
 
@@ -17,7 +18,7 @@ def shingles(text):
     return frozenset(zip(*(words[k:] for k in range(5))))
 
 
-def brute(rows):
+def brute(rows, roots=False):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -35,6 +36,8 @@ def brute(rows):
     for k, (i, _) in enumerate(rows):
         least[find(k)].append(i)
     names = {k: min((i for i in v if i is not None), default=None) for k, v in least.items()}
+    if roots:
+        return [(len(sets[k]), find(k)) for k in range(len(rows))]
     return [(i, len(sets[k]), names[find(k)]) for k, (i, _) in enumerate(rows)]
 
 
@@ -59,7 +62,10 @@ def table():
     return rows
 
 
-def test_components(docs):
+@pytest.mark.parametrize("paired, block", [(32, 1024), (1, 5), (1, 1024)])
+def test_components(docs, monkeypatch, paired, block):
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = table()
     got = [tuple(r) for r in jaccard.near_duplicates(docs(rows)).collect()]
     assert sorted(got, key=repr) == sorted(brute(rows), key=repr)
@@ -70,12 +76,9 @@ def test_one_of_each_group_stays(docs):
     frame = docs(rows)
     kept = jaccard.keep_one(frame)
     assert kept.columns == frame.columns
-    groups = defaultdict(list)
-    for (i, t), (_, n, c) in zip(rows, brute(rows)):
-        groups[(c, i, t) if not n else (c, None if c is not None else t)].append((i, n))
-    want = sum(len(v) if not v[0][1] else 1 for v in groups.values())
+    blank = sum(not n for n, _ in brute(rows, roots=True))
     got = kept.collect()
-    assert len(got) == want
+    assert len(got) == blank + len({r for n, r in brute(rows, roots=True) if n})
     named = {c for _, n, c in brute(rows) if n and c is not None}
     assert {r.doc_id for r in got if shingles(r.text)} - {None} == named
 
@@ -94,4 +97,23 @@ def test_filters_lose_no_similar_pair():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 1 << 62, int(rng.integers(0, 4))).astype(np.uint64)]))
         if len(b):
             both = len(np.intersect1d(a, b))
-            assert jaccard.similar(near, a, b) == (100 * both >= 80 * (len(a) + len(b) - both))
+            alike = 100 * both >= 80 * (len(a) + len(b) - both)
+            assert jaccard.similar(near, a, b) == alike
+            if alike:
+                assert jaccard.passes(near, len(a), jaccard.sketch(near, a), len(b), jaccard.sketch(near, b))
+
+
+def test_filters_leave_out_sets_that_only_share_a_part():
+    rng = np.random.default_rng(2)
+    near = jaccard.Near()
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+        b = np.unique(np.concatenate([a[:160], rng.integers(0, 1 << 62, 240).astype(np.uint64)]))
+        assert not jaccard.passes(near, len(a), jaccard.sketch(near, a), len(b), jaccard.sketch(near, b))
+
+
+def test_joins_without_broadcasts_give_the_same(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW_KEYS", 0)
+    rows = table()
+    got = [tuple(r) for r in jaccard.near_duplicates(docs(rows)).collect()]
+    assert sorted(got, key=repr) == sorted(brute(rows), key=repr)

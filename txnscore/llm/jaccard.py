@@ -1,17 +1,20 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles.
 
 Two sets as similar as the threshold share a token among the first
-n - ceil(threshold * n) + 1 tokens of each, under any order of all tokens. Under
-several orders, all of these filters hold at once:
-
-1. The first order puts frequent shingles last (counted over all documents), so
-   its prefixes meet on rare ones. Documents with the same set are one class; the
-   prefix tokens of every class meet by slices of the token.
-2. Each class of a token is paired with the token's first class (a star, linear in
-   the group). A pair is verified only if the prefixes under the other orders
-   share a token as well; then the sets are intersected exactly.
+n - ceil(threshold * n) + 1 tokens of each, under any order of all tokens, and with
+l - 1 tokens more they share l. Under several orders, all of these filters hold at once:
+
+1. The first order is that of frequency, rarest first, counted over all different
+   texts: buckets of texts report their shingles, slices of the shingles count them
+   and tell the buckets which occur twice. Prefix tokens that occur once have nothing
+   to meet and go no further. Documents with the same set are one class.
+2. The classes of a token are paired with the one among them that meets most others
+   (a star, linear in the group). A pair is a candidate only if its prefixes under
+   the other orders share as many tokens as they must, which short sketches of these
+   prefixes tell; only the sets of candidates are moved, and intersected exactly.
 3. Classes that the stars left in different components and that still share a
-   prefix token are paired with each other, filtered and verified the same way.
+   prefix token are paired with each other, filtered and verified the same way, or
+   compared in blocks where very many share one.
    Whatever is left unverified lies within one component already, so components
    are those of the full similarity graph, though no group emits all its pairs.
 
@@ -25,27 +28,38 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnscore.llm import shared
+from txnscore.llm import shared, windows
 from txnscore.session import materialize
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+FEW_KEYS = 1_000_000
+# Tokens of more classes than PAIRED are compared in blocks of BLOCK classes, not as pairs.
+PAIRED, BLOCK = 32, 1024
 ORDERS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1))
 
 
 @dataclass(frozen=True)
 class Near:
-    """Shingles of ``words`` words; similar from ``percent`` % on. ``frequent`` shingles at most order the prefixes (16 bytes each are broadcast)."""
+    """Shingles of ``words`` words; similar from ``percent`` % on."""
 
     words: int = 5
     percent: int = 80
-    frequent: int = 65_536
-    slice_bytes: int = 8 << 20
+    bucket_bytes: int = 8 << 20
 
-    def prefix(self, n: np.ndarray) -> np.ndarray:
-        return n - -(-n * self.percent // 100) + 1
+    def prefix(self, n: int) -> int:
+        """Of these tokens a set shares one with any similar set."""
+        return n + (-n * self.percent) // 100 + 1
+
+    def indexed(self, n: int) -> int:
+        """And of these one with any similar set that is not smaller."""
+        return n + (-2 * n * self.percent) // (100 + self.percent) + 1
+
+    def reach(self, n: int) -> int:
+        """Tokens of a set that its sketch has under each order."""
+        return min(n, -(-2 * n * (100 - self.percent) // 100))
 
 
 def shingle_sets(near: Near, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,9 +90,8 @@ def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(near: Near, column):
+def _sets(near: Near, data: np.ndarray, offsets: np.ndarray):
     """(row, shingles, class) of every text that has words."""
-    data, offsets = shared.byte_column(column)
     for a, b in shared.chunks(offsets, CHUNK):
         lo = offsets[a]
         value, at = shingle_sets(near, data[lo : offsets[b]], offsets[a : b + 1] - lo)
@@ -87,186 +100,271 @@ def _sets(near: Near, column):
             yield r + a, own, class_of(own)
 
 
-_CLASSED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("id_key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
-
-
-def _classes(near: Near, texts: DataFrame) -> DataFrame:
-    """A row for every text (its class is NULL without words), and rows with shingles met more than once."""
-
-    def run(batches):
-        for batch in batches:
-            sizes, kinds = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
-            seen: set[int] = set()
-            tokens = []
-            for r, own, kind in _sets(near, batch["text"]):
-                sizes[r], kinds[r] = len(own), kind
-                if kind not in seen:
-                    seen.add(kind)
-                    tokens.append(own)
-            n = batch.num_rows
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], batch["id_key"], pa.array(sizes), pa.array(kinds, pa.int64()), none, none], schema=_CLASSED)
-            if tokens:
-                token, count = np.unique(np.concatenate(tokens), return_counts=True)
-                token, count = token[count > 1], count[count > 1]
-                if len(token):
-                    yield pa.RecordBatch.from_pylist([{"tokens": token.tobytes(), "counts": count.astype(np.int32).tobytes()}], _CLASSED)
-
-    return texts.mapInArrow(run, "doc_id long, text_key long, id_key long, n_shingles long, class long, tokens binary, counts binary")
-
-
-def _frequent(near: Near, counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, ascending, and their places in the order of frequency (rarest first)."""
-
-    def run(batches):
-        for batch in batches:
-            for t, c in zip(batch["tokens"].to_pylist(), batch["counts"].to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(c, np.int32))], ["token", "n"])
-
-    rows = counts.mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "token").limit(near.frequent).toPandas()
-    token = top["token"].to_numpy(np.int64).view(np.uint64)
-    place = np.arange(len(token), 0, -1, dtype=np.uint64)
-    order = np.argsort(token)
-    return token[order], place[order]
-
-
-def _prefixes(near: Near, texts: DataFrame, frequent, slices: int) -> DataFrame:
-    """Prefix tokens of every class under the first order, by slice: two arrays."""
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(frequent)
-
-    def run(batches):
-        known, place = held.value
-        seen: set[int] = set()
-        for batch in batches:
-            tokens, kinds = [], []
-            for _, own, kind in _sets(near, batch["text"]):
-                if kind in seen:
-                    continue
-                seen.add(kind)
-                key = shared.mix(own ^ ORDERS[0]) >> np.uint64(24)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    key = key | np.where(known[at] == own, place[at] << np.uint64(40), np.uint64(0))
-                n = int(near.prefix(np.int64(len(own))))
-                tokens.append(own[np.argsort(key, kind="stable")[:n]])
-                kinds.append(np.full(n, kind, np.int64))
-            if not tokens:
-                continue
-            token, kind = np.concatenate(tokens), np.concatenate(kinds)
-            part = (token >> np.uint64(20)) % np.uint64(slices)
-            order = np.argsort(part, kind="stable")
-            present, first = np.unique(part[order], return_index=True)
-            ranges = list(zip(first, np.append(first[1:], len(token))))
-            token, kind = token[order], kind[order]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(present.astype(np.int64)), pa.array([token[x:y].tobytes() for x, y in ranges], pa.binary()), pa.array([kind[x:y].tobytes() for x, y in ranges], pa.binary())],
-                ["slice", "tokens", "classes"],
-            )
-
-    return texts.mapInArrow(run, "slice long, tokens binary, classes binary")
-
-
-def _groups(table: pa.Table) -> pa.Table:
-    """Tokens that several classes share: a row for each class, with the token's first class."""
-    token = np.concatenate([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()])
-    kind = np.concatenate([np.frombuffer(x, np.int64) for x in table["classes"].to_pylist()])
-    order = np.lexsort((kind, token))
-    token, kind = token[order], kind[order]
-    fresh = np.ones(len(token), bool)
-    fresh[1:] = (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])
-    token, kind = token[fresh], kind[fresh]
-    head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    size = np.diff(np.append(head, len(token)))
-    keep = np.repeat(size > 1, size)
-    return pa.table({"token": token.view(np.int64)[keep], "class": kind[keep], "first": np.repeat(kind[head], size)[keep]})
+def _report(near: Near, slices: int, table: pa.Table) -> dict:
+    """The shingles of a bucket's classes by slice, each once, with the number of classes that have it."""
+    _, data, offsets, _ = windows.documents(table)
+    seen: dict[int, np.ndarray] = {}
+    for _, own, kind in _sets(near, data, offsets):
+        seen.setdefault(kind, own)
+    token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen.values()]), return_counts=True)
+    present, ranges = windows.sliced(token, slices)
+    # Kept to 48 bits, as differences: equal bits make a shingle seem more frequent, no more.
+    return {
+        "slice": present.tolist(),
+        "size": [y - x for x, y in ranges],
+        "tokens": [windows.packed(np.diff(token[x:y] >> np.uint64(16), prepend=np.uint64(0))) for x, y in ranges],
+        "counts": [windows.packed(n[x:y].astype(np.uint32)) for x, y in ranges],
+    }
+
+
+def _counted(table: pa.Table) -> dict:
+    """Of one slice, the shingles that occur in two classes, with their frequency, for each bucket that has them."""
+    sizes, buckets = table["size"].to_pylist(), table["bucket"].to_pylist()
+    token = np.concatenate([np.cumsum(windows.unpacked(x, np.uint64, n), dtype=np.uint64) for x, n in zip(table["tokens"].to_pylist(), sizes)])
+    n = np.concatenate([windows.unpacked(x, np.uint32, n) for x, n in zip(table["counts"].to_pylist(), sizes)])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    unique, back = np.unique(token, return_inverse=True)
+    total = np.bincount(back, n, len(unique))[back].astype(np.int64)
+    common = total > 1
+    token, total, of = token[common], np.minimum(total[common], 2**32 - 1).astype(np.uint32), of[common]
+    edges = np.searchsorted(of, np.arange(len(sizes) + 1))
+    out = {"bucket": [], "size": [], "tokens": [], "counts": []}
+    for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if y > x:
+            out["bucket"].append(buckets[k])
+            out["size"].append(y - x)
+            out["tokens"].append(windows.packed(np.diff(token[x:y], prepend=np.uint64(0))))
+            out["counts"].append(windows.packed(total[x:y]))
+    return out
+
+
+_CLASSED = pa.schema(
+    [("digest", pa.binary()), ("class", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("indexed", pa.list_(pa.bool_())), ("sketch", pa.binary()), ("shingles", pa.binary())]
+)
+
+
+def _classes(near: Near, docs: pa.Table, marks: pa.Table) -> pa.Table:
+    """A row for every text of a bucket; with tokens, sketch and set if its class has a prefix token that others have."""
+    _, data, offsets, rows = windows.documents(docs)
+    known, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for n, tokens, counts in zip(*(marks[c].to_pylist() for c in ("size", "tokens", "counts"))):
+        known.append(np.cumsum(windows.unpacked(tokens, np.uint64, n), dtype=np.uint64))
+        often.append(windows.unpacked(counts, np.uint32, n))
+    known, often = np.concatenate(known), np.concatenate(often).astype(np.uint64)
+    order = np.argsort(known)
+    known, often = np.append(known[order], np.uint64(2**64 - 1)), np.append(often[order], np.uint64(1))
+    blank = {"class": None, "n": 0, "tokens": [], "indexed": [], "sketch": None, "shingles": None}
+    out = [{"digest": d, **blank} for d in rows["digest"].to_pylist()]
+    seen: set[int] = set()
+    for row, own, kind in _sets(near, data, offsets):
+        n = len(own)
+        out[row].update({"class": kind, "n": n})
+        if kind in seen:
+            continue
+        seen.add(kind)
+        at = np.searchsorted(known, own >> np.uint64(16))
+        met = known[at] == own >> np.uint64(16)
+        times = np.where(met, np.minimum(often[at], np.uint64(2**23 - 1)), np.uint64(1))
+        first = np.argsort(times << np.uint64(40) | shared.mix(own ^ ORDERS[0]) >> np.uint64(24), kind="stable")[: near.prefix(n)]
+        common = np.flatnonzero(times[first] > 1)
+        if len(common):
+            out[row].update({"tokens": own[first[common]].view(np.int64).tolist(), "indexed": (common < near.indexed(n)).tolist(), "sketch": sketch(near, own), "shingles": own.tobytes()})
+    return pa.Table.from_pylist(out, _CLASSED)
+
+
+def sketch(near: Near, own: np.ndarray) -> bytes:
+    """The first tokens of a set under each other order, twice as many as the plain prefix, 16 bits of each."""
+    n = near.reach(len(own))
+    return b"".join((np.sort(shared.mix(own ^ order))[:n] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for order in ORDERS[1:])
+
+
+def passes(near: Near, n_a: int, a: bytes, n_b: int, b: bytes) -> bool:
+    """Whether the sketches of two sets leave it open that they are similar.
+
+    With a required overlap of o, the first n - o + l tokens of each share l of them. The
+    16 bits only ever make tokens equal that are not.
+    """
+    overlap = -(-near.percent * (n_a + n_b) // (100 + near.percent))
+    k_a, k_b = near.reach(n_a), near.reach(n_b)
+    least = min(k_a - n_a, k_b - n_b) + overlap
+    if least < 1:
+        return True
+    head_a, head_b = n_a - overlap + least, n_b - overlap + least
+    a, b = np.frombuffer(a, np.uint16).reshape(-1, k_a), np.frombuffer(b, np.uint16).reshape(-1, k_b)
+    for x, y in zip(a, b):
+        met = int(np.isin(x[:head_a], y[:head_b]).sum())
+        if met < least:
+            return False
+    return True
 
 
 def similar(near: Near, a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two ascending sets pass the prefix filters of the other orders, and then the exact test."""
-    if 100 * min(len(a), len(b)) < near.percent * max(len(a), len(b)):
-        return False
-    for order in ORDERS[1:]:
-        heads = []
-        for x in (a, b):
-            key = shared.mix(x ^ order)
-            n = int(near.prefix(np.int64(len(x))))
-            heads.append(np.partition(key, n - 1)[:n])
-        if not len(np.intersect1d(*heads, assume_unique=True)):
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= near.percent * (len(a) + len(b) - both)
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A stored table of keys (two numbers at most), to be sent to all tasks if it has few rows.
+
+    That keeps a semi-join from moving the wide side; with more rows it is an ordinary join.
+    """
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
 def _verified(near: Near, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The similar ones of some pairs of classes (a, b)."""
+    """The similar ones of some pairs of classes (a, b): sizes, then sketches, then sets are compared."""
 
-    def run(batches):
+    def candidates(batches):
+        for batch in batches:
+            keep = [passes(near, *x) for x in zip(*(batch[c].to_pylist() for c in ("n_a", "one", "n_b", "two")))]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def exact(batches):
         for batch in batches:
             keep = [similar(near, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["one"].to_pylist(), batch["two"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("one"))
-    two = sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("two"))
+    def sides(column: str) -> list[DataFrame]:
+        names = (("a", "n_a", "one"), ("b", "n_b", "two"))
+        return [sets.select(F.col("class").alias(k), F.col("n").alias(n), F.col(column).alias(c)) for k, n, c in names]
+
+    one, two = sides("sketch")
     near_sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * near.percent
-    sized = pairs.join(one.select("a", "n_a"), "a").join(two.select("b", "n_b"), "b").where(near_sized).select("a", "b")
-    return sized.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    sized = pairs.join(one.drop("one"), "a").join(two.drop("two"), "b").where(near_sized)
+    open_ = sized.join(one.drop("n_a"), "a").join(two.drop("n_b"), "b").mapInArrow(candidates, "a long, b long")
+    open_ = materialize(open_, "candidates")
+    met = _small(materialize(open_.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "candidate-classes"))
+    sets = sets.join(met, "class", "left_semi")
+    one, two = sides("shingles")
+    return open_.join(one, "a").join(two, "b").mapInArrow(exact, "a long, b long")
 
 
-def _packed(batches, rows: int = 1000):
-    """Batches of one row put together."""
-    waiting = []
-    for batch in batches:
-        waiting.append(batch)
-        if len(waiting) == rows:
-            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-            waiting = []
-    if waiting:
-        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` as a column ``row``, with what tells rows apart: a digest of the text and the id (NULL last)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(
+        F.struct("*").alias("row"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.coalesce(F.col(id_col).cast("long"), F.lit(windows.NO_ID)).alias("id_key")
+    )
 
 
-def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """What tells rows apart that have no common key: a hash of the text, and the id (NULL last)."""
-    return F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id_key")
+def _stars(groups: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) of each token's classes with the one that meets most others."""
+    sizes = groups.groupBy("token").agg(F.count("*").alias("m"))
+    weights = groups.join(sizes, "token").groupBy("class").agg(F.sum(F.col("m") - 1).alias("weight"))
+    weighed = groups.join(weights, "class")
+    hubs = weighed.groupBy("token").agg(F.max(F.struct("weight", "class", "n", "indexed")).alias("hub"))
+    pairs = groups.join(hubs.select("token", "hub.class", "hub.n", "hub.indexed").toDF("token", "a", "n_a", "indexed_a"), "token")
+    return pairs.where(F.col("class") != F.col("a")).where(_may_match("n_a", "indexed_a", "n", "indexed", near)).select("a", F.col("class").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``near_duplicates`` with the class, the root of its component and the keys of each row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *_keys(id_col, text_col))
-    written = materialize(_classes(near, texts), "shingle-classes")
-    rows = written.where("n_shingles IS NOT NULL").drop("tokens", "counts")
-    frequent = _frequent(near, written.where("tokens IS NOT NULL").select("tokens", "counts"))
-    # A prefix token costs 16 bytes, and a fifth of the shingles are prefix tokens.
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    slices = max(8, total * 16 * (100 - near.percent) // 100 // near.slice_bytes)
-    met = _prefixes(near, texts.select("text"), frequent, slices).groupBy("slice").applyInArrow(_groups, "token long, class long, first long")
-    groups = materialize(met, "shared-tokens")
-    # One row stands for each class that meets another.
-    needed = rows.join(groups.select("class").distinct(), "class", "left_semi")
-    chosen = needed.groupBy("class").agg(F.min(F.struct("text_key", "id_key")).alias("row")).select("row.*")
-
-    def shingles(batches):
-        for batch in batches:
-            for _, own, kind in _sets(near, batch["text"]):
-                yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([len(own)]), pa.array([own.tobytes()], pa.binary())], ["class", "n", "shingles"])
+def _may_match(n_a: str, indexed_a: str, n_b: str, indexed_b: str, near: Near) -> str:
+    """Sizes fit, and the token is among the indexed ones of the smaller set."""
+    sizes = f"least({n_a}, {n_b}) * 100 >= greatest({n_a}, {n_b}) * {near.percent}"
+    return f"{sizes} AND (({n_a} <= {n_b} AND {indexed_a}) OR ({n_b} <= {n_a} AND {indexed_b}))"
 
-    wanted = texts.join(chosen, ["text_key", "id_key"], "left_semi").dropDuplicates(["text_key", "id_key"])
-    sets = materialize(wanted.select("text").mapInArrow(lambda b: _packed(shingles(b)), "class long, n long, shingles binary"), "shingle-sets")
 
-    stars = groups.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    edges = materialize(_verified(near, stars, sets), "star-links")
+def _crowds(near: Near, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among the classes of tokens that very many share, enough to connect what is similar.
+
+    Such classes are gathered by the components of "shares such a token" and compared in
+    blocks, every pair of blocks in a task of its own, so that no pair is ever a row.
+    """
+    hubs = groups.groupBy("token").agg(F.min("class").alias("b"))
+    crowds = shared.components(groups.join(hubs, "token").select(F.col("class").alias("a"), "b"), "crowds")
+    rows = groups.select("class", "root").distinct().join(crowds.toDF("class", "crowd"), "class", "left")
+    rows = materialize(rows.withColumn("crowd", F.coalesce("crowd", "class")), "crowds")
+    sizes = rows.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sets.select("class", "shingles"), "class")
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct(F.least(k, "block").alias("one"), F.greatest(k, "block").alias("two"), (F.col("block") > k).cast("int").alias("side")),
+    )
+    dealt = rows.join(sizes, "crowd").withColumn("block", block).select("crowd", "class", "root", "shingles", F.inline(cells))
+    return dealt.groupBy("crowd", "one", "two").applyInArrow(lambda t: _compared(near, t), "a long, b long")
+
+
+def _compared(near: Near, table: pa.Table) -> pa.Table:
+    """The similar pairs of one block or of two, with different roots: each class with the least it is joined to."""
+    kinds, first = np.unique(table["class"].to_numpy(), return_index=True)
+    table = table.take(pa.array(first))
+    side, root = table["side"].to_numpy(), table["root"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    token, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Only shingles of two sets add to an intersection; some thousands at a time.
+    number = np.cumsum(count > 1) - 1
+    held = count[column] > 1
+    of, column = of[held], number[column[held]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for x in range(0, int((count > 1).sum()), 4096):
+        lo, hi = np.searchsorted(column, (x, x + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[of[lo:hi], column[lo:hi] - x] = 1
+        both += part @ part.T
+    similar_ = 100 * both >= near.percent * (size[:, None] + size[None] - both)
+    similar_ &= root[:, None] != root[None]
+    if side.any():
+        similar_ &= side[:, None] != side[None]
+    # Least class reachable within the task, by handing on the least neighbour.
+    least = np.arange(len(sets))
+    while True:
+        near_least = np.where(similar_, least[None], len(sets)).min(axis=1, initial=len(sets))
+        now = np.minimum(least, near_least)
+        if (now == least).all():
+            break
+        least = now
+    moved = least != np.arange(len(sets))
+    return pa.table({"a": kinds[moved], "b": kinds[least[moved]]})
+
+
+def linked(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row its ``doc_id``, ``digest``, ``id_key``, ``n``, ``class`` and the ``root`` of its component."""
+    keyed = _keys(docs, id_col, text_col)
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(8, -(-total // near.bucket_bytes))
+    tasks = min(buckets, windows.MOST_TASKS)
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
+    doc_id = F.col(f"row.`{id_col}`").cast("long").alias("doc_id")
+    thin = keyed.select(bucket, "digest", doc_id, "id_key", text.alias("text")).mapInArrow(windows.thin, windows.THIN)
+    dealt = thin.repartition(tasks, "bucket")
+
+    numbers = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("size", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
+
+    def report(key, table):
+        columns = _report(near, buckets, table)
+        columns["bucket"] = [key[0].as_py()] * len(columns["slice"])
+        return pa.table({f.name: pa.array(columns[f.name], f.type) for f in numbers})
+
+    reported = dealt.groupBy("bucket").applyInArrow(report, "slice long, bucket int, size long, tokens binary, counts binary")
+    marked = pa.schema([f for f in numbers if f.name != "slice"])
+    marks = reported.repartition(tasks, "slice").groupBy("slice").applyInArrow(lambda t: pa.table(_counted(t), marked), "bucket int, size long, tokens binary, counts binary")
+    columns = "digest binary, class long, n long, tokens array<long>, indexed array<boolean>, sketch binary, shingles binary"
+    classes = dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(lambda t, m: _classes(near, t, m), columns)
+    classes = materialize(classes, "shingle-classes")
+
+    sets = classes.where("sketch IS NOT NULL").select("class", "n", "sketch", "shingles")
+    each = classes.where("sketch IS NOT NULL").select("class", "n", F.inline(F.arrays_zip("tokens", "indexed")))
+    groups = each.select(F.col("tokens").alias("token"), "class", "n", "indexed").dropDuplicates(["token", "class"])
+    groups = materialize(groups, "shared-tokens")
+    edges = materialize(_verified(near, _stars(groups, near), sets), "star-links")
     joined = shared.components(edges, "stars")
     # What the stars left apart: classes of one token in different components.
-    placed = groups.select("token", "class").join(joined.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.select("token", "class", F.coalesce("root", "class").alias("root"))
+    placed = groups.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     split = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    placed = materialize(placed.join(split, "token").join(sets.select("class", "n"), "class"), "split-tokens")
-    one = placed.select("token", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-    two = placed.select("token", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    apart = one.join(two, "token").where(f"root_a < root_b AND least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {near.percent}")
-    more = _verified(near, apart.select("a", "b").distinct(), sets)
-    joined = shared.components(edges.unionByName(more), "links")
+    placed = materialize(placed.join(split, "token"), "split-tokens")
+    sizes = placed.groupBy("token").agg(F.count("*").alias("m"))
+    few = placed.join(sizes.where(F.col("m") <= PAIRED).select("token"), "token", "left_semi")
+    one, two = (few.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "root", "n", "indexed"))) for k in "ab")
+    apart = one.join(two, "token").where("root_a < root_b").where(_may_match("n_a", "indexed_a", "n_b", "indexed_b", near))
+    more = _verified(near, apart.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), sets)
+    many = placed.join(sizes.where(F.col("m") > PAIRED).select("token"), "token", "left_semi")
+    joined = shared.components(edges.unionByName(more).unionByName(_crowds(near, many, sets)), "links")
+    rows = keyed.select(doc_id, "digest", "id_key").join(classes.select("digest", "n", "class"), "digest")
     return rows.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
@@ -281,7 +379,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     rows = linked(docs, near, id_col, text_col)
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    return rows.join(least, "root", "left").select("doc_id", "n_shingles", component)
+    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
 
 
 def keep_one(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,8 +387,9 @@ def keep_one(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_
 
     Rows without words all stay. Of rows that agree in id and text, any one stays.
     """
-    rows = linked(docs, near, id_col, text_col).where("root IS NOT NULL")
-    stay = rows.groupBy("root").agg(F.min(F.struct("id_key", "text_key")).alias("row")).select("row.*")
-    whole = docs.select(F.struct("*").alias("row"), *_keys(id_col, text_col), F.col(text_col).rlike(shared.WORD_PATTERN).alias("worded"))
-    first = whole.where("worded").join(stay, ["text_key", "id_key"], "left_semi").dropDuplicates(["text_key", "id_key"])
-    return first.unionByName(whole.where("NOT coalesce(worded, false)")).select("row.*")
+    rows = materialize(linked(docs, near, id_col, text_col), "linked-rows")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("id_key", "digest")).alias("row")).select("row.*")
+    blank = rows.where("root IS NULL").select("id_key", "digest").distinct()
+    whole, key = _keys(docs, id_col, text_col), ["digest", "id_key"]
+    stay = whole.join(_small(materialize(first, "rows-that-stay")), key, "left_semi").dropDuplicates(key)
+    return stay.unionByName(whole.join(_small(materialize(blank, "blank-rows")), key, "left_semi")).select("row.*")

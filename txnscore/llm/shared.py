@@ -123,7 +123,7 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
-    """``(node, root)``: the smallest node reachable over ``edges`` (a, b), for every node on an edge.
+    """``(node, root)``: the smallest node reachable over ``edges`` (a, b), for every node that isn't its own root.
 
     Alternating star steps: each node hands its larger, then its smaller neighbours
     to its smallest one, until nothing changes (about log n rounds). Every step is

@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 
 from txnscore.llm import shared
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+MOST_TASKS = 10_000
 NO_ID = 2**63 - 1
 _CODEC = pa.Codec("zstd")
+THIN = "bucket int, digest binary, doc_id long, id_key long, text string, copies long"
 _THIN = pa.schema([("bucket", pa.int32()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("id_key", pa.int64()), ("text", pa.string()), ("copies", pa.int64())])
 
 
@@ -100,15 +102,15 @@ def anchors(scheme: Scheme, units: Units) -> tuple[np.ndarray, np.ndarray, np.nd
     return shared.mix(grams[place[first]]), first, stop, row[first]
 
 
-def _packed(x: np.ndarray) -> bytes:
+def packed(x: np.ndarray) -> bytes:
     return _CODEC.compress(x.tobytes(), asbytes=True)
 
 
-def _unpacked(blob: bytes, kind, n: int) -> np.ndarray:
+def unpacked(blob: bytes, kind, n: int) -> np.ndarray:
     return np.frombuffer(_CODEC.decompress(blob, n * np.dtype(kind).itemsize, asbytes=True), kind)
 
 
-def _thin(batches):
+def thin(batches):
     """Step 0 in a task: each text once with its smallest id so far; repeats of that row as a number."""
     least: dict[bytes, int] = {}
     again: dict[bytes, list] = {}
@@ -128,7 +130,7 @@ def _thin(batches):
         yield pa.RecordBatch.from_pylist(rows, _THIN)
 
 
-def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+def documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
     """Ids (NULL last), text bytes and offsets of a bucket's texts, in order of id, with their rows."""
     least: dict[bytes, list] = {}
     for row, (key, doc, has, n) in enumerate(zip(table["digest"].to_pylist(), table["id_key"].to_pylist(), table["text"].is_valid().to_pylist(), table["copies"].to_pylist())):
@@ -151,7 +153,7 @@ def _blocks(scheme: Scheme, data: np.ndarray, offsets: np.ndarray):
         yield a, b, Units(scheme, data[lo : offsets[b]], offsets[a : b + 1] - lo)
 
 
-def _sliced(keys: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def sliced(keys: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The slices of ascending keys, and the range of keys of each."""
     at = (keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
     present, first = np.unique(at, return_index=True)
@@ -160,7 +162,7 @@ def _sliced(keys: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int,
 
 def _report(scheme: Scheme, slices: int, table: pa.Table) -> dict:
     """Step 1: the anchors of a bucket by slice, with the number of places of each."""
-    ids, data, offsets, _ = _documents(table)
+    ids, data, offsets, _ = documents(table)
     hashes, docs = [], []
     for a, _, units in _blocks(scheme, data, offsets):
         h, _, _, row = anchors(scheme, units)
@@ -178,20 +180,20 @@ def _report(scheme: Scheme, slices: int, table: pa.Table) -> dict:
     h, n = np.unique(h, return_counts=True)
     n = np.minimum(n, 65535).astype(np.uint16)
     # Kept to 48 bits, as differences: a false match only makes a candidate.
-    present, ranges = _sliced(h, slices)
+    present, ranges = sliced(h, slices)
     return {
         "slice": present.tolist(),
         "size": [y - x for x, y in ranges],
-        "hashes": [_packed(np.diff(h[x:y] >> np.uint64(16), prepend=np.uint64(0))) for x, y in ranges],
-        "counts": [_packed(n[x:y]) for x, y in ranges],
+        "hashes": [packed(np.diff(h[x:y] >> np.uint64(16), prepend=np.uint64(0))) for x, y in ranges],
+        "counts": [packed(n[x:y]) for x, y in ranges],
     }
 
 
 def _shared(scheme: Scheme, table: pa.Table) -> dict:
     """Step 2: of one slice, the anchors that stand in two places, for each bucket that has them."""
     sizes, buckets = table["size"].to_pylist(), table["bucket"].to_pylist()
-    h = np.concatenate([np.cumsum(_unpacked(x, np.uint64, n), dtype=np.uint64) for x, n in zip(table["hashes"].to_pylist(), sizes)])
-    n = np.concatenate([_unpacked(x, np.uint16, n) for x, n in zip(table["counts"].to_pylist(), sizes)]).astype(np.int64)
+    h = np.concatenate([np.cumsum(unpacked(x, np.uint64, n), dtype=np.uint64) for x, n in zip(table["hashes"].to_pylist(), sizes)])
+    n = np.concatenate([unpacked(x, np.uint16, n) for x, n in zip(table["counts"].to_pylist(), sizes)]).astype(np.int64)
     of = np.repeat(np.arange(len(sizes)), sizes)
     unique, back = np.unique(h, return_inverse=True)
     total = np.bincount(back, n, len(unique))[back]
@@ -204,8 +206,8 @@ def _shared(scheme: Scheme, table: pa.Table) -> dict:
             cold, warm = h[x:y][~hot[x:y]], h[x:y][hot[x:y]]
             out["bucket"].append(buckets[k])
             out["sizes"].append([len(cold), len(warm)])
-            out["cold"].append(_packed(np.diff(cold, prepend=np.uint64(0))))
-            out["hot"].append(_packed(np.diff(warm, prepend=np.uint64(0))))
+            out["cold"].append(packed(np.diff(cold, prepend=np.uint64(0))))
+            out["hot"].append(packed(np.diff(warm, prepend=np.uint64(0))))
     return out
 
 
@@ -262,26 +264,26 @@ def _marks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     for sizes, *blobs in zip(*(table[c].to_pylist() for c in ("sizes", "cold", "hot"))):
         if sizes:
             for part, blob, n in zip(out, blobs, sizes):
-                part.append(np.cumsum(_unpacked(blob, np.uint64, n), dtype=np.uint64))
+                part.append(np.cumsum(unpacked(blob, np.uint64, n), dtype=np.uint64))
     return tuple(np.sort(np.concatenate(x)) for x in out)
 
 
 def _cut(scheme: Scheme, slices: int, docs: pa.Table, marks: pa.Table) -> dict:
     """Step 3: the different snippets of a bucket, by slice of their key."""
-    ids, data, offsets, _ = _documents(docs)
+    ids, data, offsets, _ = documents(docs)
     found = _snippets(scheme, ids, data, offsets, *_marks(marks))
     sizes = np.array([len(x) for x in found.contents], np.int32)
-    present, ranges = _sliced(found.keys, slices)
+    present, ranges = sliced(found.keys, slices)
     contents = [b"".join(found.contents[x:y]) for x, y in ranges]
     return {
         "slice": present.tolist(),
         "first": [x for x, _ in ranges],
         "size": [y - x for x, y in ranges],
         "bytes": [len(x) for x in contents],
-        "keys": [_packed(found.keys[x:y]) for x, y in ranges],
-        "sizes": [_packed(sizes[x:y]) for x, y in ranges],
+        "keys": [packed(found.keys[x:y]) for x, y in ranges],
+        "sizes": [packed(sizes[x:y]) for x, y in ranges],
         "contents": [_CODEC.compress(x, asbytes=True) for x in contents],
-        "places": [_packed(found.owner[x:y].T.copy()) for x, y in ranges],
+        "places": [packed(found.owner[x:y].T.copy()) for x, y in ranges],
     }
 
 
@@ -291,9 +293,9 @@ def _answers(matcher: Callable, window: int, table: pa.Table) -> dict:
     earliest: list[tuple[int, int]] = []
     uses = []  # (bucket, index in the bucket, snippet, place in the bucket)
     for bucket, base, n, size, *blobs in zip(*(table[c].to_pylist() for c in ("bucket", "first", "size", "bytes", "keys", "sizes", "contents", "places"))):
-        keys, sizes = (_unpacked(x, kind, n).tolist() for x, kind in zip(blobs, (np.uint64, np.int32)))
+        keys, sizes = (unpacked(x, kind, n).tolist() for x, kind in zip(blobs, (np.uint64, np.int32)))
         contents = _CODEC.decompress(blobs[2], size, asbytes=True)
-        docs, starts = _unpacked(blobs[3], np.int64, 2 * n).reshape(2, n).tolist()
+        docs, starts = unpacked(blobs[3], np.int64, 2 * n).reshape(2, n).tolist()
         end = 0
         for index, (key, size, doc, at) in enumerate(zip(keys, sizes, docs, starts), base):
             end += size
@@ -332,7 +334,7 @@ def _answers(matcher: Callable, window: int, table: pa.Table) -> dict:
 
 def _covered(scheme: Scheme, docs: pa.Table, marks: pa.Table):
     """Step 5: the texts of a bucket in order of id, and the maximal runs of units in repeated windows of each."""
-    ids, data, offsets, docs = _documents(docs)
+    ids, data, offsets, docs = documents(docs)
     found = _snippets(scheme, ids, data, offsets, *_marks(marks))
     blobs = [np.frombuffer(x, np.int64).reshape(-1, 5) for x in marks["runs"].to_pylist() if x]
     runs = np.concatenate([np.zeros((0, 5), np.int64), *blobs])
@@ -391,10 +393,12 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, matcher: Callable, finish: C
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = slices = max(8, -(-total // scheme.bucket_bytes))
+    buckets = max(8, -(-total // scheme.bucket_bytes))
+    slices = 2 * buckets
+    # Few bytes are much work here: tasks by number, not by what Spark makes of their size.
+    tasks = min(buckets, MOST_TASKS)
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
-    types = "bucket int, digest binary, doc_id long, id_key long, text string, copies long"
-    dealt = docs.select(bucket, "digest", "doc_id", "id_key", "text").mapInArrow(_thin, types).repartition("bucket")
+    dealt = docs.select(bucket, "digest", "doc_id", "id_key", "text").mapInArrow(thin, THIN).repartition(tasks, "bucket")
 
     def with_bucket(key, columns: dict, schema: pa.Schema) -> pa.Table:
         columns["bucket"] = [key[0].as_py()] * len(columns["slice"])
@@ -403,7 +407,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, matcher: Callable, finish: C
     reported = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("size", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
     known = dealt.groupBy("bucket").applyInArrow(lambda key, t: with_bucket(key, _report(scheme, slices, t), reported), "slice long, bucket int, size long, hashes binary, counts binary")
     marked = pa.schema([("bucket", pa.int32()), ("sizes", pa.list_(pa.int64())), ("cold", pa.binary()), ("hot", pa.binary())])
-    marks = known.groupBy("slice").applyInArrow(lambda t: pa.table(_shared(scheme, t), marked), "bucket int, sizes array<long>, cold binary, hot binary")
+    marks = known.repartition(tasks, "slice").groupBy("slice").applyInArrow(lambda t: pa.table(_shared(scheme, t), marked), "bucket int, sizes array<long>, cold binary, hot binary")
     numbers, blobs = ("slice", "first", "size", "bytes"), ("keys", "sizes", "contents", "places")
     pieces = pa.schema([("bucket", pa.int32()), *((c, pa.int64()) for c in numbers), *((c, pa.binary()) for c in blobs)])
     cuts = (
@@ -412,7 +416,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, matcher: Callable, finish: C
         .applyInArrow(lambda key, t, m: with_bucket(key, _cut(scheme, slices, t, m), pieces), "bucket int, slice long, first long, size long, bytes long, keys binary, sizes binary, contents binary, places binary")
     )
     answered = pa.schema([("bucket", pa.int32()), ("runs", pa.binary())])
-    answers = cuts.groupBy("slice").applyInArrow(lambda t: pa.table(_answers(matcher, scheme.window, t), answered), "bucket int, runs binary")
+    answers = cuts.repartition(2 * tasks, "slice").groupBy("slice").applyInArrow(lambda t: pa.table(_answers(matcher, scheme.window, t), answered), "bucket int, runs binary")
     notes = marks.withColumn("runs", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
 
     def put(t: pa.Table, m: pa.Table) -> pa.Table:
