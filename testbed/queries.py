@@ -611,12 +611,20 @@ def _checked(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"in_range": p.between(0.0, 1.0), "flag_fits": flag})
 
 
+@lru_cache(maxsize=4)
+def serving_tables(spark: SparkSession, sf_dir: str) -> str:
+    """The stored profiles and serving history of the ``history`` view; returns their folder."""
+    v, root = Views(spark, sf_dir), fresh_path(spark, "serving")
+    save_serving(v.profiles(), v.compact(), root)
+    return root
+
+
 def _job(v: Views, out: str) -> ScoringJob:
-    save_serving(v.profiles(), v.compact(), out)
+    stored = serving_tables(v.spark, v.sf_dir)
     return ScoringJob(
         _trained(v.spark, v.sf_dir).model,
-        v.spark.read.parquet(f"{out}/serving_history"),
-        v.spark.read.parquet(f"{out}/profiles"),
+        v.spark.read.parquet(f"{stored}/serving_history"),
+        v.spark.read.parquet(f"{stored}/profiles"),
         out,
     )
 
