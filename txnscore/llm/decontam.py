@@ -95,14 +95,19 @@ class Index:
                 essential.append(w)
             else:
                 gathered += add
-        self.needed = rules.least - (gathered.max() if len(gathered) else 0)
+        # What each item needs from its essential words, for a passage to reach the threshold.
+        self.needed = rules.least - gathered
         joined = b" ".join(essential)
         size = np.array([len(w) for w in essential], np.int64)
         start = np.cumsum(size + 1) - size - 1
         keys = shared.word_hashes(np.frombuffer(joined, np.uint8), start, start + size) if essential else np.zeros(0, np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.most = np.array([max(self.lists[w][1]) for w in essential])[order]
+        essential = [essential[k] for k in order]
+        # The essential words' lists, one after another, in the order of the hashes.
+        self.first = np.cumsum([0, *(len(self.lists[w][0]) for w in essential)])
+        self.items = np.array([n for w in essential for n in self.lists[w][0]], np.int64)
+        self.impact = np.array([x for w in essential for x in self.lists[w][1]])
         self.span = max([rules.passage, *(len(w) for _, _, w in texts)])
 
     def search(self, words: set[bytes], least: float) -> list[tuple[int, float]]:
@@ -155,6 +160,39 @@ class Index:
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
+    def _able(self, hits, words, rows, count, half, first, last) -> np.ndarray:
+        """Passages in which some item gathers what it needs from essential words.
+
+        WAND's bound for all passages at once: the scores over the essential lists, with
+        all that the other words of an item could add. The rest need no search.
+        """
+        row = np.searchsorted(rows, hits, "right") - 1
+        begin = np.cumsum(count) - count
+        nth = (hits - rows[row]) // half
+        size = self.first[words + 1] - self.first[words]
+        ends = np.cumsum(size)
+        entry = np.repeat(self.first[words] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        keys, weights = [], []
+        for back in range(3):
+            passage = begin[row] + nth - back
+            fits = (nth - back >= 0) & (nth - back < count[row])
+            passage = np.where(fits, passage, 0)
+            fits &= (first[passage] <= hits) & (hits < last[passage])
+            keep = np.repeat(fits, size)
+            keys.append((np.repeat(passage, size) * len(self.ids) + self.items[entry])[keep])
+            weights.append(self.impact[entry][keep])
+        key, weight = np.concatenate(keys), np.concatenate(weights)
+        able = np.zeros(len(first), bool)
+        # An item whose other words suffice could be anywhere.
+        if (self.needed <= 1e-6).any():
+            able[:] = True
+        elif len(key):
+            order = np.argsort(key, kind="stable")
+            head = np.flatnonzero(np.diff(key[order], prepend=-1))
+            total, key = np.add.reduceat(weight[order], head), key[order][head]
+            able[key[total >= self.needed[key % len(self.ids)] - 1e-6] // len(self.ids)] = True
+        return able
+
     def matches(self, data: np.ndarray, offsets: np.ndarray):
         """(row, item number, passages, score, question overlap, answer overlap) of all verified items."""
         for a, b in shared.chunks(offsets, CHUNK):
@@ -165,8 +203,6 @@ class Index:
                 continue
             hashes = shared.word_hashes(low, start, end)
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            weight = np.where(self.keys[at] == hashes, self.most[at], 0.0)
-            total = np.append(0.0, np.cumsum(weight))
             # Passages: one from every half span on, to the end of the document.
             half = max(1, self.span // 2)
             count = 1 + np.maximum(0, -(-(np.diff(rows) - self.span) // half))
@@ -175,7 +211,8 @@ class Index:
             row = np.repeat(np.arange(b - a), count)
             first = rows[row] + half * (np.arange(ends[-1]) - np.repeat(ends - count, count))
             last = np.minimum(first + self.span, rows[row + 1])
-            able = total[last] - total[first] >= self.needed - 1e-6
+            hits = np.flatnonzero(self.keys[at] == hashes)
+            able = self._able(hits, at[hits], rows, count, half, first, last)
             seen: dict[tuple[int, int], list] = {}
             for r, x, y in zip(row[able].tolist(), first[able].tolist(), last[able].tolist()):
                 words = [low[p:q].tobytes() for p, q in zip(start[x:y].tolist(), end[x:y].tolist())]
