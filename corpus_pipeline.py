@@ -7,35 +7,57 @@ is written as Parquet below the shared scratch folder and reread by the next.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnscore.llm import decontam, jaccard, mix, quality, secrets
+from txnscore.llm.shared import ship
 from txnscore.session import materialize
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(run: Stage) -> Stage:
+    """A stage whose workers have the package."""
+
+    @functools.wraps(run)
+    def shipped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(spark, docs, sf_dir)
+
+    return shipped
+
 
+@stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality, by a network fitted on the labelled ones among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit(docs, labels))
 
 
+@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates."""
     return jaccard.keep_one(docs)
 
 
+@stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that carry no benchmark item."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked, with the length that leaves."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType))
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often the mix takes each document that is left."""
     return mix.plan(docs)
@@ -56,6 +78,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; the rows of the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, step in STAGES:
+        docs = materialize(step(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

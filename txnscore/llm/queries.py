@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import functools
-import os
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnscore.llm import decontam, fmindex, jaccard, mix, neighbours, quality, secrets, suffixes, urls, warc
+from txnscore.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,23 +20,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the workers this package where they cannot import it from their own path."""
-    sc = spark.sparkContext
-    if getattr(sc, "_txnscore_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(sc._temp_dir, "txnscore.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
-    sc.addPyFile(path)
-    sc._txnscore_shipped = True
-
-
 def query(run: Query) -> Query:
     @functools.wraps(run)
     def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
