@@ -304,3 +304,16 @@ def test_a_purged_table_takes_new_batches(spark, tmp_path):
     sinks.write_batch(rows, f"{tmp_path}/predictions", "w1", 1)
     found = spark.read.parquet(f"{tmp_path}/predictions").groupBy("source", "batch_id").count().collect()
     assert [tuple(r) for r in found] == [("w1", 1, 5)]
+
+
+def test_old_runs_expire(spark, tmp_path):
+    root = str(tmp_path)
+    log = RunLog(spark, f"{root}/runs")
+    log.start("old")
+    log.complete("old", transactions=3)
+    # The clock has moved on by a day and a half; one run is still at work.
+    aged = log.changes().withColumn("seq", F.col("seq") - 36 * 3600 * 1_000_000).collect()
+    spark.createDataFrame(aged, log.changes().schema).write.mode("overwrite").parquet(log.path)
+    log.start("new")
+    assert [r["run_id"] for r in jobs.expire_runs(spark, root, F.current_timestamp(), SETTINGS).collect()] == ["old"]
+    assert [r["run_id"] for r in log.runs().collect()] == ["new"]

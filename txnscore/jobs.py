@@ -24,6 +24,7 @@ from txnscore.plans.labels import add_fraud_labels
 from txnscore.plans.profiles import user_profiles
 from txnscore.plans.serving import USER_BUCKET, compact_history, user_bucket
 from txnscore.schemas import STATS_EVENT
+from txnscore.session import materialize
 from txnscore.session import prepare as prepare_session
 from txnscore.sources import readers, sinks
 from txnscore.sources.runlog import RunLog
@@ -193,3 +194,19 @@ def expire(spark: SparkSession, root: str, now: Column, settings: Settings = DEF
         sinks.remove_folder(spark, sinks.batch_folder(table, source, batch_id))
         dropped.append((source, batch_id))
     return dropped
+
+
+def expire_runs(spark: SparkSession, root: str, now: Column, settings: Settings = DEFAULTS) -> DataFrame:
+    """Drop the runs whose last change is older than the retention; returns their ids.
+
+    The change log is small (a few rows a run): what stays is written aside first, so a
+    reader never sees a half-written log for longer than the move takes.
+    """
+    log = RunLog(prepare_session(spark), f"{root}/runs")
+    changes = log.changes()
+    last = changes.groupBy("run_id").agg(F.timestamp_micros(F.max("seq")).alias("changed"))
+    kept = results.retained(last, "changed", now, settings.retention_hours).select("run_id")
+    gone = materialize(last.select("run_id").join(kept, "run_id", "left_anti"), "expired-runs")
+    rest = materialize(changes.join(kept, "run_id", "left_semi"), "kept-runs")
+    sinks.save_table(rest.select(*changes.columns), log.path)
+    return gone

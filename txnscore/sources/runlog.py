@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnscore.plans.runstats import runs_table
+from txnscore.plans.runstats import RUN_DEFAULTS, runs_table
 from txnscore.schemas import RUN_CHANGE
 from txnscore.sources.sinks import append_rows, table_exists
 
@@ -19,10 +19,10 @@ class RunLog:
     def start(
         self,
         run_id: str,
-        pattern: str = "constant",
-        target_tps: float = 0.0,
-        fraud_ratio: float = 0.1,
-        thread_count: int = 1,
+        pattern: str = RUN_DEFAULTS["pattern"],
+        target_tps: float = RUN_DEFAULTS["target_tps"],
+        fraud_ratio: float = RUN_DEFAULTS["fraud_ratio"],
+        thread_count: int = RUN_DEFAULTS["thread_count"],
     ) -> None:
         self.update(
             run_id,
