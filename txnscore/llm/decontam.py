@@ -265,6 +265,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(),
     for index in indexes(benchmark, rules):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
+        @shared.frugal
         def run(batches, held=held):
             for batch in batches:
                 found = list(held.value.matches(*shared.byte_column(batch["text"])))
@@ -282,6 +283,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), te
     for index in indexes(benchmark, rules):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
+        @shared.frugal
         def run(batches, held=held):
             for batch in batches:
                 column = batch.column(batch.schema.get_field_index(text_col))

@@ -100,6 +100,7 @@ def _sets(near: Near, data: np.ndarray, offsets: np.ndarray):
             yield r + a, own, class_of(own)
 
 
+@shared.frugal
 def _report(near: Near, slices: int, table: pa.Table) -> dict:
     """The shingles of a bucket's classes by slice, each once, with the number of classes that have it."""
     _, data, offsets, _ = windows.documents(table)
@@ -117,6 +118,7 @@ def _report(near: Near, slices: int, table: pa.Table) -> dict:
     }
 
 
+@shared.frugal
 def _counted(table: pa.Table) -> dict:
     """Of one slice, the shingles that occur in two classes, with their frequency, for each bucket that has them."""
     sizes, buckets = table["size"].to_pylist(), table["bucket"].to_pylist()
@@ -143,6 +145,7 @@ _CLASSED = pa.schema(
 )
 
 
+@shared.frugal
 def _classes(near: Near, docs: pa.Table, marks: pa.Table) -> pa.Table:
     """A row for every text of a bucket; with tokens, sketch and set if its class has a prefix token that others have."""
     _, data, offsets, rows = windows.documents(docs)
@@ -214,11 +217,13 @@ def _small(keys: DataFrame) -> DataFrame:
 def _verified(near: Near, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The similar ones of some pairs of classes (a, b): sizes, then sketches, then sets are compared."""
 
+    @shared.frugal
     def candidates(batches):
         for batch in batches:
             keep = [passes(near, *x) for x in zip(*(batch[c].to_pylist() for c in ("n_a", "one", "n_b", "two")))]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    @shared.frugal
     def exact(batches):
         for batch in batches:
             keep = [similar(near, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["one"].to_pylist(), batch["two"].to_pylist())]
@@ -284,6 +289,7 @@ def _crowds(near: Near, groups: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("crowd", "one", "two").applyInArrow(lambda t: _compared(near, t), "a long, b long")
 
 
+@shared.frugal
 def _compared(near: Near, table: pa.Table) -> pa.Table:
     """The similar pairs of one block or of two, with different roots: each class with the least it is joined to."""
     kinds, first = np.unique(table["class"].to_numpy(), return_index=True)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnscore.llm.shared import byte_column, text_rows
+from txnscore.llm.shared import byte_column, frugal, text_rows
 
 CHUNK, STEP = 512, 448
 KERNEL, STRIDE = 8, 4
@@ -220,6 +220,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     chunk and has a score like any other.
     """
 
+    @frugal
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_scores(net, batch["text"]), pa.float64())], ["doc_id", "score"])
@@ -230,6 +231,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, net: Network, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores ``least`` or more, with all their columns."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))

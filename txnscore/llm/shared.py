@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import os
 import zipfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
+ARROW_BYTES = "4m"
+
 # An odd base, its inverse modulo 2**64, and one random value for each byte.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -60,6 +66,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LIBC = ctypes.CDLL(None)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -120,6 +127,33 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
         length *= 2
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers live on after a task, beside those of other steps."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function of batches or of a group's tables that releases memory when it is done."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def batches(*args):
+            yield from run(*args)
+            release()
+
+        return batches
+
+    @functools.wraps(run)
+    def group(*args):
+        out = run(*args)
+        release()
+        return out
+
+    return group
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under its own names."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -154,7 +188,9 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the workers this package where they cannot import it from their own path."""
+    """Give the workers this package where they cannot import it from their own path, and
+    batches of a size that several workers of a small executor can hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_txnscore_shipped", False):
         return

@@ -110,6 +110,7 @@ def unpacked(blob: bytes, kind, n: int) -> np.ndarray:
     return np.frombuffer(_CODEC.decompress(blob, n * np.dtype(kind).itemsize, asbytes=True), kind)
 
 
+@shared.frugal
 def thin(batches):
     """Step 0 in a task: each text once with its smallest id so far; repeats of that row as a number."""
     least: dict[bytes, int] = {}
@@ -160,6 +161,7 @@ def sliced(keys: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int, i
     return present.astype(np.int64), list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
 
 
+@shared.frugal
 def _report(scheme: Scheme, slices: int, table: pa.Table) -> dict:
     """Step 1: the anchors of a bucket by slice, with the number of places of each."""
     ids, data, offsets, _ = documents(table)
@@ -189,6 +191,7 @@ def _report(scheme: Scheme, slices: int, table: pa.Table) -> dict:
     }
 
 
+@shared.frugal
 def _shared(scheme: Scheme, table: pa.Table) -> dict:
     """Step 2: of one slice, the anchors that stand in two places, for each bucket that has them."""
     sizes, buckets = table["size"].to_pylist(), table["bucket"].to_pylist()
@@ -268,6 +271,7 @@ def _marks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.sort(np.concatenate(x)) for x in out)
 
 
+@shared.frugal
 def _cut(scheme: Scheme, slices: int, docs: pa.Table, marks: pa.Table) -> dict:
     """Step 3: the different snippets of a bucket, by slice of their key."""
     ids, data, offsets, _ = documents(docs)
@@ -287,6 +291,7 @@ def _cut(scheme: Scheme, slices: int, docs: pa.Table, marks: pa.Table) -> dict:
     }
 
 
+@shared.frugal
 def _answers(matcher: Callable, window: int, table: pa.Table) -> dict:
     """Step 4: match the snippets of a slice; per bucket, the runs of windows with an earlier place elsewhere."""
     number: dict[tuple[int, bytes], int] = {}
@@ -332,6 +337,7 @@ def _answers(matcher: Callable, window: int, table: pa.Table) -> dict:
     return {"bucket": list(back), "runs": [np.array(x, np.int64).tobytes() for x in back.values()]}
 
 
+@shared.frugal
 def _covered(scheme: Scheme, docs: pa.Table, marks: pa.Table):
     """Step 5: the texts of a bucket in order of id, and the maximal runs of units in repeated windows of each."""
     ids, data, offsets, docs = documents(docs)
