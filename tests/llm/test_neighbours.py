@@ -8,7 +8,8 @@ def brute(rows):
     unit = []
     for _, v, label in rows:
         sound = label is not None and v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and np.any(v)
-        unit.append(np.array(v) / np.linalg.norm(v) if sound else None)
+        scaled = np.array(v) / np.abs(v).max() if sound else None
+        unit.append(scaled / np.linalg.norm(scaled) if sound else None)
     root, links = list(range(n)), [0] * n
 
     def find(x):

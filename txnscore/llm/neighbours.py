@@ -7,7 +7,8 @@ leaves only; every similarity is verified in double precision.
 
 A pair meets in several leaves. It counts in the first of the leaves that both
 vectors are in, which each vector's list of leaves tells, so no pair is ever written
-out: a leaf yields each vector's number of links and the smallest vector linked to it.
+out: a leaf yields each vector's number of links and the smallest vector that the links
+inside the leaf join it to.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ STRIP = 512
 
 
 def _cell(forest: Forest, leaf: int, table: pa.Table, both: bool) -> pa.Table:
-    """One leaf, or two blocks of one: per vector its links that count here and the smallest vector linked.
+    """One leaf, or two blocks of one: per vector its links that count here and the smallest vector it is joined to.
 
     ``both``: the table has two blocks, to be compared with each other only.
     """
@@ -112,6 +113,7 @@ def _cell(forest: Forest, leaf: int, table: pa.Table, both: bool) -> pa.Table:
     rows = np.flatnonzero(side == 0)
     others = np.flatnonzero(side == 1) if both else rows
     links, least = np.zeros(len(vec), np.int64), vec.copy()
+    linked = np.zeros((len(rows), len(others)), bool)
     for a in range(0, len(rows), STRIP):
         own = rows[a : a + STRIP]
         near = vector[own] @ vector[others].T >= forest.least
@@ -119,12 +121,21 @@ def _cell(forest: Forest, leaf: int, table: pa.Table, both: bool) -> pa.Table:
             near[np.arange(len(own)), a + np.arange(len(own))] = False
         if not near.any():
             continue
-        least[own] = np.minimum(least[own], np.where(near, vec[others], np.iinfo(np.int64).max).min(axis=1))
+        linked[a : a + STRIP] = near
         fresh = near & (earlier[own] @ earlier[others].T == 0)
         links[own] += fresh @ copies[others]
         if both:
-            least[others] = np.minimum(least[others], np.where(near, vec[own][:, None], np.iinfo(np.int64).max).min(axis=0))
             links[others] += copies[own] @ fresh
+    # The smallest vector reachable inside the cell: hand on the smallest linked one until nothing changes.
+    most = np.iinfo(np.int64).max
+    while linked.any():
+        before = least.copy()
+        for a in range(0, len(rows), STRIP):
+            own, near = rows[a : a + STRIP], linked[a : a + STRIP]
+            least[own] = np.minimum(least[own], np.where(near, least[others], most).min(axis=1))
+            least[others] = np.minimum(least[others], np.where(near, least[own][:, None], most).min(axis=0))
+        if (least == before).all():
+            break
     keep = (least < vec) | (links > 0)
     return pa.table({"vec": vec[keep], "links": links[keep], "least": least[keep]}, schema=_LINKED)
 
