@@ -50,14 +50,16 @@ def test_hosts_paths_and_rules(spark):
 def test_templates_generalise_and_judge(spark):
     rows = []
     for k in range(60):
-        # One host whose labelled branches differ, with numbers and keys below.
+        # Hosts with numbers and keys; on one the labels of the branches differ.
         rows.append(f"http://h.example.net/es/item-{k}/{k:032x}")
-        rows.append(f"http://h.example.net/en/item-{k}/{k:032x}")
         rows.append(f"http://h.example.net/fr/item-{k}/{k:032x}")
+        rows.append(f"http://g.example.net/en/item-{k}/{k:032x}")
+        rows.append(f"http://g.example.net/es/item-{k}/{k:032x}")
         rows.append(f"http://o.example.org/user{k}x/profile")
     got = run(spark, list(enumerate(rows)))
     by = Counter((r.host, r.template, r.verdict) for r in got)
-    assert by["h.example.net", "/en/item-{num}/{hex}", "allow"] == 60
+    assert by["g.example.net", "/en/item-{num}/{hex}", "allow"] == 60
+    assert by["g.example.net", "/es/item-{num}/{hex}", "block"] == 60
     # Two branches with the same labels and the same continuation are one.
     assert by["h.example.net", "/*/item-{num}/{hex}", "block"] == 120
     assert sum(n for (h, t, v), n in by.items() if h == "o.example.org" and v == "allow") == 60
