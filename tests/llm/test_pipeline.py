@@ -31,7 +31,10 @@ def test_run_gives_the_last_stage(spark, small):
     got = corpus_pipeline.run(spark, small)
     assert {"doc_id", "size", "target", "taken"} <= set(got.columns)
     assert got.count() == got.select("doc_id").distinct().count()
-    assert abs(got.agg(F.sum("taken")).first()[0] - got.agg(F.sum("size")).first()[0]) < 0.01 * got.agg(F.sum("size")).first()[0]
+    # A source of a few documents is filled to less than its smallest one left out.
+    largest = got.groupBy("source").agg(F.max("size").alias("n")).agg(F.sum("n")).first()[0]
+    total, taken = got.agg(F.sum("size"), F.sum("taken")).first()
+    assert 0 <= total - taken < largest
 
 
 def test_mixing_takes_no_document_more_than_thrice(spark, small):
