@@ -24,6 +24,14 @@ from pyspark.sql import functions as F
 from txnscore.llm.shared import text_rows
 
 # --- Rules: fixed values ---------------------------------------------------
+# A private key reaches up to its END line: all bytes but five dashes in a row. Without one it is the run of header
+# lines, base64 and (escaped) line ends, indented or quoted (and so a word of prose that follows on the next line);
+# spaces continue it only before 32 base64 bytes.
+_KEY = r"([A-Z0-9]+\x20)*PRIVATE\x20KEY(\x20BLOCK)?-----"
+_DASHED = r"(-?-?-?-?[\x00-,.-\xff])"
+_B64, _EOL, _GAP = r"[A-Za-z0-9+/=]", r"([\x0d\x0a]|\\+[nr])", r"[\x20\x09]+"
+_NAMED = rf"(({_EOL}[\x20\x09>]*)+[A-Za-z][A-Za-z0-9-]*:(-?-?-?-?[\x00-\x09\x0e-,.-[\]-\xff])*)"
+_OPEN = rf"{_NAMED}*({_B64}|{_EOL}[\x20\x09>]*|{_GAP}{_EOL}|{_GAP}{_B64 * 32}{_B64}*({_GAP}{_B64}+)?)*"
 # (name, pattern, letters in either case, least length, whether the length is that of the last part)
 RULES = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, 6, True),
@@ -34,7 +42,7 @@ RULES = (
     ("google", r"AIza[A-Za-z0-9_-]+", False, 39, False),
     ("stripe", r"[rs]k_live_[A-Za-z0-9]+", False, 24, False),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 30, False),
-    ("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", False, 1, False),
+    ("private_key", rf"-----BEGIN\x20{_KEY}({_DASHED}*-----+END\x20{_KEY}|{_OPEN})?", False, 1, False),
 )
 BASE_KINDS = ("assign", "access", "hex")
 # ---------------------------------------------------------------------------
@@ -245,10 +253,12 @@ class Automaton:
 
 
 def _shortest(tree):
-    """What a match needs at least at its end: a last part that may repeat, once."""
+    """What a match needs at least at its end: a last part that may repeat, once; one that may lack, not at all."""
     kind, x = tree
     if kind == "cat" and x[-1][0] == "plus":
         return kind, [*x[:-1], x[-1][1]]
+    if kind == "cat" and x[-1][0] in ("opt", "star"):
+        return kind, x[:-1]
     return tree
 
 
