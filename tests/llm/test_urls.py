@@ -74,6 +74,24 @@ def test_unlabelled_urls_of_a_bad_template_are_blocked(spark):
     assert got[59].rule is None and got[59].purity >= 0.7
 
 
+@pytest.mark.parametrize("bad, good", [("a/b/c/d/ads", "a/b/c/d/news"), ("a/b/c/d/e/f/g/ads", "a/b/c/d/e/f/h/news"), ("promotions-and-advertisements-of-partners", "international-news-and-weather-reports")])
+def test_deep_and_long_segments_are_told_apart(spark, bad, good):
+    rules = [urls.Rule("x.org", f"/{bad}/{k}/", urls.BLOCK) for k in range(100, 140)]
+    pages = [f"http://x.org/{bad}/{k}/{k}" for k in range(100, 160)] + [f"http://x.org/{good}/{k}/{k}" for k in range(100, 160)]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(frame, rules).collect()}
+    assert {got[k].template for k in range(60)} == {f"/{bad}/{{num}}/{{num}}"}
+    assert {got[k].template for k in range(60, 120)} == {f"/{good}/{{num}}/{{num}}"}
+    assert [got[k].verdict for k in range(120)] == ["block"] * 60 + ["allow"] * 60
+
+
+def test_long_segments_that_go_on_alike_are_one(spark):
+    word = "abcdefghijklmnopqrstuvwxyz"
+    pages = [f"http://x.org/p/q/r/s/t/{word[k:]}-{word[:k]}-and-more/view" for k in range(26)]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    assert {r.template for r in urls.judge(frame, []).collect()} == {"/p/q/r/s/t/*/view"}
+
+
 @pytest.mark.parametrize("rows", [[]])
 def test_empty_table(spark, rows):
     assert run(spark, rows) == []

@@ -38,14 +38,12 @@ class Rule:
 
 @dataclass(frozen=True)
 class Filter:
-    """``depth`` segments make a template, the rest is one placeholder; ``reject`` is the least purity of a
-    blocked template, ``strength`` the labelled urls that the smoothing counts for."""
+    """``reject`` is the least purity of a blocked template, ``strength`` the labelled urls that the
+    smoothing counts for; branches of less than ``few`` urls are like any other."""
 
-    depth: int = 4
     reject: float = 0.7
     strength: float = 4.0
     few: int = 5
-    longest: int = 24
 
 
 def host_of(url: Column) -> Column:
@@ -68,22 +66,38 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> Column:
     return out
 
 
-def form_of(segment: Column, longest: int) -> Column:
+def form_of(segment: Column) -> Column:
     """A segment with what varies by its form replaced by placeholders."""
     s = F.regexp_replace(segment, r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{8,}\b", "{hex}")
-    s = F.regexp_replace(s, r"(?<![{\w])[0-9]+(?![\w}])|[0-9]{2,}", "{num}")
-    return F.when(F.char_length(s) > longest, F.lit("{text}")).otherwise(s)
+    return F.regexp_replace(s, r"(?<![{\w])[0-9]+(?![\w}])|[0-9]{2,}", "{num}")
+
+
+def _skip_chains(tree: DataFrame) -> DataFrame:
+    """Every node moved down to where its urls part or end: a branch without siblings has none to merge with."""
+    # What the least and the greatest share, all between them share.
+    ends = tree.groupBy("host", "template").agg(F.min("forms").alias("low"), F.max("forms").alias("high"))
+    parts = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+    ends = ends.select("host", "template", F.when(parts == 0, F.size("low")).otherwise(parts - 1).alias("shared")).where("shared > 0")
+    moved = F.concat(F.col("template"), F.lit("/"), F.array_join(F.slice("forms", F.lit(1), F.col("shared")), "/"))
+    left = F.slice("forms", F.col("shared") + 1, F.size("forms"))
+    tree = tree.join(ends, ["host", "template"], "left")
+    skips = F.col("shared").isNotNull()
+    return tree.withColumns({"template": F.when(skips, moved).otherwise(F.col("template")), "forms": F.when(skips, left).otherwise(F.col("forms"))}).drop("shared")
 
 
 def templates(paths: DataFrame, how: Filter = Filter()) -> DataFrame:
-    """``paths`` (host, path, n_allow, n_block, n_none: distinct host and path) with ``template``."""
+    """``paths`` (host, path, n_allow, n_block, n_none: distinct host and path) with ``template``.
+
+    Goes down until no path has a further segment.
+    """
     pieces = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    forms = F.transform(pieces, lambda s: form_of(s, how.longest))
-    rest = F.when(F.size(forms) > how.depth, F.concat(F.slice(forms, 1, how.depth), F.array(F.lit("{rest}")))).otherwise(forms)
-    tree = paths.withColumns({"forms": rest, "template": F.lit("")})
-    for level in range(1, how.depth + 2):
-        here = F.coalesce(F.get("forms", F.lit(level - 1)), F.lit(END))
-        onward = F.coalesce(F.get("forms", F.lit(level)), F.lit(END))
+    tree = materialize(paths.withColumns({"forms": F.transform(pieces, form_of), "template": F.lit("")}), "url-paths")
+    found = None
+    while True:
+        # ``forms`` is what is left of a path below its node.
+        tree = _skip_chains(tree)
+        here = F.coalesce(F.get("forms", F.lit(0)), F.lit(END))
+        onward = F.coalesce(F.get("forms", F.lit(1)), F.lit(END))
         tree = tree.withColumn("here", here)
         # What a branch looks like: its next segments, and the labels below it.
         traits = F.explode(
@@ -113,8 +127,14 @@ def templates(paths: DataFrame, how: Filter = Filter()) -> DataFrame:
         merged = tested.where("alike").join(several, node).select(*branch, F.lit(True).alias("merged"))
         step = F.when(F.col("here") == END, F.lit("")).when(F.col("merged"), F.lit("/*")).otherwise(F.concat(F.lit("/"), "here"))
         tree = tree.join(merged, branch, "left").withColumn("template", F.concat("template", step)).drop("merged", "here")
-        tree = materialize(tree, f"url-level-{level}")
-    return tree.drop("forms")
+        over = F.size("forms") == 0
+        tree = tree.withColumn("over", over).withColumn("forms", F.when(over, F.col("forms")).otherwise(F.slice("forms", F.lit(2), F.size("forms"))))
+        tree = materialize(tree, "url-level")
+        ended = tree.where("over").drop("over", "forms")
+        found = ended if found is None else found.unionByName(ended)
+        tree = tree.where("NOT over").drop("over")
+        if tree.isEmpty():
+            return found
 
 
 def judge(pages: DataFrame, rules: list[Rule], how: Filter = Filter(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
