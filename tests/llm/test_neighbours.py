@@ -70,5 +70,19 @@ def test_recall_over_many_leaves(spark):
     assert all(n <= most[i] for i, n, *_ in got)
 
 
+def test_recall_of_the_default_forest_at_full_depth():
+    forest, n, cosine = neighbours.Forest(), 10_000, 0.931
+    rng = np.random.default_rng(11)
+    one, off = rng.standard_normal((2, n, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    off -= (off * one).sum(axis=1, keepdims=True) * one
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    vectors = np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * off])
+    row, leaf = neighbours.leaves(neighbours.fit(vectors, forest.deepest, forest), vectors, forest.spill)
+    edge = np.searchsorted(row, np.arange(2 * n + 1))
+    of = [set(leaf[edge[k] : edge[k + 1]].tolist()) for k in range(2 * n)]
+    assert sum(not of[k].isdisjoint(of[k + n]) for k in range(n)) >= 0.999 * n
+
+
 def test_empty_table(spark):
     assert run(spark, [], neighbours.Forest()) == []
