@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnscore.llm import decontam, fmindex, jaccard, mix, neighbours, quality, secrets, suffixes, urls, warc
+from txnscore.llm import decontam, fmindex, jaccard, mix, neighbours, quality, ranking, runs, secrets, shards, suffixes, urls, warc
 from txnscore.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +113,83 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def repeated(doc_id: int | None, text: bytes) -> bytes:
+    """The words of every tenth document, by the CRC-32 of its id, run in a circle from one of them on."""
+    place = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    words = text.split()
+    if doc_id is None or place % 10 or not words:
+        return text
+    n, g = len(words), place // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    rounds = -(-(n - first) // period)
+    return b" ".join(words[:first] + (words[first : first + period] * rounds)[: n - first])
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(_table(spark, sf_dir, "documents"), before=repeated)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # Lengths over periods, compared as whole numbers; runs stand by start, then period.
+    longer = F.aggregate("runs", none, lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    best = F.col("best")
+    return found.withColumn("best", longer).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.assign(_table(spark, sf_dir, "documents"))
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+# The CRC-32 by its definition: the remainders of all bytes, then a fold over the text's.
+ORACLES["op12_shards"] = """
+WITH bits AS (
+  SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS b)),
+remainders AS (SELECT list(v ORDER BY b) AS t FROM bits),
+bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+crcs AS (
+  SELECT doc_id, len(b) + 1 AS size,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32
+  FROM bytes, remainders),
+placed AS (
+  SELECT doc_id, size, text_crc32, least(15, ((2 * (sum(size) OVER (ORDER BY doc_id) - size) + size) * 16) // (2 * sum(size) OVER ())) AS shard
+  FROM crcs)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM placed"""
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranking.build(_table(spark, sf_dir, "documents"))
+    return ranking.search(index, _table(spark, sf_dir, "benchmark"), k=50)
+
+
+_TERMS = f"regexp_extract_all(translate(text, '{ranking.UPPER}', '{ranking.LOWER}'), '{ranking.TERM_PATTERN}')"
+ORACLES["op13_ranked_search"] = f"""
+WITH words AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+uses AS (SELECT doc_id, term, count(*) AS tf FROM words SEMI JOIN asked USING (term) GROUP BY 1, 2),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM uses, totals GROUP BY 1),
+gains AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)) AS gain FROM uses JOIN sizes USING (doc_id), totals),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * gain) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN gains USING (term) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
