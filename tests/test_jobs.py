@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from txnscore import jobs
 from txnscore.config import Settings
 from txnscore.functions.messages import decode_messages
-from txnscore.ml.model import category_table, encoding_stages, model_input, probability, train, with_places
+from txnscore.ml.model import category_table, encoded_input, encoding_stages, probability, scaler_fit, train
 from txnscore.ml.registry import ModelRegistry
 from txnscore.plans.results import latest_predictions, search_profiles, search_transactions
 from txnscore.schemas import MODEL_FEATURES
-from txnscore.sources import readers, sinks
+from txnscore.sources import readers
+from txnscore.sources.batches import BatchTable
 from txnscore.sources.runlog import RunLog
 from txnscore.streaming.tail import drain
 
@@ -98,14 +99,28 @@ def test_unseen_category_encodes_as_zeros(spark, deployed):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    rows = model_input(spark.read.parquet(f"{deployed[0]}/training"))
-    categories = category_table(rows)
-    fitted = Pipeline(stages=encoding_stages()).fit(with_places(rows, categories))
-    odd = rows.limit(1).withColumns({"merchant_id_text": F.lit("never seen"), "card_provider_text": F.lit("new")})
-    x = fitted.transform(with_places(odd, categories)).select(vector_to_array("features")).first()[0]
+    rows = spark.read.parquet(f"{deployed[0]}/training")
+    categories, scaler = category_table(rows), scaler_fit(rows)
+    fitted = Pipeline(stages=encoding_stages()).fit(encoded_input(rows, categories, scaler))
+    odd = rows.limit(1).withColumns({"merchant_id": F.lit("never seen"), "card_provider": F.lit("new")})
+    x = fitted.transform(encoded_input(odd, categories, scaler)).select(vector_to_array("features")).first()[0]
     assert sum(x[8:]) == 4.0
 
 
+def test_places_are_those_of_one_sort(spark):
+    """Numbers given range by range equal a row number over the whole column."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(f"c{int(rng.paretovariate(0.7)) % 500}", f"m{rng.randrange(40)}") for _ in range(4000)], "card_provider STRING, merchant_id STRING")
+    rows = rows.withColumns({c: F.lit("x") for c in ("amount_category", "user_segment", "is_preferred_card", "is_home_location")})
+    found = category_table(rows.repartition(9)).collect()
+    for feature in ("card_provider", "merchant_id"):
+        counts = {}
+        for r in rows.select(feature).collect():
+            counts[r[0]] = counts.get(r[0], 0) + 1
+        want = {c: k for k, (_, c) in enumerate(sorted((-n, c) for c, n in counts.items()))}
+        assert {r["category"]: r["place"] for r in found if r["feature"] == feature} == want
+
+
 def test_very_many_merchants_train(spark, deployed):
     rows = spark.read.parquet(f"{deployed[0]}/training").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(27))))
     ident = F.concat("transaction_id", F.lit("-"), F.col("n").cast("string"))
@@ -160,13 +175,13 @@ def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
     ]
     write_feed(spark, feed, [[message(i) for i in range(0, 40)], [message(i) for i in range(40, 70)] + bad])
     worker(spark, root, feed, version)
-    before = spark.read.parquet(f"{root}/predictions").count()
+    before = jobs.predictions(spark, root).count()
     assert before == 70
     # New files after a restart: later messages, one redelivery, one without a run.
     late = [message(i, "run-2") for i in range(70, 90)] + [message(3)] + [message(95).replace('"run_id": "run-1", ', "")]
     write_feed(spark, feed, [late])
     worker(spark, root, feed, version)
-    stored = spark.read.parquet(f"{root}/predictions")
+    stored = jobs.predictions(spark, root)
     assert stored.count() == 70 + 22
     streamed = latest_predictions(stored, ["processed_at", "batch_id", "arrival"])
     assert streamed.count() == 91
@@ -176,22 +191,26 @@ def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
     columns = ["transaction_id", "amount", "user_id", "is_fraud", "label", "fraud_probability"]
     assert sorted(map(tuple, streamed.select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
 
-    dead = {r["data"]: r["reason"] for r in spark.read.parquet(f"{root}/dead_letters").collect()}
+    dead = {r["data"]: r["reason"] for r in jobs.dead_letters(spark, root).collect()}
     assert dead == {"{broken": "malformed", None: "no payload", bad[2]: "unreadable time", bad[3]: "unusable amount"}
-    runs = {r["run_id"] for r in spark.read.parquet(f"{root}/stats_events").select("run_id").distinct().collect()}
+    runs = {r["run_id"] for r in jobs.stats_events(spark, root).select("run_id").distinct().collect()}
     assert runs == {"run-1", "run-2", "unknown"}
-    sizes = sorted(r["transactions"] for r in spark.read.parquet(f"{root}/batch_stats").collect())
+    sizes = sorted(r["transactions"] for r in jobs.batch_stats(spark, root).collect())
     assert sizes == [22, 30, 40]
-    # Trying a batch again overwrites its own output.
+    # A committed batch is left as it is when it is tried again; one stored copy of every message.
     job.process(spark.createDataFrame([(message(i),) for i in range(40)], "data STRING"), 0)
-    assert spark.read.parquet(f"{root}/predictions").filter("batch_id = 0").count() == 40
+    assert jobs.predictions(spark, root).filter("batch_id = 0").count() == 40
+    assert spark.read.parquet(f"{root}/scored/rows").count() == 70 + 22 + len(bad)
+    progress = jobs.stream_progress(spark, root).orderBy("batch_id").collect()
+    assert [r["messages_so_far"] for r in progress] == [40, 40 + 30 + 4, 40 + 30 + 4 + 22]
+    assert [r["dead"] for r in progress] == [0, 4, 0]
 
     # A second query on its own feed keeps its output apart.
     other_feed = str(tmp_path / "feed2")
     write_feed(spark, other_feed, [[message(i, "run-3") for i in range(200, 205)]])
     second = jobs.start_worker(spark, root, other_feed, version, "w2", SETTINGS, available_now=True)
     assert second.awaitTermination(300)
-    events = spark.read.parquet(f"{root}/stats_events")
+    events = jobs.stats_events(spark, root)
     assert {(r["worker_id"], r["source"]) for r in events.select("worker_id", "source").distinct().collect()} == {
         ("w1", "w1"), ("w2", "w2")}
     assert events.filter("worker_id = 'w1'").count() == 92
@@ -214,25 +233,27 @@ def test_stream_equals_batch_and_survives_restart(spark, deployed, tmp_path):
     assert len(newest) == 5 and {r["run_id"] for r in newest} == {"run-3"}
     assert jobs.latest_results(spark, root, 100, "run-2").count() == 20
 
-    tail = lambda: drain(
-        jobs.follow_results(spark, root, "run-2"), str(tmp_path / "seen"), str(tmp_path / "position")
-    )
+    tail = lambda: jobs.follow_results(spark, root, str(tmp_path / "seen"), str(tmp_path / "position"), "run-2")
     assert tail().count() == 20
     assert tail().count() == 20
 
-    newest_at = spark.read.parquet(f"{root}/stats_events").agg(F.max("timestamp")).first()[0]
-    assert jobs.expire(spark, root, F.lit(newest_at), SETTINGS) == []
+    jobs.snapshot_workers(spark, root)
+    newest_at = jobs.stats_events(spark, root).agg(F.max("timestamp")).first()[0]
+    jobs.expire(spark, root, F.lit(newest_at), SETTINGS)
+    assert jobs.stats_events(spark, root).count() == 97
     later = F.lit(newest_at) + F.expr("INTERVAL 25 HOURS")
-    assert sorted(jobs.expire(spark, root, later, SETTINGS)) == [("w1", 0), ("w1", 1), ("w1", 2), ("w2", 0)]
-    assert jobs.worker_stats(spark, root).count() == 0
-    with pytest.raises(ValueError):
-        sinks.remove_folder(spark, f"{root}/models/source=w1/batch_id=0")
-
-    left = {r["table"]: r["rows"] for r in sinks.purge(spark, root, ("predictions",)).collect()}
-    assert left == {"predictions": 0, "scored": 0}
-    assert spark.read.parquet(f"{root}/results").count() > 0
+    jobs.expire(spark, root, later, SETTINGS)
+    assert jobs.worker_stats(spark, root).count() == 0 and jobs.predictions(spark, root).count() == 97
+    kept = {(r["run_id"], r["worker_id"]): r["transactions"] for r in jobs.stored_workers(spark, root).collect()}
+    assert kept[("run-2", "w1")] == 20
+    jobs.expire_workers(spark, root, later, SETTINGS)
+    assert jobs.stored_workers(spark, root).count() == 0
+
+    left = {r["table"]: r["rows"] for r in jobs.purge(spark, root, ("predictions",)).collect()}
+    assert left == {"predictions": 0}
+    assert jobs.result_messages(spark, root).count() == 97
     with pytest.raises(ValueError):
-        sinks.purge(spark, root, ("everything",))
+        jobs.purge(spark, root, ("everything",))
 
 
 def test_json_lines_and_arrays_read_alike(spark, tmp_path):
@@ -291,19 +312,79 @@ def test_command_line(spark, deployed, tmp_path, capsys, monkeypatch):
     assert json.loads(text)["transactions"] == 12 and "\n" in text
     assert jobs.run_stats_text(spark, root, "nope") is None
     main(["--root", root, "cleanup", "predictions"])
-    assert spark.read.parquet(f"{root}/predictions").count() == 0
+    assert jobs.predictions(spark, root).count() == 0
     assert jobs.latest_results(spark, root, 50).count() == 12
     with pytest.raises(ValueError):
         main(["--root", root, "cleanup", "history"])
 
 
-def test_a_purged_table_takes_new_batches(spark, tmp_path):
-    rows = spark.range(5).select(F.col("id").cast("string").alias("transaction_id"))
-    sinks.write_batch(rows, f"{tmp_path}/predictions", "w1", 0)
-    assert sinks.purge(spark, str(tmp_path), ("predictions",)).first()["rows"] == 0
-    sinks.write_batch(rows, f"{tmp_path}/predictions", "w1", 1)
-    found = spark.read.parquet(f"{tmp_path}/predictions").groupBy("source", "batch_id").count().collect()
-    assert [tuple(r) for r in found] == [("w1", 1, 5)]
+def batch(spark, n=5, run="r"):
+    return spark.range(n).select(F.col("id").cast("string").alias("transaction_id"), F.lit(run).alias("run_id"))
+
+
+def put(table, number, at, rows=None, source="w1"):
+    rows = batch(table.spark) if rows is None else rows
+    attempt = table.write(rows, source, number, at)
+    return table.commit(source, number, attempt, messages=rows.count())
+
+
+DAY = 86_400_000_000
+NOON = 1_700_000_000_000_000
+
+
+def test_a_purged_view_takes_new_batches(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "scored"))
+    put(table, 0, NOON)
+    assert jobs.purge(spark, str(tmp_path), ("predictions",)).first()["rows"] == 0
+    put(table, 1, NOON + 5)
+    assert [r["batch_id"] for r in table.rows("predictions").select("batch_id").distinct().collect()] == [1]
+    assert table.rows("results").count() == 10
+
+
+def test_a_retried_batch_is_seen_once(spark, tmp_path):
+    """An attempt fails after writing, its batch is tried again between two drains, then once more."""
+    table = BatchTable(spark, str(tmp_path / "t"))
+    tail = lambda: drain(table, lambda rows: rows, str(tmp_path / "seen"), str(tmp_path / "position"), files_per_trigger=1)
+    assert tail_is_empty(table, tmp_path)
+    put(table, 0, NOON)
+    table.write(batch(spark, 7), "w1", 1, NOON + 1)
+    assert tail().count() == 5
+    assert put(table, 1, NOON + 2, batch(spark, 7))
+    assert tail().count() == 12
+    assert not put(table, 1, NOON + DAY, batch(spark, 7))
+    assert tail().count() == 12 and table.rows().count() == 12
+    assert tail().groupBy("batch_id").count().count() == 2
+
+
+def tail_is_empty(table, tmp_path):
+    table.write(batch(table.spark), "other", 0, NOON)
+    return drain(table, lambda rows: rows, str(tmp_path / "seen"), str(tmp_path / "position")).count() == 0
+
+
+def test_newest_rows_read_only_the_last_folders(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"))
+    for k in range(12):
+        put(table, k, NOON + k, batch(spark, 5, "rare" if k == 3 else "r"))
+    files = lambda df: len(df.inputFiles())
+    assert files(table.newest(lambda rows: rows, 4)) <= files(table.newest(lambda rows: rows, 18)) < files(table.rows())
+    assert table.newest(lambda rows: rows, 4).select("batch_id").distinct().collect()[0][0] == 11
+    rare = table.newest(lambda rows: rows.filter("run_id = 'rare'"), 3)
+    assert rare.count() == 5
+    assert table.newest(lambda rows: rows.filter("run_id = 'none'"), 3).count() == 0
+
+
+def test_days_that_no_view_shows_are_removed(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"))
+    for k in range(3):
+        put(table, k, NOON + k * DAY)
+    table.set_mark("a", NOON + 2 * DAY)
+    assert table.sweep(["a", "b"]) == []
+    table.set_mark("b", NOON + DAY)
+    assert len(table.sweep(["a", "b"])) == 1
+    assert {r[0] for r in table.rows().select("batch_id").distinct().collect()} == {1, 2}
+    table.set_mark("a", NOON)
+    assert table.mark("a") == NOON + 2 * DAY
+    assert put(table, 3, NOON + 3 * DAY) and table.rows("a").count() == 10
 
 
 def test_old_runs_expire(spark, tmp_path):
@@ -311,9 +392,43 @@ def test_old_runs_expire(spark, tmp_path):
     log = RunLog(spark, f"{root}/runs")
     log.start("old")
     log.complete("old", transactions=3)
+    log.start("busy")
     # The clock has moved on by a day and a half; one run is still at work.
-    aged = log.changes().withColumn("seq", F.col("seq") - 36 * 3600 * 1_000_000).collect()
-    spark.createDataFrame(aged, log.changes().schema).write.mode("overwrite").parquet(log.path)
+    log.log.rewrite(lambda rows: rows.withColumn("seq", F.col("seq") - 36 * 3600 * 1_000_000))
     log.start("new")
-    assert [r["run_id"] for r in jobs.expire_runs(spark, root, F.current_timestamp(), SETTINGS).collect()] == ["old"]
+    assert sorted(r["run_id"] for r in jobs.expire_runs(spark, root, F.current_timestamp(), SETTINGS).collect()) == ["busy", "old"]
     assert [r["run_id"] for r in log.runs().collect()] == ["new"]
+
+
+def test_an_update_during_expiry_survives(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "runs"))
+    log.start("a")
+    log.start("b")
+
+    def keep(rows):
+        log.update("a", pattern="spike")
+        log.start("c")
+        return rows.filter("run_id = 'b'")
+
+    log.log.rewrite(keep)
+    assert {r["run_id"]: r["pattern"] for r in log.runs().collect()} == {"a": "spike", "b": "constant", "c": "constant"}
+
+
+def test_of_two_rewrites_one_starts_again(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "runs"))
+    for run in "abc":
+        log.start(run)
+    calls = []
+
+    def drop_a(rows):
+        calls.append(1)
+        if len(calls) == 1:
+            log.log.rewrite(lambda r: r.filter("run_id <> 'b'"))
+        return rows.filter("run_id <> 'a'")
+
+    log.log.rewrite(drop_a)
+    assert len(calls) == 2 and [r["run_id"] for r in log.runs().collect()] == ["c"]
+    log.log.rewrite(lambda rows: rows)
+    log.log.vacuum()
+    assert [r["run_id"] for r in log.runs().collect()] == ["c"] and log.log.folder.names("parts") == []
+    assert len(log.log.folder.names("versions")) == 2

@@ -70,15 +70,55 @@ def test_user_lookup_reaches_the_scan(spark, small, tmp_path):
     assert "EqualTo(user_id,USER7)" in text
 
 
-def test_recent_history_filter_reaches_the_scan(spark, tmp_path):
-    from txnscore.config import DEFAULTS
+def _job(spark, path, **options):
+    from txnscore.sources.stored import read_by_user, save_by_user
     from txnscore.streaming.score import ScoringJob
 
-    path = str(tmp_path / "h")
-    spark.createDataFrame([("u", 5, 1, 1)], "user_id STRING, timestamp BIGINT, txns BIGINT, spend INT").write.parquet(path)
-    job = ScoringJob(None, spark.read.parquet(path), None, "", settings=DEFAULTS)
-    asked = spark.createDataFrame([("u",)], "user_id STRING")
-    assert "GreaterThanOrEqual(timestamp" in plan(job._recent(9_000_000, asked, 1))
+    rows = spark.range(60_000).selectExpr("concat('u', id % 3000) AS user_id", "id AS timestamp", "1L AS txns", "1 AS spend")
+    save_by_user(rows, path, 4, within="timestamp", **options)
+    return ScoringJob(None, read_by_user(spark, path), read_by_user(spark, path), "")
+
+
+def test_recent_history_filter_reaches_the_scan(spark, tmp_path):
+    job = _job(spark, str(tmp_path / "h"))
+    asked = spark.createDataFrame([("u7", 9_000_000)], "user_id STRING, timestamp BIGINT")
+    reach = job._reach(asked)
+    assert (reach["rows"], reach["oldest"], reach["named"]) == (1, 9_000_000, ["u7"]) and len(reach["history"]) == 1
+    text = plan(job.recent(reach))
+    assert "GreaterThanOrEqual(timestamp" in text and "user_bucket" in re.search(r"PartitionFilters: .*", text)[0]
+    assert "u7" in re.search(r"PushedFilters: .*", text)[0]
+
+
+def test_bloom_filters_skip_row_groups(spark, tmp_path):
+    """A user's bucket has many row groups; only those that may hold the user are read."""
+    job = _job(spark, str(tmp_path / "h"), parquet__block__size="4096", parquet__page__size="1024", parquet__block__size__row__check__min="100")
+    user = spark.range(1).selectExpr("'u7' AS user_id", "99L AS timestamp")
+    reach = job._reach(user)
+    found = job.history.of(reach["history"], reach["named"])
+    assert found.count() == 20
+    whole = job.history.of(reach["history"])
+    rows = [_scanned(df) for df in (found, whole)]
+    assert rows[0] < rows[1]
+
+
+def _scanned(df):
+    """Rows that the scan of a plan gave on."""
+    df = df.select("user_id", "timestamp")
+    df.collect()
+    scans = [df._jdf.queryExecution().executedPlan()]
+    while scans[0].children().size():
+        scans = [scans[0].children().apply(0)]
+    return scans[0].metrics().apply("numOutputRows").value()
+
+
+def test_layout_is_that_of_the_table(spark, tmp_path, monkeypatch):
+    """The number of buckets in the settings is for writing only."""
+    monkeypatch.setenv("TXNSCORE_USER_BUCKETS", "7")
+    job = _job(spark, str(tmp_path / "h"))
+    assert job.history.buckets == 4
+    reach = job._reach(spark.range(300).selectExpr("concat('u', id) AS user_id", "1L AS timestamp"))
+    assert reach["named"] is None
+    assert job.recent(reach).filter("user_id IN ('u3', 'u299')").count() == 40
 
 
 @pytest.mark.parametrize("name", ["fraud_labels", "stratified_split", "roc_auc", "latency_stats"])

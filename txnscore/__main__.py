@@ -10,7 +10,6 @@ from txnscore import jobs
 from txnscore.config import Settings
 from txnscore.plans.runstats import run_report
 from txnscore.session import prepare as prepare_session
-from txnscore.sources import sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--count", type=int, default=10)
     m.add_argument("--json", help="write the run statistics as JSON to this folder")
     c = jobs_.add_parser("cleanup", help="empty the tables of the scoring stream")
-    c.add_argument("groups", nargs="*", default=list(sinks.OWNED))
+    c.add_argument("groups", nargs="*", default=list(jobs.OWNED))
     return top
 
 
@@ -49,15 +48,14 @@ def main(argv: list[str] | None = None) -> None:
             spark, root, args.feed, args.model_version, args.worker_id, settings, args.once, args.files_per_batch
         ).awaitTermination()
     elif args.job == "cleanup":
-        sinks.purge(spark, root, tuple(args.groups)).show()
+        jobs.purge(spark, root, tuple(args.groups)).show()
     elif args.what == "runs":
         jobs.list_runs(spark, root, args.count).show(args.count, truncate=False)
     elif args.what == "live":
-        jobs.latest_results(spark, root, 5, args.run_id).drop("data").show(5, truncate=False)
-        new = jobs.follow_results(spark, root, args.run_id).drop("data")
-        new.writeStream.format("console").option("truncate", False).start().awaitTermination()
+        jobs.latest_results(spark, root, 5, args.run_id).show(5, truncate=False)
+        jobs.show_results(spark, root, args.run_id).awaitTermination()
     elif args.what == "latest":
-        jobs.latest_results(spark, root, args.count, args.run_id).drop("data").show(args.count, truncate=False)
+        jobs.latest_results(spark, root, args.count, args.run_id).show(args.count, truncate=False)
     elif args.what == "workers":
         workers = jobs.worker_stats(spark, root)
         shown = workers if args.run_id is None else workers.filter(workers["run_id"] == args.run_id)

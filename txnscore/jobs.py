@@ -3,12 +3,14 @@
 Layout below ``root``: ``history`` (all usable transactions), ``rejected_history``
 (deliveries that could not be used, with the reason), ``profiles``,
 ``serving_history`` (one row per user and second), ``training`` (labelled
-features), ``models`` and ``model_registry``, ``runs`` (change log), and the
-tables the scoring stream writes.
+features), ``models`` and ``model_registry``, ``runs`` and ``workers`` (logs), and
+``scored``, the one table of the scoring stream: predictions, results, events, dead
+letters and batch figures are views of its committed batches.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +20,20 @@ from pyspark.sql.streaming import StreamingQuery
 from txnscore.config import DEFAULTS, Settings
 from txnscore.ml.model import train
 from txnscore.ml.registry import ModelRegistry
+from txnscore.operators.latest import latest_by_key
 from txnscore.plans import results, runstats
 from txnscore.plans.history import load_history, offline_features, rejected_history
 from txnscore.plans.labels import add_fraud_labels
 from txnscore.plans.profiles import user_profiles
-from txnscore.plans.serving import USER_BUCKET, compact_history, user_bucket
-from txnscore.schemas import STATS_EVENT
-from txnscore.session import materialize
+from txnscore.plans.serving import compact_history
+from txnscore.session import fresh_path, materialize
 from txnscore.session import prepare as prepare_session
 from txnscore.sources import readers, sinks
-from txnscore.sources.runlog import RunLog
-from txnscore.streaming.score import ScoringJob
-from txnscore.streaming.tail import tail_results
+from txnscore.sources.runlog import RunLog, WorkerLog
+from txnscore.sources.stored import read_by_user, save_by_user
+from txnscore.streaming import score as scoring
+from txnscore.streaming.score import ScoringJob, scored_table
+from txnscore.streaming.tail import drain, of_run
 
 
 def load(
@@ -56,14 +60,8 @@ def load(
 
 def save_serving(profiles: DataFrame, compact: DataFrame, root: str, settings: Settings = DEFAULTS) -> None:
     """The two stored tables of scoring, partitioned by the hash of the user."""
-    bucket = user_bucket(settings.user_buckets)
-    spread = compact.withColumn(USER_BUCKET, bucket).repartitionByRange(USER_BUCKET, "timestamp")
-    sinks.save_table(
-        profiles.withColumn(USER_BUCKET, bucket).repartition(USER_BUCKET), f"{root}/profiles", USER_BUCKET
-    )
-    sinks.save_table(
-        spread.sortWithinPartitions(USER_BUCKET, "timestamp"), f"{root}/serving_history", USER_BUCKET
-    )
+    save_by_user(profiles, f"{root}/profiles", settings.user_buckets)
+    save_by_user(compact, f"{root}/serving_history", settings.user_buckets, within="timestamp")
 
 
 def build_training(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> DataFrame:
@@ -103,8 +101,8 @@ def scoring_job(
 ) -> ScoringJob:
     return ScoringJob(
         ModelRegistry(spark, root, settings.model_name).load(version),
-        spark.read.parquet(f"{root}/serving_history"),
-        spark.read.parquet(f"{root}/profiles"),
+        read_by_user(spark, f"{root}/serving_history"),
+        read_by_user(spark, f"{root}/profiles"),
         root,
         worker_id,
         settings,
@@ -126,9 +124,29 @@ def start_worker(
     return job.start(readers.stream_messages(spark, feed, files_per_trigger), available_now)
 
 
+def predictions(spark: SparkSession, root: str) -> DataFrame:
+    """Every scored transaction as often as it was delivered; ``results.latest_predictions`` keeps the last."""
+    return scoring.predictions(scored_table(prepare_session(spark), root).rows("predictions"))
+
+
+def result_messages(spark: SparkSession, root: str) -> DataFrame:
+    return scoring.result_messages(scoring.predictions(scored_table(prepare_session(spark), root).rows("results")))
+
+
 def stats_events(spark: SparkSession, root: str) -> DataFrame:
-    """The stats events; the declared schema also reads a table that is empty."""
-    return prepare_session(spark).read.schema(STATS_EVENT).parquet(f"{root}/stats_events")
+    return scoring.stats_events(scoring.predictions(scored_table(prepare_session(spark), root).rows("stats_events")))
+
+
+def dead_letters(spark: SparkSession, root: str) -> DataFrame:
+    return scoring.dead_messages(scored_table(prepare_session(spark), root).rows("dead_letters"))
+
+
+def batch_stats(spark: SparkSession, root: str) -> DataFrame:
+    return scoring.batch_figures(scored_table(prepare_session(spark), root).commits("batch_stats"))
+
+
+def stream_progress(spark: SparkSession, root: str) -> DataFrame:
+    return scoring.progress(scored_table(prepare_session(spark), root).commits())
 
 
 def worker_stats(spark: SparkSession, root: str) -> DataFrame:
@@ -164,49 +182,90 @@ def run_stats_text(spark: SparkSession, root: str, run_id: str) -> str | None:
 
 
 def latest_results(spark: SparkSession, root: str, limit: int = 10, run_id: str | None = None) -> DataFrame:
-    typed = results.typed_results(spark.read.parquet(f"{root}/results"))
-    newest = typed.withColumn(
-        "processed_at", F.to_timestamp(F.get_json_object("data", "$.processed_at"))
-    )
-    return results.latest_results(newest, ["processed_at", "batch_id", "transaction_id"], limit, run_id)
+    """The newest results; of the stored batches only the newest are read, until there are enough."""
+    table = scored_table(prepare_session(spark), root)
+    newest = table.newest(lambda rows: of_run(scoring.predictions(rows), run_id), limit, "results")
+    return results.latest_results(scoring.results(newest), ["processed_at", "batch_id", "transaction_id"], limit)
+
 
+def follow_results(spark: SparkSession, root: str, out: str, checkpoint: str, run_id: str | None = None) -> DataFrame:
+    """Results committed since the last call go to ``out``, each once; returns all of them."""
+    view = lambda rows: scoring.results(scoring.predictions(rows))
+    return drain(scored_table(prepare_session(spark), root), view, out, checkpoint, run_id, name="results")
 
-def follow_results(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
-    return tail_results(spark, f"{root}/results", run_id)
 
+def show_results(spark: SparkSession, root: str, run_id: str | None = None) -> StreamingQuery:
+    """Print results as their batches are committed."""
+    show = lambda rows, _: of_run(scoring.results(scoring.predictions(rows)), run_id).show(truncate=False)
+    return scored_table(spark, root).follow(show, fresh_path(spark, "live"), "results", available_now=False)
 
-def expire(spark: SparkSession, root: str, now: Column, settings: Settings = DEFAULTS) -> list[tuple[str, int]]:
-    """Drop the stats event batches that are older than the retention as a whole.
 
-    Whole batch folders are removed, so nothing is rewritten and a running
-    stream is not disturbed; readers cut exactly with ``results.retained``.
-    Returns the dropped (source, batch id) pairs.
+def snapshot_workers(spark: SparkSession, root: str) -> None:
+    """Keep the worker statistics as they are now."""
+    WorkerLog(spark, f"{root}/workers").save(worker_stats(spark, root))
+
+
+def stored_workers(spark: SparkSession, root: str) -> DataFrame:
+    """The newest snapshot of every run and worker."""
+    return WorkerLog(prepare_session(spark), f"{root}/workers").workers()
+
+
+def _micros(spark: SparkSession, at: Column) -> int:
+    return spark.range(1).select(F.unix_micros(at.cast("timestamp"))).first()[0]
+
+
+def expire(spark: SparkSession, root: str, now: Column, settings: Settings = DEFAULTS) -> int:
+    """Hide the stats events of batches committed longer than the retention before ``now``.
+
+    A mark is moved, so nothing is rewritten and a running stream is not disturbed. Days that
+    no view shows any more are removed as a whole. Returns the mark, in microseconds.
     """
-    table = f"{root}/stats_events"
-    folder = [sinks.SOURCE, sinks.BATCH]
-    batches = (
-        prepare_session(spark).read.parquet(table).groupBy(*folder).agg(F.max("timestamp").alias("newest"))
-    )
-    kept = results.retained(batches, "newest", now, settings.retention_hours)
-    stale = batches.join(kept.select(*folder), folder, "left_anti").select(*folder)
-    dropped = []
-    for source, batch_id in stale.toLocalIterator():
-        sinks.remove_folder(spark, sinks.batch_folder(table, source, batch_id))
-        dropped.append((source, batch_id))
-    return dropped
+    table = scored_table(prepare_session(spark), root)
+    table.set_mark("stats_events", _micros(spark, now) - settings.retention_hours * 3_600_000_000)
+    table.sweep(scoring.VIEWS)
+    return table.mark("stats_events")
 
 
 def expire_runs(spark: SparkSession, root: str, now: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """Drop the runs whose last change is older than the retention; returns their ids.
 
-    The change log is small (a few rows a run): what stays is written aside first, so a
-    reader never sees a half-written log for longer than the move takes.
+    The log goes on with a new version: changes that arrive meanwhile are in it.
     """
-    log = RunLog(prepare_session(spark), f"{root}/runs")
-    changes = log.changes()
-    last = changes.groupBy("run_id").agg(F.timestamp_micros(F.max("seq")).alias("changed"))
+    log = RunLog(prepare_session(spark), f"{root}/runs").log
+    last = log.rows().groupBy("run_id").agg(F.timestamp_micros(F.max("seq")).alias("changed"))
     kept = results.retained(last, "changed", now, settings.retention_hours).select("run_id")
     gone = materialize(last.select("run_id").join(kept, "run_id", "left_anti"), "expired-runs")
-    rest = materialize(changes.join(kept, "run_id", "left_semi"), "kept-runs")
-    sinks.save_table(rest.select(*changes.columns), log.path)
+    log.rewrite(lambda changes: changes.join(gone, "run_id", "left_anti"))
+    log.vacuum()
     return gone
+
+
+def expire_workers(spark: SparkSession, root: str, now: Column, settings: Settings = DEFAULTS) -> None:
+    """Drop the worker snapshots older than the retention, and those that newer ones replace."""
+    log = WorkerLog(prepare_session(spark), f"{root}/workers").log
+    keep = lambda rows: results.retained(latest_by_key(rows, list(runstats.WORKER), "saved_at"), "saved_at", now, settings.retention_hours)
+    log.rewrite(keep)
+    log.vacuum()
+
+
+# The views that can be emptied, by the group they go with.
+OWNED = {"predictions": ("predictions",), "streams": ("results", "stats_events", "dead_letters", "batch_stats")}
+
+
+def purge(spark: SparkSession, root: str, groups: Sequence[str] = ("predictions", "streams")) -> DataFrame:
+    """Empty the views of the given groups; returns each and the rows it still shows (0).
+
+    Only what is committed now goes; days that no view shows are removed from the store.
+    """
+    unknown = set(groups) - set(OWNED)
+    if unknown:
+        raise ValueError(f"unknown groups: {sorted(unknown)}")
+    table = scored_table(prepare_session(spark), root)
+    names = [v for g in groups for v in OWNED[g]]
+    last = table.commits().agg(F.max("committed_at")).first()[0]
+    if last is not None:
+        for name in names:
+            table.set_mark(name, last + 1)
+        table.sweep(scoring.VIEWS)
+    left = [table.commits(n).agg(F.coalesce(F.sum("messages"), F.lit(0)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n in names]
+    return functools.reduce(DataFrame.unionByName, left)

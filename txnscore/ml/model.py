@@ -6,14 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnscore.config import DEFAULTS, Settings
 from txnscore.functions import features as fx
 from txnscore.ml.metrics import argmax_class, classification_report, confusion_matrix, eval_metrics
+from txnscore.operators.number import numbered
 from txnscore.plans.labels import mark_split, split_edges
 from txnscore.plans.results import flag_predictions
 from txnscore.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES, require_columns
@@ -41,10 +42,11 @@ def model_input(rows: DataFrame) -> DataFrame:
 
 
 def scaler_fit(rows: DataFrame) -> DataFrame:
-    """Mean and population deviation of every numeric feature, one row each."""
+    """Mean and population deviation of every numeric feature, one row each: the model's scaler."""
+    numbers = {c: _numbers()[f"{c}_num"] for c in NUMERIC_FEATURES}
     folded = rows.agg(
-        *[F.avg(F.col(c).cast("double")).alias(f"{c}_mean") for c in NUMERIC_FEATURES],
-        *[F.stddev_pop(F.col(c).cast("double")).alias(f"{c}_std") for c in NUMERIC_FEATURES],
+        *[F.avg(x).alias(f"{c}_mean") for c, x in numbers.items()],
+        *[F.stddev_pop(x).alias(f"{c}_std") for c, x in numbers.items()],
     )
     return folded.select(
         F.inline(
@@ -62,20 +64,19 @@ def scaler_fit(rows: DataFrame) -> DataFrame:
     )
 
 
-def scaled(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Numeric features centred and divided by their deviation (1 if it is 0).
+def scaled_numbers(fitted: DataFrame) -> dict[str, Column]:
+    """Every numeric feature, centred and divided by its deviation (1 if that is 0).
 
-    The eight fitted rows arrive as one scalar map, so nothing is joined.
+    The fitted table has one row per numeric feature, eight in all: its values become
+    constants of the expressions.
     """
-    deviation = F.when(F.col("std") > 0, F.col("std")).otherwise(1.0)
-    pairs = F.collect_list(F.struct("feature", F.struct("mean", deviation.alias("std"))))
-    table = fitted.agg(F.map_from_entries(pairs)).scalar()
-    return rows.withColumns(
-        {
-            c: (F.col(c).cast("double") - table[F.lit(c)]["mean"]) / table[F.lit(c)]["std"]
-            for c in NUMERIC_FEATURES
-        }
-    )
+    found = {r["feature"]: (r["mean"] or 0.0, r["std"] or 1.0) for r in fitted.collect()}
+    return {c: (_numbers()[f"{c}_num"] - found[c][0]) / found[c][1] for c in NUMERIC_FEATURES}
+
+
+def scaled(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``rows`` with their numeric features scaled."""
+    return rows.withColumns(scaled_numbers(fitted))
 
 
 def encoder_fit(rows: DataFrame) -> DataFrame:
@@ -95,8 +96,8 @@ def encoder_fit(rows: DataFrame) -> DataFrame:
 
 def category_table(rows: DataFrame) -> DataFrame:
     """``feature``, ``category`` and its ``place``: the most frequent first, then by name."""
-    order = Window.partitionBy("feature").orderBy(F.col("rows").desc(), F.col("category"))
-    return encoder_fit(rows).select("feature", "category", (F.row_number().over(order) - 1).alias("place"))
+    order = (F.col("rows").desc(), F.col("category"))
+    return numbered(encoder_fit(rows), ["feature"], order, "place").select("feature", "category", "place")
 
 
 def with_places(rows: DataFrame, categories: DataFrame) -> DataFrame:
@@ -112,35 +113,42 @@ def with_places(rows: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def encoding_stages() -> list:
-    """The stages behind ``with_places``. The scaler divides by the sample deviation."""
+    """The stages behind ``with_places`` and the scaler."""
     indexed = [f"{c}_index" for c in CATEGORICAL_FEATURES]
     hot = [f"{c}_hot" for c in CATEGORICAL_FEATURES]
     return [
-        VectorAssembler(inputCols=[f"{c}_num" for c in NUMERIC_FEATURES], outputCol="numbers"),
-        StandardScaler(withMean=True, withStd=True, inputCol="numbers", outputCol="scaled"),
         # A place beyond those of the training rows is one more category, which is dropped.
         OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True, handleInvalid="keep"),
-        VectorAssembler(inputCols=["scaled", *hot], outputCol="features"),
+        VectorAssembler(inputCols=[*[f"{c}_scaled" for c in NUMERIC_FEATURES], *hot], outputCol="features"),
     ]
 
 
+def encoded_input(rows: DataFrame, categories: DataFrame, scaler: DataFrame) -> DataFrame:
+    """What ``encoding_stages`` read: places of the categories and scaled numbers."""
+    numbers = {f"{c}_scaled": x for c, x in scaled_numbers(scaler).items()}
+    return with_places(model_input(rows), categories).withColumns(numbers)
+
+
 @dataclass(frozen=True)
 class ScoringModel:
-    """Fitted stages and the category table they were fitted with."""
+    """Fitted stages, and the category and scaler tables they were fitted with."""
 
     stages: PipelineModel
     categories: DataFrame
+    scaler: DataFrame
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        return self.stages.transform(with_places(rows, self.categories))
+        return self.stages.transform(encoded_input(rows, self.categories, self.scaler))
 
     def save(self, path: str) -> None:
         self.categories.write.parquet(f"{path}/categories")
+        self.scaler.coalesce(1).write.parquet(f"{path}/scaler")
         self.stages.write().save(f"{path}/stages")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "ScoringModel":
-        return cls(PipelineModel.load(f"{path}/stages"), spark.read.parquet(f"{path}/categories"))
+        read = spark.read.parquet
+        return cls(PipelineModel.load(f"{path}/stages"), read(f"{path}/categories"), read(f"{path}/scaler"))
 
 
 @dataclass(frozen=True)
@@ -166,7 +174,8 @@ def train(labelled: DataFrame, settings: Settings = DEFAULTS) -> Trained:
     rows = mark_split(kept, edges, *key, settings.random_state)
     learnt = rows.filter("is_test = 0")
     categories = materialize(category_table(learnt), "categories")
-    fit_rows = with_places(model_input(learnt), categories)
+    scaler = materialize(scaler_fit(learnt), "scaler")
+    fit_rows = encoded_input(learnt, categories, scaler)
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol="is_fraud",
@@ -176,7 +185,7 @@ def train(labelled: DataFrame, settings: Settings = DEFAULTS) -> Trained:
     )
     # The copy leaves out the forest's training summary, which holds on to the
     # session and would be serialized with every scoring task.
-    model = ScoringModel(Pipeline(stages=[*encoding_stages(), forest]).fit(fit_rows).copy(), categories)
+    model = ScoringModel(Pipeline(stages=[*encoding_stages(), forest]).fit(fit_rows).copy(), categories, scaler)
     test = materialize(
         probability(rows.filter("is_test = 1"), model).select("transaction_id", "is_fraud", "fraud_probability"),
         "evaluation",
@@ -195,7 +204,7 @@ def train(labelled: DataFrame, settings: Settings = DEFAULTS) -> Trained:
 
 def probability(rows: DataFrame, model: ScoringModel) -> DataFrame:
     """``rows`` with ``fraud_probability``, the probability of class 1."""
-    scored = model.transform(model_input(rows))
+    scored = model.transform(rows)
     return scored.select(
         *[F.col(c) for c in rows.columns],
         vector_to_array("probability")[1].alias("fraud_probability"),

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def latest_by_key(rows: DataFrame, key: str | Sequence[str], seq: str | Sequence[str]) -> DataFrame:
-    """The row with the highest ``seq`` of each key.
+    """The row with the highest ``seq`` of each key; rows without one come last.
 
-    An aggregate rather than a row number: each map task sends on one row per
-    key, however many versions a hot key has.
+    A limit per key rather than an aggregate of whole rows: each map task cuts a key to
+    its last row before anything moves, however many versions a hot key has, and what is
+    left is shuffled once.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = [seq] if isinstance(seq, str) else list(seq)
-    rest = [c for c in rows.columns if c not in keys]
-    if not rest:
+    if not [c for c in rows.columns if c not in keys]:
         return rows.distinct()
-    latest = F.max_by(F.struct(*rest), F.struct(*order))
-    return rows.groupBy(*keys).agg(latest.alias("row")).select(*keys, "row.*").select(*rows.columns)
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return rows.withColumn("version_rank", F.row_number().over(newest)).filter("version_rank = 1").drop("version_rank")
 
 
 def merge_fields(

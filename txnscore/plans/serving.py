@@ -15,20 +15,6 @@ from txnscore.plans.history import recent_transactions
 from txnscore.plans.profiles import PROFILE_DEFAULTS, with_profile
 
 ASK = ["user_id", "timestamp"]
-# Stored serving tables are partitioned by this, so a micro-batch reads its users' buckets only.
-USER_BUCKET = "user_bucket"
-
-
-def user_bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
-
-
-def of_users(stored: DataFrame, asking: DataFrame, buckets: int) -> DataFrame:
-    """The partitions of a stored table that hold users of ``asking`` (at most ``buckets`` numbers)."""
-    if USER_BUCKET not in stored.columns:
-        return stored
-    wanted = asking.filter(F.col("user_id").isNotNull()).select(user_bucket(buckets).alias("b")).distinct()
-    return stored.filter(F.col(USER_BUCKET).isin([r["b"] for r in wanted.collect()])).drop(USER_BUCKET)
 
 
 def compact_history(history: DataFrame) -> DataFrame:

@@ -54,6 +54,19 @@ STATS_EVENT = _struct(
     " is_fraud BOOLEAN, batch_processed BOOLEAN, batch_size INT, timestamp TIMESTAMP"
 )
 
+# A committed micro-batch: times in microseconds since 1970, the reach of its transactions in seconds.
+COMMIT = _struct(
+    "source STRING, batch_id BIGINT, attempt STRING, committed_at BIGINT, messages BIGINT, transactions BIGINT,"
+    " fraud_count BIGINT, oldest BIGINT, newest BIGINT, batch_ms DOUBLE, avg_ms DOUBLE"
+)
+
+WORKER_SNAPSHOT = _struct(
+    "run_id STRING, worker_id STRING, transactions BIGINT, fraud_count BIGINT, latency_count BIGINT,"
+    " min_ms DOUBLE, max_ms DOUBLE, p50_ms DOUBLE, p95_ms DOUBLE, p99_ms DOUBLE, avg_ms DOUBLE, batch_size INT,"
+    " parallel_mode BOOLEAN, threads INT, start_time TIMESTAMP, processing_time DOUBLE, throughput DOUBLE,"
+    " fraud_ratio DOUBLE, saved_at TIMESTAMP"
+)
+
 RUN_CHANGE = _struct(
     "run_id STRING, seq BIGINT, start_time TIMESTAMP, end_time TIMESTAMP, pattern STRING,"
     " target_tps DOUBLE, fraud_ratio DOUBLE, thread_count INT, complete BOOLEAN,"

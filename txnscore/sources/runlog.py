@@ -1,4 +1,4 @@
-"""Run metadata as an append-only change log; readers merge it by run and field."""
+"""Run metadata as an append-only change log; readers merge it by run and field. Worker snapshots likewise."""
 
 from __future__ import annotations
 
@@ -6,15 +6,18 @@ import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txnscore.plans.runstats import RUN_DEFAULTS, runs_table
-from txnscore.schemas import RUN_CHANGE
-from txnscore.sources.sinks import append_rows, table_exists
+from txnscore.operators.latest import latest_by_key
+from txnscore.plans.runstats import RUN_DEFAULTS, WORKER, runs_table
+from txnscore.schemas import RUN_CHANGE, WORKER_SNAPSHOT
+from txnscore.sources.versions import VersionedLog
 
 
 class RunLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.log = VersionedLog(spark, path, RUN_CHANGE)
 
     def start(
         self,
@@ -45,12 +48,24 @@ class RunLog:
             raise ValueError(f"unknown run fields: {sorted(unknown)}")
         change = {"run_id": run_id, "seq": time.time_ns() // 1000, **fields}
         row = tuple(change.get(name) for name in RUN_CHANGE.fieldNames())
-        append_rows(self.spark.createDataFrame([row], RUN_CHANGE).coalesce(1), self.path)
+        self.log.append(self.spark.createDataFrame([row], RUN_CHANGE).coalesce(1))
 
     def changes(self) -> DataFrame:
-        if not table_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], RUN_CHANGE)
-        return self.spark.read.schema(RUN_CHANGE).parquet(self.path)
+        return self.log.rows()
 
     def runs(self) -> DataFrame:
         return runs_table(self.changes())
+
+
+class WorkerLog:
+    """Snapshots of worker statistics; the newest of a run and worker counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.log = VersionedLog(spark, path, WORKER_SNAPSHOT)
+
+    def save(self, workers: DataFrame) -> None:
+        self.log.append(workers.withColumn("saved_at", F.current_timestamp()).select(*WORKER_SNAPSHOT.names))
+
+    def workers(self) -> DataFrame:
+        return latest_by_key(self.log.rows(), list(WORKER), "saved_at")
