@@ -88,3 +88,38 @@ def test_urls_survive(spark, tmp_path):
 @pytest.mark.parametrize("rows", [[]])
 def test_empty_table(spark, tmp_path, rows):
     assert warc.round_trip(pages(spark, rows), f"file://{tmp_path}/w").collect() == []
+
+
+def test_shuffled_input_keeps_every_payload(spark, tmp_path):
+    """8,000 pages with 1,000 payloads after a shuffle that adaptive execution merges as it likes."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(16_000).select(
+        (F.col("id") % 8_000).alias("page_id"),
+        F.concat(F.lit("http://h/"), F.repeat(F.lit("long/"), 60), "id").alias("url"),
+        F.concat(F.lit("payload "), F.pmod(F.xxhash64(F.col("id") % 8_000), F.lit(1_000))).alias("html"),
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        pages_ = rows.dropDuplicates(["page_id"])
+        got = warc.round_trip(pages_, f"file://{tmp_path}/w").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == 8_000
+    kinds = Counter(r.record_type for r in got)
+    payloads = {r.payload_digest for r in got}
+    assert kinds["response"] == len(payloads) and all(r.refers_to is not None for r in got if r.record_type == "revisit")
+    first = {}
+    for r in got:
+        first[r.payload_digest] = min(first.get(r.payload_digest, r.page_id), r.page_id)
+    assert all((r.page_id if r.refers_to is None else r.refers_to) == first[r.payload_digest] for r in got)
+
+
+def test_long_payloads_in_small_pieces(spark, tmp_path):
+    """Payloads beyond the 64 KB read and a 1 MB piece, incompressible, and their copies."""
+    rng = random.Random(6)
+    long = "".join(chr(rng.randrange(32, 0x800)) for _ in range(900_000))
+    rows = [(1, "u", long), (2, "u", long), (3, "v", long[::-1]), (4, "w", "short")]
+    got = {r.page_id: r for r in warc.round_trip(pages(spark, rows), f"file://{tmp_path}/w", split=warc.Split(1 << 18, 1 << 16)).collect()}
+    assert [got[k].record_type for k in (1, 2, 3, 4)] == ["response", "revisit", "response", "response"]
+    assert got[2].refers_to == 1 and got[2].payload_bytes == len(long.encode()) == got[3].payload_bytes

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from txnscore.session import fresh_path, materialize
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 MOST_TASKS = 20_000
+# Row numbers are looked up this many at a time; a task numbers its rows from a multiple of 2**33 on.
+PART_ROWS = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -73,17 +76,40 @@ def _fields(page: dict) -> dict[str, str | None]:
         "WARC-Payload-Digest": "sha1:" + page["digest"],
         "X-Page-Id": number,
         "WARC-Refers-To": None if page["refers"] is None else f"<urn:page:{page['refers']}>",
-        "WARC-Profile": PROFILE if page["revisit"] else None,
+        "WARC-Profile": None if page["refers"] is None else PROFILE,
     }
 
 
+class _Revisits:
+    """What the rows of the part being read refer to; one part is held at a time."""
+
+    def __init__(self, path: str):
+        self.fs, self.path = _open(path)
+        self.part, self.refers = None, {}
+
+    def source(self, row: int) -> str | None:
+        part = row - row % PART_ROWS
+        if part != self.part:
+            self.part, self.refers = part, {}
+            folder = pafs.FileSelector(f"{self.path}/part={part}", allow_not_found=True)
+            for file in self.fs.get_file_info(folder):
+                if file.path.endswith(".parquet"):
+                    found = pq.read_table(file.path, columns=["row", "refers"], filesystem=self.fs, partitioning=None)
+                    self.refers.update(zip(found["row"].to_pylist(), found["refers"].to_pylist()))
+        return self.refers.get(row)
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Write archives below ``folder``; returns their ``path``, ``length`` and ``records``.
 
     Payloads are the text in UTF-8 (NULL: empty). Of the records with one payload of at least
     ``least`` bytes that of the smallest id is a response (NULL ids last; of equal ids the
-    first row read), all others are revisits without a payload that refer to it. Only payload
-    digests and ids are shuffled to find the responses.
+    first row), all others are revisits without a payload that refer to it.
+
+    The rows are written once with a number each, and everything after reads that table, so
+    a number means one row whatever is recomputed. Payloads are never shuffled: digests and
+    ids settle which rows are revisits, these are stored in folders by the part of the
+    table they are in, and a task looks up those of the parts it reads.
     """
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(
@@ -91,26 +117,32 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         F.col(url_col).cast("string").alias("url"),
         text.alias("html"),
         F.sha1(text.cast("binary")).alias("digest"),
+        F.octet_length(text).alias("size"),
         F.monotonically_increasing_id().alias("row"),
     )
+    rows = materialize(rows, "warc-rows")
+    narrow = rows.where(F.col("size") >= least).select("digest", "page_id", "row")
     rank = F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("id"), "row")
-    large = rows.where(F.octet_length("html") >= least)
-    shared = large.select("digest", "page_id", "row").groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    known = rows.join(materialize(shared.select("digest", "first"), "warc-shared"), "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.octet_length("html") >= least) & (F.col("first.row") != F.col("row"))
-    known = known.select("page_id", "url", "html", "row", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.when(revisit, F.concat_ws(":", F.when(F.col("first.id") == 2**63 - 1, "None").otherwise(F.col("first.id").cast("string")), F.col("first.row").cast("string"))).alias("refers"))
+    first = narrow.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    copies = narrow.join(first, "digest").where("row <> first.row")
+    source = F.when(F.col("first.id") == 2**63 - 1, "None").otherwise(F.col("first.id").cast("string"))
+    copies = copies.select((F.col("row") - F.col("row") % PART_ROWS).alias("part"), "row", F.concat_ws(":", source, F.col("first.row").cast("string")).alias("refers"))
+    known = fresh_path(pages.sparkSession, "warc-revisits")
+    copies.repartitionByRange("part", "row").sortWithinPartitions("part", "row").write.partitionBy("part").parquet(known)
 
     def archive(batches):
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
+        revisits = _Revisits(known)
         name = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         length = records = 0
         with fs.open_output_stream(name + ".open") as out:
             for batch in batches:
                 for page in batch.to_pylist():
+                    page["refers"] = revisits.source(page["row"])
                     payload = page["html"].encode("utf-8", "surrogatepass")
                     page["digest"] = sha1(payload)
-                    part = record("revisit", _fields(page), b"") if page["revisit"] else record("response", _fields(page), payload)
+                    part = record("response", _fields(page), payload) if page["refers"] is None else record("revisit", _fields(page), b"")
                     out.write(part)
                     length += len(part)
                     records += 1
@@ -120,7 +152,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         else:
             fs.delete_file(name + ".open")
 
-    return materialize(known.mapInArrow(archive, "path string, length long, records long"), "warc-files")
+    return materialize(rows.select("page_id", "url", "html", "row").mapInArrow(archive, "path string, length long, records long"), "warc-files")
 
 
 class _Window:
