@@ -106,7 +106,9 @@ def plan(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
     totals, one row each, are the only rows the driver sees. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    # Every word becomes one letter and every blank nothing: no list of the words is built.
+    letters = F.translate(F.regexp_replace(F.col(text_col).cast("string"), WORD_PATTERN, "w"), " \t\n\x0b\x0c\r", "")
+    size = F.coalesce(F.char_length(letters), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
     draw = F.xxhash64(F.lit(mix.seed), F.col("doc_id"))
     rows = rows.withColumns({"key": _source_key(), "draw": draw}).withColumn("bucket", F.pmod(F.shiftright("draw", 40), F.lit(BUCKETS)).cast("int"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnscore.llm.shared import text_rows
+from txnscore.llm.shared import frugal, text_rows
 
 # --- Rules: fixed values ---------------------------------------------------
 # A private key reaches up to its END line: all bytes but five dashes in a row. Without one it is the run of header
@@ -351,6 +351,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     length is dropped but uses up its text, as with a search from left to right.
     """
 
+    @frugal
     def run(batches):
         for batch in batches:
             found = [[{"kind": k, "start": a, "stop": b} for k, a, b in find(t, rules)] for t in batch["text"].to_pylist()]
@@ -376,6 +377,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rule
             done = hidden = max(done, b)
         return "".join(parts) + text[done:]
 
+    @frugal
     def run(batches):
         for batch in batches:
             columns = list(batch.columns)

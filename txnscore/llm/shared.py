@@ -67,18 +67,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _LIBC = ctypes.CDLL(None)
-_powers: dict[int, np.ndarray] = {}
+LOW_BITS = 12
+
+
+@functools.lru_cache(maxsize=8)
+def _low_powers(base: int) -> np.ndarray:
+    known = np.full(1 << LOW_BITS, base, np.uint64)
+    known[0] = 1
+    return np.cumprod(known, dtype=np.uint64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 16), base, np.uint64)
-        known[0] = 1
-        known = np.cumprod(known, dtype=np.uint64)
-        if n <= 1 << 23:
-            _powers[base] = known
-    return known[:n]
+    """The first ``n`` powers; only the lowest of them are kept, so that idle workers stay small."""
+    low = _low_powers(base)
+    high = np.full(max(1, -(-n >> LOW_BITS)), pow(base, 1 << LOW_BITS, 1 << 64), np.uint64)
+    high[0] = 1
+    return (np.cumprod(high, dtype=np.uint64)[:, None] * low).reshape(-1)[:n]
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
