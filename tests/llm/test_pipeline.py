@@ -43,5 +43,5 @@ def test_mixing_takes_no_document_more_than_thrice(spark, small):
 
 
 def test_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
