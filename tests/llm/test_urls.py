@@ -95,3 +95,81 @@ def test_long_segments_that_go_on_alike_are_one(spark):
 @pytest.mark.parametrize("rows", [[]])
 def test_empty_table(spark, rows):
     assert run(spark, rows) == []
+
+
+def judged(spark, pages, rules=()):
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    return {r.page_id: r.template for r in urls.judge(frame, list(rules)).collect()}
+
+
+def test_segments_that_look_like_marks(spark):
+    """A dollar sign, a star and braces of a path are no end, wildcard or placeholder."""
+    got = judged(spark, ["http://h/a/$/x", "http://h/a", "http://i/*/x", "http://i/{num}/y", "http://j/{num}/7", "http://j/{num}"])
+    assert got[0] == "/a/$/x" and got[1] == "/a"
+    assert got[4] == r"/\{num\}/{num}" and got[5] == r"/\{num\}"
+    # Two rare branches of one host are one wildcard, which no segment can be taken for.
+    assert (got[2], got[3]) == ("/*/x", "/*/y") or got[2] == got[3] == "/*/*"
+    one = judged(spark, ["http://i/*/x"])
+    assert one == {0: r"/\*/x"}
+
+
+def test_crawler_traps_take_few_rounds(spark, monkeypatch):
+    """Three hundred levels: a path that repeats itself, and branches at every level."""
+    rounds = []
+    real = urls.materialize
+    monkeypatch.setattr(urls, "materialize", lambda df, tag: rounds.append(tag) or real(df, tag))
+    trap = ["http://t/" + "/".join(["loop"] * k) for k in range(1, 301)]
+    wide = ["http://w/" + "/".join(f"x{chr(97 + (k * 7 + d) % 26)}{k}q{d}" for d in range(300)) for k in range(12)]
+    got = judged(spark, trap + wide)
+    assert all(got[k] == "/" + "/".join(["loop"] * (k + 1)) for k in range(300))
+    assert all(got[300 + k].count("/") == 300 for k in range(12))
+    assert len(rounds) <= 6
+
+
+def templates_by_hand(paths, few):
+    """The tree of one host without decided runs: level by level, in plain Python."""
+    from math import sqrt
+
+    out = {}
+    nodes = {"": [(p, p.removeprefix("/").split("/")) for p in paths]}
+    while nodes:
+        after = {}
+        for template, rows in nodes.items():
+            branches = {}
+            for p, rest in rows:
+                branches.setdefault(rest[0] if rest else None, []).append((p, rest[1:]))
+            traits = {}
+            for key, own in branches.items():
+                for _, rest in own:
+                    follow = "/" + (rest[0] if rest else "#")
+                    for t in ("none", follow):
+                        traits.setdefault(t, {}).setdefault(key, 0)
+                        traits[t][key] += 1
+            whole = sum(sum(x.values()) for x in traits.values())
+            free = max(1, len(traits) - 1)
+            limit = free * (1 - 2 / (9 * free) + 2.326 * sqrt(2 / (9 * free))) ** 3
+            alike = set()
+            for key, own in branches.items():
+                n = 2 * len(own)
+                ratio = sum(x[key] ** 2 / (n * sum(x.values()) / whole) for x in traits.values() if key in x)
+                if key is not None and (ratio - n <= limit or n < few):
+                    alike.add(key)
+            for key, own in branches.items():
+                if key is None:
+                    out.update({p: template for p, _ in own})
+                    continue
+                step = template + ("/*" if key in alike and len(alike) > 1 else "/" + key)
+                after.setdefault(step, []).extend(own)
+        nodes = after
+    return out
+
+
+def test_templates_against_a_tree_by_hand(spark):
+    import random
+
+    rng = random.Random(9)
+    words = ["news", "sport", "item", "user", "view", "edit", "tag", "page"]
+    paths = sorted({"/" + "/".join(rng.choice(words[: rng.choice([2, 4, 8])]) for _ in range(rng.randrange(1, 6))) for _ in range(300)})
+    frame = spark.createDataFrame([("h", p, 0, 0, 1) for p in paths], "host string, path string, n_allow long, n_block long, n_none long")
+    got = {r.path: r.template for r in urls.templates(frame).collect()}
+    assert got == templates_by_hand(paths, urls.Filter().few)

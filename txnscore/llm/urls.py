@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from txnscore.session import materialize
 
 ALLOW, BLOCK = "allow", "block"
-END = "$"
+# Where a path ends: no segment holds this character, it would end the path.
+END = "#"
 
 
 @dataclass(frozen=True)
@@ -67,35 +68,49 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> Column:
 
 
 def form_of(segment: Column) -> Column:
-    """A segment with what varies by its form replaced by placeholders."""
-    s = F.regexp_replace(segment, r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{8,}\b", "{hex}")
+    """A segment with what varies by its form replaced by placeholders; a star, brace or backslash of its own is escaped."""
+    s = F.regexp_replace(segment, r"([\\*{}])", r"\\$1")
+    s = F.regexp_replace(s, r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{8,}\b", "{hex}")
     return F.regexp_replace(s, r"(?<![{\w])[0-9]+(?![\w}])|[0-9]{2,}", "{num}")
 
 
-def _skip_chains(tree: DataFrame) -> DataFrame:
-    """Every node moved down to where its urls part or end: a branch without siblings has none to merge with."""
-    # What the least and the greatest share, all between them share.
-    ends = tree.groupBy("host", "template").agg(F.min("forms").alias("low"), F.max("forms").alias("high"))
-    parts = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
-    ends = ends.select("host", "template", F.when(parts == 0, F.size("low")).otherwise(parts - 1).alias("shared")).where("shared > 0")
-    moved = F.concat(F.col("template"), F.lit("/"), F.array_join(F.slice("forms", F.lit(1), F.col("shared")), "/"))
-    left = F.slice("forms", F.col("shared") + 1, F.size("forms"))
-    tree = tree.join(ends, ["host", "template"], "left")
-    skips = F.col("shared").isNotNull()
-    return tree.withColumns({"template": F.when(skips, moved).otherwise(F.col("template")), "forms": F.when(skips, left).otherwise(F.col("forms"))}).drop("shared")
+def _decided(tree: DataFrame, few: int) -> DataFrame:
+    """Every node moved down over all levels that need no test.
+
+    At such a level all urls that go on have the same segment, which stays, or none of the
+    different ones has as many urls as a test asks for, which makes all of them one
+    wildcard. Either way the urls of the node stay together, so a run of such levels is
+    one step, however long; only levels on which large branches part are left.
+    """
+    each = tree.select("host", "template", (F.col("n_allow") + F.col("n_block") + F.col("n_none")).alias("n"), F.posexplode("forms").alias("pos", "segment"))
+    # A branch counts every url with its label and with its continuation.
+    branches = each.groupBy("host", "template", "pos", "segment").agg((2 * F.sum("n")).alias("n"))
+    levels = branches.groupBy("host", "template", "pos").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.min("segment").alias("only"))
+    token = F.when(F.col("kinds") == 1, F.col("only")).when(F.col("most") < few, F.lit("*"))
+    # As many entries as the longest path has segments.
+    ways = levels.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("token"))))["token"].alias("tokens"))
+    open_ = F.array_position(F.transform("tokens", lambda t: t.isNull()), F.lit(True)).cast("int")
+    ways = ways.select("host", "template", "tokens", F.when(open_ == 0, F.size("tokens")).otherwise(open_ - 1).alias("run")).where("run > 0")
+    tree = tree.join(ways, ["host", "template"], "left")
+    own = F.when(F.col("run").isNull(), 0).otherwise(F.least("run", F.size("forms")))
+    moved = F.concat(F.col("template"), F.lit("/"), F.array_join(F.slice("tokens", F.lit(1), own), "/"))
+    left = F.slice("forms", own + 1, F.size("forms"))
+    goes = own > 0
+    return tree.withColumns({"template": F.when(goes, moved).otherwise(F.col("template")), "forms": F.when(goes, left).otherwise(F.col("forms"))}).drop("run", "tokens")
 
 
 def templates(paths: DataFrame, how: Filter = Filter()) -> DataFrame:
     """``paths`` (host, path, n_allow, n_block, n_none: distinct host and path) with ``template``.
 
-    Goes down until no path has a further segment.
+    Goes down until no path has a further segment. A round of joins is one level of the
+    nodes whose branches are large enough to be tested; see ``_decided`` for the others.
     """
     pieces = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     tree = materialize(paths.withColumns({"forms": F.transform(pieces, form_of), "template": F.lit("")}), "url-paths")
     found = None
     while True:
         # ``forms`` is what is left of a path below its node.
-        tree = _skip_chains(tree)
+        tree = _decided(tree, how.few)
         here = F.coalesce(F.get("forms", F.lit(0)), F.lit(END))
         onward = F.coalesce(F.get("forms", F.lit(1)), F.lit(END))
         tree = tree.withColumn("here", here)
