@@ -91,3 +91,30 @@ def test_plan(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_fill_reaches_the_nearest_sum():
+    """Against all reachable sums: few sizes, sparse stocks."""
+    rng = random.Random(2)
+    for _ in range(1500):
+        sizes = rng.sample(range(60), rng.randrange(1, 6))
+        counts = [rng.randrange(5) for _ in sizes]
+        budget = rng.randrange(sum(s * c for s, c in zip(sizes, counts)) + 3)
+        reach = {0}
+        for s, c in zip(sizes, counts):
+            reach = {r + k * s for r in reach for k in range(c + 1)}
+        taken = mix.fill(np.array(sizes), np.array(counts), budget)
+        assert all(0 <= t <= c for t, c in zip(taken, counts))
+        assert int(np.array(sizes) @ taken) == max(r for r in reach if r <= budget), (sizes, counts, budget)
+
+
+def test_fill_with_little_room():
+    """Memory is that of the room, whatever the sizes; stock and budget still hold."""
+    rng = random.Random(3)
+    for _ in range(500):
+        sizes = np.array(rng.sample(range(60), rng.randrange(1, 6)))
+        counts = np.array([rng.randrange(9) for _ in sizes])
+        budget = rng.randrange(int(sizes @ counts) + 2)
+        taken = mix.fill(sizes, counts, budget, room=50)
+        assert (taken >= 0).all() and (taken <= counts).all() and sizes @ taken <= budget
+    assert mix.fill(np.array([1, 100_000_000]), np.array([5_000_000, 3]), 250_000_000).tolist() == [5_000_000, 2]

@@ -26,6 +26,8 @@ from txnscore.llm.shared import WORD_PATTERN
 from txnscore.session import materialize
 
 BUCKETS = 4096
+# Words that the dynamic programme settles at most, and documents of a size it may give back.
+ROOM, GIVE_BACK = 1 << 20, 4
 
 
 @dataclass(frozen=True)
@@ -53,8 +55,13 @@ def targets(sizes: list[int], mix: Mix) -> list[Fraction]:
     return out
 
 
-def fill(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that the words come as near to ``budget`` as stock allows, not above."""
+def fill(sizes: np.ndarray, counts: np.ndarray, budget: int, room: int = ROOM) -> np.ndarray:
+    """How many documents of each size to take so that the words come as near to ``budget`` as stock allows, not above.
+
+    ``room`` bounds the words that the dynamic programme settles, and so its memory, whatever
+    the sizes. Where all that is wanted fits into it the result is the nearest sum there is;
+    else the equal shares stay but for some documents of every size, given back to be fitted.
+    """
     sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     total = int(sum(s * c for s, c in zip(sizes.tolist(), counts.tolist())))
     if budget >= total:
@@ -62,14 +69,26 @@ def fill(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     taken = np.array([c * budget // total for c in counts.tolist()], np.int64)
     taken[sizes == 0] = 0
     left = budget - int(sum(s * t for s, t in zip(sizes.tolist(), taken.tolist())))
-    # One more of a size each, largest first, until a few large documents remain to be fitted.
-    most = 4 * int(sizes.max())
-    for k in np.argsort(-sizes, kind="stable").tolist():
-        if left <= most:
+    descending = [k for k in np.argsort(-sizes, kind="stable").tolist() if sizes[k]]
+    # One more of a size each, largest first, then as many as there are, until the rest has room.
+    for most in (1, None):
+        for k in descending:
+            if left <= room:
+                break
+            more = min(int(counts[k] - taken[k]), left // int(sizes[k]), most or -(-(left - room) // int(sizes[k])))
+            taken[k] += more
+            left -= more * int(sizes[k])
+    # Shares are given back, all of them or a few of every size, the smallest first.
+    for back in (budget, GIVE_BACK):
+        given = np.minimum(taken, back)
+        while back < budget and given.any() and left + int(sizes @ given) > room:
+            given[int(np.flatnonzero(given)[np.argmax(sizes[np.flatnonzero(given)])])] = 0
+        if left + sum(s * g for s, g in zip(sizes.tolist(), given.tolist())) <= room:
+            taken = taken - given
+            left = budget - int(sum(s * t for s, t in zip(sizes.tolist(), taken.tolist())))
             break
-        if sizes[k] and taken[k] < counts[k]:
-            taken[k] += 1
-            left -= int(sizes[k])
+    if not ((sizes > 0) & (sizes <= left) & (taken < counts)).any():
+        return taken
     # Reachable sums up to what is left; ``by`` has the item that reached a sum first.
     reach, by, items = np.zeros(left + 1, bool), np.full(left + 1, -1, np.int32), []
     reach[0] = True
