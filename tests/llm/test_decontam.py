@@ -103,3 +103,34 @@ def test_word_hashes_do_not_depend_on_the_place():
     start, end, _ = shared.words_of(data, np.array([0, len(data)]))
     h = shared.word_hashes(data, start, end)
     assert h[0] == h[2] != h[1]
+
+
+def test_statistics_are_those_of_all_items(spark, docs):
+    """Blocks of any size find the same, with the same scores."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([20, 40, 90, 300]))) + "? " + " ".join(rng.choices(words, k=12)) for _ in range(30)]
+    bench = spark.createDataFrame(list(enumerate(texts)) + [(40, None), (41, "?!"), (3, texts[3])], "item_id long, text string")
+    pairs = [(k, " ".join(rng.choices(words, k=50)) + " " + texts[k] + " " + " ".join(rng.choices(words, k=50))) for k in range(20)]
+    pairs += [(100 + k, " ".join(rng.choices(words, k=200))) for k in range(20)] + [(200, None), (201, "")]
+    given = docs(pairs)
+    results = []
+    for size in (8 << 20, 600):
+        rules = decontam.Rules(block_bytes=size)
+        assert len(decontam.build(bench, rules).numbers) == (3 if size > 1000 else len(decontam.build(bench, rules).numbers))
+        got = decontam.contaminated(given, bench, rules).collect()
+        results.append(sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in got))
+        assert {(k, k) for k in range(20)} <= {(r["doc_id"], r["item_id"]) for r in got}
+        assert sorted(r["doc_id"] for r in decontam.keep_clean(given, bench, rules).collect()) == [*range(100, 120), 200, 201]
+    assert {x[:2] for x in results[0]} == {x[:2] for x in results[1]}
+
+
+def test_a_very_long_item_keeps_to_its_own_block(spark, docs):
+    """It widens no other item's passages; a text of several MB is searched whole."""
+    long = " ".join(f"l{k}" for k in range(9_000)) + "? " + " ".join(f"a{k}" for k in range(50))
+    short = "which river runs through the old town of the north? the river that never freezes in any winter"
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    filler = " ".join(f"f{k % 5000}" for k in range(500_000))
+    got = decontam.contaminated(docs([(1, filler + " " + short), (2, "x " + long), (3, filler)]), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 2), (2, 1)}
+    assert len(decontam.build(bench, decontam.Rules()).numbers) == 2

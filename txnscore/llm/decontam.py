@@ -9,16 +9,20 @@ question and the answer of the item overlap with the text around the passage.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnscore.llm import shared
+from txnscore.session import fresh_path, materialize
 
 CHUNK = 1 << 21
 BLOCK = 8
@@ -65,21 +69,24 @@ def runs(words: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
 
 
 class Index:
-    """Inverted lists of a block of items: item numbers and impacts, with the maximum of every ``BLOCK`` entries."""
+    """Inverted lists of a block of items: item numbers and impacts, with the maximum of every ``BLOCK`` entries.
 
-    def __init__(self, items: list[tuple[int, str]], rules: Rules):
+    ``known`` has what BM25 takes from all items, whatever block they are in: their number,
+    their mean length and the items of each word here. Without it the block is all there is.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], rules: Rules, known: tuple[int, float, dict[bytes, int]] | None = None):
         self.rules = rules
         texts = [(i, t, tokens(t)) for i, t in items]
         texts = [x for x in texts if x[2]]
         self.ids = [i for i, _, _ in texts]
         self.parts = [tuple(runs(p) for p in question_and_answer(t)) for _, t, _ in texts]
         bags = [Counter(w) for _, _, w in texts]
-        mean = sum(len(w) for _, _, w in texts) / max(1, len(texts))
-        df = Counter(w for bag in bags for w in bag)
+        total, mean, df = known or (len(bags), sum(len(w) for _, _, w in texts) / max(1, len(texts)), Counter(w for bag in bags for w in bag))
         lists: dict[bytes, list[tuple[int, float]]] = {w: [] for w in df}
         for n, (bag, (_, _, words)) in enumerate(zip(bags, texts)):
             norm = rules.k1 * (1 - rules.b + rules.b * len(words) / mean)
-            impact = {w: np.log1p((len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * c * (rules.k1 + 1) / (c + norm) for w, c in bag.items()}
+            impact = {w: np.log1p((total - df[w] + 0.5) / (df[w] + 0.5)) * c * (rules.k1 + 1) / (c + norm) for w, c in bag.items()}
             whole = sum(impact.values())
             for w, x in impact.items():
                 lists[w].append((n, x / whole))
@@ -231,20 +238,83 @@ class Index:
                 yield r + a, item, *best
 
 
-def indexes(benchmark: DataFrame, rules: Rules, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """One index for every ``rules.block_bytes`` of test items: the stated query side, taken in blocks.
+_WORDS = pa.schema([("i", pa.int64()), ("t", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string()))])
+
 
-    BM25's statistics are those of a block. Rows without text match nothing; repeated items are kept once.
+def build(benchmark: DataFrame, rules: Rules, id_col: str = "item_id", text_col: str = "text") -> "Blocks":
+    """The indexes of all test items, one for each block, built in tasks and stored.
+
+    Blocks hold items of like length (a passage is as long as its block's longest item) and
+    about ``rules.block_bytes`` of text. BM25's statistics are those of all items. Rows
+    without words match nothing; repeated items are kept once. The driver sees the number
+    of items, their mean length and the numbers of the blocks.
     """
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
-    out, block, size = [], [], 0
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        block.append((r["i"], r["t"]))
-        size += len(r["t"])
-        if size >= rules.block_bytes:
-            out.append(Index(block, rules))
-            block, size = [], 0
-    return [*out, Index(block, rules)] if block else out
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL").distinct()
+
+    def split(batches):
+        for batch in batches:
+            given = [(r["i"], r["t"], tokens(r["t"])) for r in batch.to_pylist()]
+            found = [{"i": i, "t": t, "n": len(w), "words": sorted({x.decode("utf-8", "surrogatepass") for x in w})} for i, t, w in given if w]
+            yield pa.RecordBatch.from_pylist(found, _WORDS)
+
+    items = materialize(rows.mapInArrow(split, "i long, t string, n long, words array<string>"), "items")
+    total, mean = items.agg(F.count("*"), F.avg("n")).first()
+    path = fresh_path(benchmark.sparkSession, "item-indexes")
+    if not total:
+        return Blocks(path, [])
+    each = items.select("i", "t", F.explode("words").alias("word"))
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    uses = each.join(df, "word").groupBy("i", "t").agg(F.collect_list(F.struct("word", "df")).alias("uses"))
+    length = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / rules.passage))).cast("int")
+    # One row per length class, some dozens at most.
+    shares = items.groupBy(length.alias("length")).agg(F.ceil(F.sum(F.octet_length("t")) / rules.block_bytes).alias("blocks"))
+    dealt = items.withColumn("length", length).join(F.broadcast(shares), "length")
+    dealt = dealt.withColumn("block", F.col("length").cast("long") * (1 << 32) + F.pmod(F.xxhash64("i", "t"), F.col("blocks")))
+    dealt = dealt.select("i", "t", "block").join(uses, [dealt.i.eqNullSafe(uses.i), dealt.t == uses.t]).select(dealt.i, dealt.t, "block", "uses")
+
+    def index(key, table):
+        rows = sorted(((r["i"], r["t"], r["uses"]) for r in table.to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        known = {u["word"].encode("utf-8", "surrogatepass"): u["df"] for _, _, uses in rows for u in uses}
+        made = Index([(i, t) for i, t, _ in rows], rules, (total, mean, known))
+        return pa.table({"block": [key[0].as_py()], "data": [pickle.dumps(made)]}, pa.schema([("block", pa.int64()), ("data", pa.binary())]))
+
+    dealt.groupBy("block").applyInArrow(index, "block long, data binary").write.partitionBy("block").parquet(path)
+    numbers = benchmark.sparkSession.read.parquet(path).select("block").distinct().collect()
+    return Blocks(path, sorted(r["block"] for r in numbers))
+
+
+# Bytes of stored indexes that a worker keeps loaded; beyond them blocks are read again for every batch.
+KEPT_BYTES = 32 << 20
+_kept: dict[str, tuple[int, Index]] = {}
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Where the indexes are and their numbers; a task has one block beyond ``KEPT_BYTES`` at a time."""
+
+    path: str
+    numbers: list[int]
+
+    def _load(self, block: int) -> Index:
+        folder = f"{self.path}/block={block}"
+        if folder not in _kept:
+            fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+            files = [f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
+            data = [x for f in files for x in pq.read_table(f, columns=["data"], filesystem=fs, partitioning=None)["data"].to_pylist()]
+            made = pickle.loads(data[0])
+            for other in [k for k in _kept if not k.startswith(self.path + "/")]:
+                del _kept[other]
+            if sum(n for n, _ in _kept.values()) + len(data[0]) > KEPT_BYTES:
+                return made
+            _kept[folder] = (len(data[0]), made)
+        return _kept[folder][1]
+
+    def matches(self, data: np.ndarray, offsets: np.ndarray):
+        """(row, item id, passages, score, question overlap, answer overlap) of all verified items."""
+        for block in self.numbers:
+            index = self._load(block)
+            for r, item, *figures in index.matches(data, offsets):
+                yield r, index.ids[item], *figures
 
 
 RESULT = "doc_id long, item_id long, n_passages long, score double, question_overlap double, answer_overlap double"
@@ -260,36 +330,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(),
     Passages cover whole texts: ``rules.passage`` words (or the longest item's), each half
     overlapping the next. NULL and empty texts carry nothing; an empty benchmark gives no rows.
     """
-    texts = shared.text_rows(docs, id_col, text_col)
-    out = None
-    for index in indexes(benchmark, rules):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    blocks = build(benchmark, rules)
 
-        @shared.frugal
-        def run(batches, held=held):
-            for batch in batches:
-                found = list(held.value.matches(*shared.byte_column(batch["text"])))
-                ids = batch["doc_id"].to_pylist()
-                rows = [(ids[r], held.value.ids[i], n, s, q, a) for r, i, n, s, q, a in found]
-                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, x)) for x in rows], _ARROW)
+    @shared.frugal
+    def run(batches):
+        for batch in batches:
+            ids = batch["doc_id"].to_pylist()
+            rows = [(ids[r], *x) for r, *x in blocks.matches(*shared.byte_column(batch["text"]))]
+            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, x)) for x in rows], _ARROW)
 
-        part = texts.mapInArrow(run, RESULT)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], RESULT) if out is None else out
+    return shared.text_rows(docs, id_col, text_col).mapInArrow(run, RESULT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that carry no benchmark item, with all their columns; NULL texts stay."""
-    for index in indexes(benchmark, rules):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        @shared.frugal
-        def run(batches, held=held):
-            for batch in batches:
-                column = batch.column(batch.schema.get_field_index(text_col))
-                clean = np.ones(batch.num_rows, bool)
-                clean[[r for r, *_ in held.value.matches(*shared.byte_column(column))]] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    blocks = build(benchmark, rules)
+
+    @shared.frugal
+    def run(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text_col))
+            clean = np.ones(batch.num_rows, bool)
+            clean[[r for r, *_ in blocks.matches(*shared.byte_column(column))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
