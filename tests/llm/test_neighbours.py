@@ -84,5 +84,50 @@ def test_recall_of_the_default_forest_at_full_depth():
     assert sum(not of[k].isdisjoint(of[k + n]) for k in range(n)) >= 0.999 * n
 
 
+def test_leaves_that_are_split_on(spark):
+    """Two driver levels, then levels fitted in tasks; links are counted once, whatever leaf a pair meets in."""
+    rows = table(4)
+    forest = neighbours.Forest(leaf=12, cell=24, deepest=2, spill=0.08, trees=10)
+    want, got = brute(rows), run(spark, rows, forest)
+    assert sum(r[1] for r in got) >= 0.97 * sum(r[1] for r in want)
+    most = {}
+    for i, n, *_ in want:
+        most[i] = max(n, most.get(i, 0))
+    assert all(n <= most[i] for i, n, *_ in got)
+
+
+def test_a_cluster_tighter_than_the_spill_is_compared_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(8)
+    rows = [(k, (base + 1e-4 * rng.standard_normal(8)).tolist(), 1) for k in range(120)]
+    got = run(spark, rows, neighbours.Forest(leaf=8, cell=20, deepest=2))
+    assert got == sorted(((k, 119, 0, k == 0) for k in range(120)), key=repr)
+
+
+def work(n, forest):
+    """Pairs compared for n vectors of one label, driver levels and further ones, as the operator places them."""
+    vectors = np.random.default_rng(7).standard_normal((n, 24))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    depth = 0
+    while depth < forest.deepest and n * 0.6**depth > forest.leaf:
+        depth += 1
+    row, leaf = neighbours.leaves(neighbours.fit(vectors[:2000], depth, forest), vectors, forest.spill)
+    waiting, pairs = [(k, row[leaf == k], np.inf) for k in np.unique(leaf).tolist()], 0
+    while waiting:
+        k, own, was = waiting.pop()
+        if len(own) <= forest.cell or len(own) >= 0.9 * was:
+            pairs += len(own) ** 2
+            continue
+        cuts = neighbours.sub_fit(k, vectors[own[: neighbours.SUB_SAMPLE]], len(own), forest)
+        at, sub = neighbours.sub_leaves(k, vectors[own], cuts, forest)
+        waiting += [(x, own[at[sub == x]], len(own)) for x in np.unique(sub).tolist()]
+    return pairs
+
+
+def test_ten_times_the_vectors_are_less_than_fifteen_times_the_work():
+    forest = neighbours.Forest(leaf=64, cell=256, deepest=3, trees=2, spill=0.02)
+    assert work(60_000, forest) < 15 * work(6_000, forest)
+
+
 def test_empty_table(spark):
     assert run(spark, [], neighbours.Forest()) == []

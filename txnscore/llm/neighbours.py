@@ -29,8 +29,11 @@ class Forest:
     """``sample`` vectors at most are sent to the driver to place the splits; every vector is indexed.
 
     ``spill`` is the half width, in projected length of unit vectors, of the band that goes
-    to both sides. Leaves aim at ``leaf`` vectors of a label. More than ``cell`` vectors in a
-    leaf are compared in blocks of that size, each pair of blocks a task of its own.
+    to both sides. Leaves aim at ``leaf`` vectors of a label. The first ``deepest`` levels are
+    placed by the driver's sample; a leaf that still has more than ``cell`` vectors is split
+    on by up to eight levels, fitted in a task on about ``cell`` of its own vectors, and so
+    on. What no split makes smaller, a cluster tighter than the spill, is compared in blocks
+    of ``cell`` vectors, each pair of blocks a task of its own.
     """
 
     trees: int = 8
@@ -70,11 +73,119 @@ def leaves(model, vectors: np.ndarray, spill: float) -> tuple[np.ndarray, np.nda
             row, node = np.concatenate([row[left], row[right]]), np.concatenate([node[left] * 2, node[right] * 2 + 1])
         rows.append(row)
         places.append((t << len(levels)) + node)
-    row, place = np.concatenate(rows), np.concatenate(places)
+    # Numbers from a power of two on, so that those of split leaves, which are longer, are others.
+    row, place = np.concatenate(rows), np.concatenate(places) + _base(model)
     order = np.lexsort((place, row))
     return row[order], place[order]
 
 
+def _base(model) -> int:
+    return 1 << (len(model) << len(model[0])).bit_length()
+
+
+# Further levels of a round, and the vectors that place them: some sixteen for each node.
+SUB_LEVELS = 8
+SUB_SAMPLE = 16 << SUB_LEVELS
+
+
+def _sub_directions(leaf: int, level: int, width: int, seed: int) -> np.ndarray:
+    direction = np.random.default_rng([seed, leaf, level]).standard_normal((1 << level, width))
+    return direction / np.linalg.norm(direction, axis=1, keepdims=True)
+
+
+def sub_fit(leaf: int, vectors: np.ndarray, size: int, forest: Forest) -> list[np.ndarray]:
+    """The thresholds of further levels below a leaf of ``size`` vectors, from some of them.
+
+    A node that the spill would keep together has none (infinity: all go left).
+    """
+    held, cuts = {0: np.arange(len(vectors))}, []
+    # What takes several rounds is shared among them, so that the last ends at ``forest.leaf`` too.
+    levels = max(1, int(np.ceil(np.log(max(size, 1) / forest.leaf) / np.log(1 / 0.55))))
+    levels = -(-levels // -(-levels // SUB_LEVELS))
+    while len(cuts) < levels and max(len(x) for x in held.values()) * size > forest.leaf * len(vectors):
+        direction, cut, below = _sub_directions(leaf, len(cuts), vectors.shape[1], forest.seed), np.full(1 << len(cuts), np.inf), {}
+        for node, own in held.items():
+            at = vectors[own] @ direction[node]
+            middle = np.median(at) if len(own) else np.inf
+            left, right = own[at <= middle + forest.spill], own[at > middle - forest.spill]
+            if len(own) < 8 or max(len(left), len(right)) > 0.9 * len(own):
+                below[2 * node] = own
+                continue
+            cut[node] = middle
+            below[2 * node], below[2 * node + 1] = left, right
+        held = below
+        cuts.append(cut)
+        if np.isinf(cut).all():
+            break
+    return cuts
+
+
+def sub_leaves(leaf: int, vectors: np.ndarray, cuts: list[np.ndarray], forest: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of every vector of a leaf after its further levels."""
+    row, node = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
+    for level, cut in enumerate(cuts):
+        direction = _sub_directions(leaf, level, vectors.shape[1], forest.seed)
+        off = np.einsum("ij,ij->i", vectors[row], direction[node]) - cut[node]
+        left, right = off <= forest.spill, off > -forest.spill
+        row, node = np.concatenate([row[left], row[right]]), np.concatenate([node[left] * 2, node[right] * 2 + 1])
+    return row, (np.int64(leaf) << (SUB_LEVELS + 1)) | node
+
+
+def split_on(placed: DataFrame, label: str, kind: str, forest: Forest) -> DataFrame:
+    """``placed`` with every leaf of more than ``forest.cell`` vectors replaced by its sub-leaves, again and again.
+
+    A round only moves the vectors of such leaves; each leaf is fitted on a hashed share of
+    its vectors and placed by its own thresholds, joined by leaf. Leaves that a round leaves at
+    nine tenths of their size or more are not tried again.
+    """
+    rows = placed.select("vec", "label", "copies", "embedding")
+    at = placed.select("vec", "label", F.explode("leaves").alias("leaf"))
+    sizes = at.groupBy("label", "leaf").agg(F.count("*").alias("n"))
+    large = materialize(sizes.where(F.col("n") > forest.cell), "large-leaves")
+    if large.isEmpty():
+        return placed
+    cuts_type = "array<array<double>>"
+
+    def fitted(key, table):
+        vectors, _ = _matrix(table["embedding"])
+        cuts = sub_fit(key[1].as_py(), vectors, table["n"][0].as_py(), forest)
+        return pa.table({"label": [key[0].as_py()], "leaf": [key[1].as_py()], "cuts": [[c.tolist() for c in cuts]]}).cast(_fitted_schema(table))
+
+    def placed_on(batches):
+        for batch in batches:
+            leaf = batch["leaf"].to_numpy()
+            rows, found = [], []
+            for one in np.unique(leaf).tolist():
+                own = np.flatnonzero(leaf == one)
+                vectors, _ = _matrix(batch["embedding"].take(pa.array(own)))
+                cuts = [np.array(c) for c in batch["cuts"][int(own[0])].as_py()]
+                row, sub = sub_leaves(one, vectors, cuts, forest)
+                rows.append(own[row])
+                found.append(sub)
+            row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            taken = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([taken["vec"], taken["label"], pa.array(np.concatenate(found) if found else row), taken["leaf"], taken["n"]], ["vec", "label", "leaf", "was", "n_was"])
+
+    while not large.isEmpty():
+        inside = at.join(large, ["label", "leaf"]).join(rows.select("vec", "embedding"), "vec")
+        share = F.pmod(F.xxhash64("vec", "leaf"), F.lit(1 << 20)) < SUB_SAMPLE / F.col("n") * (1 << 20)
+        models = inside.where(share).groupBy("label", "leaf").applyInArrow(fitted, f"label {label}, leaf long, cuts {cuts_type}")
+        models = materialize(models.where("size(cuts) > 0"), "leaf-splits")
+        moved = inside.join(models, ["label", "leaf"]).mapInArrow(placed_on, f"vec long, label {label}, leaf long, was long, n_was long")
+        moved = materialize(moved, "leaf-moves")
+        stay = at.join(models.select("label", "leaf"), ["label", "leaf"], "left_anti")
+        at = materialize(stay.unionByName(moved.select("vec", "label", "leaf")), "leaf-places")
+        sizes = moved.groupBy("label", "leaf").agg(F.count("*").alias("n"), F.first("n_was").alias("n_was"))
+        large = materialize(sizes.where((F.col("n") > forest.cell) & (F.col("n") < 0.9 * F.col("n_was"))).select("label", "leaf", "n"), "large-leaves")
+    # A vector has some leaves in every tree; their order is that of their numbers.
+    own = at.groupBy("vec").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+    return materialize(rows.join(own, "vec").select("vec", "label", "copies", "embedding", "leaves"), "vector-leaves")
+
+
+def _fitted_schema(table: pa.Table) -> pa.Schema:
+    return pa.schema([("label", table.schema.field("label").type), ("leaf", pa.int64()), ("cuts", pa.list_(pa.list_(pa.float64())))])
+
+
 def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as unit rows in double precision, and which rows are usable."""
     lists = column.to_pylist()
@@ -106,9 +217,13 @@ def _cell(forest: Forest, leaf: int, table: pa.Table, both: bool) -> pa.Table:
     places = table["leaves"].combine_chunks()
     of = np.repeat(np.arange(len(vec)), np.diff(places.offsets.to_numpy()))
     place = places.flatten().to_numpy()
-    names, column = np.unique(place[place < leaf], return_inverse=True)
-    earlier = np.zeros((len(vec), len(names)), np.float32)
-    earlier[of[place < leaf], column] = 1
+    of, place = of[place < leaf], place[place < leaf]
+    _, column, count = np.unique(place, return_inverse=True, return_counts=True)
+    # Only a leaf that two of them are in can have met a pair.
+    met = count > 1
+    earlier = np.zeros((len(vec), int(met.sum())), np.float32)
+    own = met[column]
+    earlier[of[own], (np.cumsum(met) - 1)[column[own]]] = 1
     side = table["side"].to_numpy() if both else np.zeros(len(vec), np.int64)
     rows = np.flatnonzero(side == 0)
     others = np.flatnonzero(side == 1) if both else rows
@@ -202,7 +317,7 @@ def _links(points: DataFrame, most: int, total: int, forest: Forest) -> DataFram
 
     label, kind = (points.schema[c].dataType.simpleString() for c in ("label", "embedding"))
     placed = materialize(points.select("vec", "label", "copies", "embedding").mapInArrow(place, f"vec long, label {label}, copies long, embedding {kind}, leaves array<long>"), "vector-leaves")
-    each = placed.withColumn("leaf", F.explode("leaves"))
+    each = split_on(placed, label, kind, forest).withColumn("leaf", F.explode("leaves"))
     sizes = each.groupBy("label", "leaf").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / forest.cell).cast("int"))
     sizes = materialize(sizes.where("n > 1").drop("n"), "leaf-sizes")
     each = each.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["label", "leaf"])
