@@ -36,8 +36,9 @@ from txnscore.session import materialize
 
 CHUNK = 1 << 20
 FEW_KEYS = 1_000_000
-# Tokens of more classes than PAIRED are compared in blocks of BLOCK classes, not as pairs.
-PAIRED, BLOCK = 32, 1024
+# Tokens of more classes than PAIRED are compared in blocks of about BLOCK classes or
+# BLOCK_BYTES of sets, not as pairs.
+PAIRED, BLOCK, BLOCK_BYTES = 32, 1024, 8 << 20
 ORDERS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1))
 
 
@@ -278,8 +279,10 @@ def _crowds(near: Near, groups: DataFrame, sets: DataFrame) -> DataFrame:
     crowds = shared.components(groups.join(hubs, "token").select(F.col("class").alias("a"), "b"), "crowds")
     rows = groups.select("class", "root").distinct().join(crowds.toDF("class", "crowd"), "class", "left")
     rows = materialize(rows.withColumn("crowd", F.coalesce("crowd", "class")), "crowds")
-    sizes = rows.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sets.select("class", "shingles"), "class")
+    rows = rows.join(sets.select("class", "n", "shingles"), "class")
+    # A shingle is eight bytes: long texts make more and smaller blocks.
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).cast("int")
+    sizes = rows.groupBy("crowd").agg(blocks.alias("blocks"))
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
