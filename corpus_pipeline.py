@@ -33,33 +33,50 @@ def stage(run: Stage) -> Stage:
 
 @stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of good quality, by a network fitted on the labelled ones among them."""
+    """Documents of good quality, by a network fitted on the labelled ones among them.
+
+    NULL and empty texts are one padded chunk and judged like others; rows that agree in
+    their text are judged alike. Without a usable label every score is one half, and all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit(docs, labels))
 
 
 @stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
+    """One document of every group of near duplicates, that of the smallest id (NULL ids last).
+
+    Documents without words (NULL, empty, blank) are in no group and all stay; of rows that
+    agree in id and text one stays.
+    """
     return jaccard.keep_one(docs)
 
 
 @stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that carry no benchmark item."""
+    """Documents that carry no benchmark item; NULL and empty texts stay, an empty benchmark takes none."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked, with the length that leaves."""
+    """All documents, secrets masked, with the length that leaves.
+
+    A NULL text stays NULL; ``n_chars`` follows where it is a number, NULL stays NULL.
+    """
     clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType))
 
 
 @stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document that is left."""
+    """How often the mix takes each document that is left.
+
+    NULL and empty texts have no words: none are taken. A NULL source is a source of its
+    own. Rows of one source, size and id are alike, so which of them is taken doesn't matter.
+    """
     return mix.plan(docs)
 
 
