@@ -654,8 +654,8 @@ def score_batch(v: Views) -> DataFrame:
 def forest_walk(v: Views) -> DataFrame:
     """Every transaction's probability against a walk of the forest's node table, and its flag against both."""
     model = _trained(v.spark, v.sf_dir).model
-    rows = ml.score(_feature_rows(v).select("transaction_id", *MODEL_FEATURES), model)
-    found = walk(rows, node_table(v.spark, model), model)
+    rows = materialize(_feature_rows(v).select("transaction_id", *MODEL_FEATURES), "features")
+    found = ml.score(rows, model).join(walk(rows, node_table(v.spark, model), model), "transaction_id")
     close = F.abs(F.col("walked_probability") - F.col("fraud_probability")) < 1e-9
     flag = (F.col("is_fraud") == 1) == (F.col("walked_probability") >= DEFAULTS.fraud_threshold)
     near = F.abs(F.col("walked_probability") - DEFAULTS.fraud_threshold) < 1e-9

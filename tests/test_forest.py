@@ -64,9 +64,9 @@ def test_duckdb_walks_the_trees_to_the_same_probabilities(spark, scored):
 
 def test_walk_in_spark_agrees(spark, scored):
     model, rows, _ = scored
-    found = walk(rows, node_table(spark, model), model)
+    found = rows.join(walk(rows, node_table(spark, model), model), "transaction_id")
+    assert found.count() == 1000
     assert found.filter("abs(walked_probability - fraud_probability) > 1e-12").count() == 0
-    assert found.columns == [*rows.columns, "walked_probability"]
 
 
 def test_nodes_are_whole_trees(spark, scored):

@@ -10,13 +10,14 @@ another one, in plain SQL of another engine, against the model.
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnscore.functions import features as fx
 from txnscore.ml.model import ScoringModel, scaled_numbers
 from txnscore.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from txnscore.session import materialize
 
 NODES = T.StructType(
     [
@@ -80,35 +81,25 @@ def _collect(root, tree: int, slots: list[str], starts: list[tuple[int, str]], r
         waiting += [(node.leftChild(), given - 2), (node.rightChild(), given - 1)]
 
 
-def walk(rows: DataFrame, nodes: DataFrame, model: ScoringModel, name: str = "walked_probability") -> DataFrame:
-    """``rows`` (raw features) with the mean over all trees of the share in the leaf each row falls into.
+def walk(rows: DataFrame, nodes: DataFrame, model: ScoringModel, key: str = "transaction_id") -> DataFrame:
+    """``key`` and ``walked_probability``: the mean over all trees of the share in the leaf a row falls into.
 
-    The trees are one value of arrays, bounded by the forest's settings; every row follows
-    them in built-in functions, without a join per level.
+    A row enters every tree at its root and takes one step per level, a join with the
+    nodes; their number is bounded by the forest's settings, so they are broadcast.
     """
-    categories = model.categories.select("feature", "place", F.col("category"))
-    asked = nodes.filter(F.col("place").isNotNull()).select("tree", "node", "feature", "place")
-    named = asked.join(categories, ["feature", "place"]).select("tree", "node", "category")
-    full = nodes.join(named, ["tree", "node"], "left")
-    number = F.create_map(*[x for k, c in enumerate((*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)) for x in (F.lit(c), F.lit(k))])[F.col("feature")]
-    one = F.struct("node", number.alias("test"), "threshold", "category", "left", "right", "fraud_share")
-    trees = full.groupBy("tree").agg(F.array_sort(F.collect_list(one)).alias("nodes"))
-    forest = trees.agg(F.collect_list("nodes")).scalar()
-    values = F.array(*[x for x in scaled_numbers(model.scaler).values()])
+    named = model.categories.select("feature", F.col("place").cast("int").alias("place"), "category")
+    tests = {c: F.lit(k) for k, c in enumerate((*NUMERIC_FEATURES, *CATEGORICAL_FEATURES))}
+    number = F.create_map(*[x for c, k in tests.items() for x in (F.lit(c), k)])[F.col("feature")]
+    full = nodes.join(named, ["feature", "place"], "left").withColumn("test", number)
+    full = materialize(full.select("tree", "node", "test", "threshold", "category", "left", "right", "fraud_share"), "nodes")
+    forest, first = forest_of(model), len(NUMERIC_FEATURES)
+    values = F.array(*scaled_numbers(model.scaler).values())
     texts = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit(fx.UNKNOWN)) for c in CATEGORICAL_FEATURES])
-    depth = forest_of(model).getMaxDepth()
-    levels, first = F.sequence(F.lit(1), F.lit(max(1, depth))), len(NUMERIC_FEATURES)
-
-    def leaf(tree: Column) -> Column:
-        def step(at: Column, _: Column) -> Column:
-            node = tree[at]
-            holds = F.when(node["category"].isNull(), F.col("x_values")[node["test"]] <= node["threshold"]).otherwise(
-                F.col("x_texts")[node["test"] - first] != node["category"]
-            )
-            return F.when(node["left"].isNull(), at).when(holds, node["left"]).otherwise(node["right"])
-
-        return tree[F.aggregate(levels, F.lit(0), step)]["fraud_share"]
-
-    held = rows.withColumns({"x_values": values, "x_texts": texts, "x_forest": forest})
-    total = F.aggregate(F.transform("x_forest", leaf), F.lit(0.0), lambda a, x: a + x)
-    return held.withColumn(name, total / F.size("x_forest")).drop("x_values", "x_texts", "x_forest")
+    trees = F.explode(F.sequence(F.lit(0), F.lit(forest.getNumTrees - 1)))
+    at = rows.select(key, values.alias("x"), texts.alias("t"), trees.alias("tree"), F.lit(0).alias("node"))
+    holds = F.when(F.col("category").isNull(), F.get("x", F.col("test")) <= F.col("threshold")).otherwise(F.get("t", F.col("test") - first) != F.col("category"))
+    step = F.when(F.col("left").isNull(), F.col("node")).when(holds, F.col("left")).otherwise(F.col("right"))
+    for _ in range(forest.getMaxDepth()):
+        at = at.join(F.broadcast(full), ["tree", "node"]).select(key, "x", "t", "tree", step.alias("node"))
+    leaves = at.join(F.broadcast(full.select("tree", "node", "fraud_share")), ["tree", "node"])
+    return leaves.groupBy(key).agg(F.avg("fraud_share").alias("walked_probability"))
