@@ -168,6 +168,14 @@ _put(
  UNION ALL SELECT 'kept', count(*) FROM run_log""",
 )
 
+_put(
+    "run_log_expiry",
+    ["run_log"],
+    """, early AS (SELECT * FROM run_log WHERE seq % 3 < 2),
+ kept AS (SELECT run_id FROM early GROUP BY 1 HAVING max(seq) >= (SELECT max(seq) FROM early) - 100)
+ SELECT run_id, seq, pattern, complete, transactions FROM run_log WHERE seq % 3 = 2 OR run_id IN (SELECT run_id FROM kept)""",
+)
+
 # --- scalar functions ------------------------------------------------------
 
 _put("parse_timestamp", ["time_texts"], f"SELECT event_id, {_epoch('raw')} AS epoch FROM time_texts")

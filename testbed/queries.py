@@ -24,11 +24,12 @@ from txnscore.plans import latency, results, runstats
 from txnscore.plans import profiles as prof
 from txnscore.plans import serving as srv
 from txnscore.plans.labels import add_fraud_labels, fraud_scores, score_inputs, stratified_split
-from txnscore.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES, RAW_TRANSACTION, RESULT_MESSAGE
+from txnscore.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES, RAW_TRANSACTION, RESULT_MESSAGE, RUN_CHANGE
 from txnscore.session import fresh_path, materialize, prepare
 from txnscore.sources import readers, sinks
 from txnscore.sources.batches import BatchTable
 from txnscore.sources.stored import read_by_user
+from txnscore.sources.versions import VersionedLog
 from txnscore.streaming.score import ScoringJob, scored_table
 from txnscore.streaming.tail import drain
 
@@ -226,6 +227,26 @@ def purge(v: Views) -> DataFrame:
     return gone.unionByName(left).unionByName(kept)
 
 
+@query
+def run_log_expiry(v: Views) -> DataFrame:
+    """Old runs leave a log that is rewritten while changes of others, and of theirs, arrive."""
+    log = VersionedLog(v.spark, fresh_path(v.spark, "log"), RUN_CHANGE)
+    changes = v.run_log.withColumn("fraud_percentage", F.lit(None).cast("double")).select(*RUN_CHANGE.names)
+    part = lambda k: log.append(changes.filter(F.col("seq") % 3 == k))
+    part(0)
+    part(1)
+
+    def recent(rows: DataFrame) -> DataFrame:
+        part(2)
+        last = rows.groupBy("run_id").agg(F.max("seq").alias("last"))
+        kept = last.filter(F.col("last") >= rows.agg(F.max("seq")).scalar() - 100)
+        return rows.join(kept.select("run_id"), "run_id", "left_semi")
+
+    log.rewrite(recent)
+    log.vacuum(versions=1)
+    return log.rows().select("run_id", "seq", "pattern", "complete", "transactions")
+
+
 @query
 def retention(v: Views) -> DataFrame:
     rows = v.results
