@@ -23,7 +23,7 @@ from txnscore.plans import history as hist
 from txnscore.plans import latency, results, runstats
 from txnscore.plans import profiles as prof
 from txnscore.plans import serving as srv
-from txnscore.plans.labels import add_fraud_labels, fraud_scores, score_inputs, stratified_split
+from txnscore.plans.labels import add_fraud_labels, fraud_scores, score_inputs, score_scale, stratified_split
 from txnscore.schemas import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES, RAW_TRANSACTION, RESULT_MESSAGE, RUN_CHANGE
 from txnscore.session import fresh_path, materialize, prepare
 from txnscore.sources import readers, sinks
@@ -399,7 +399,7 @@ def search_txns(v: Views) -> DataFrame:
 @query
 def fraud_score(v: Views) -> DataFrame:
     inputs = score_inputs(hist.offline_features(v.txns))
-    return fraud_scores(inputs, inputs=inputs).select("transaction_id", F.round("fraud_score", 6).alias("fraud_score"))
+    return fraud_scores(inputs, scale=score_scale(inputs)).select("transaction_id", F.round("fraud_score", 6).alias("fraud_score"))
 
 
 @query

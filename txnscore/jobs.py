@@ -68,7 +68,7 @@ def build_training(spark: SparkSession, root: str, settings: Settings = DEFAULTS
     """Features and labels of the whole history, as the ``training`` table."""
     prepare_session(spark)
     features = offline_features(spark.read.parquet(f"{root}/history"))
-    labelled = add_fraud_labels(features, settings.fraud_label_ratio, settings.random_state)
+    labelled = add_fraud_labels(materialize(features, "features"), settings.fraud_label_ratio, settings.random_state)
     sinks.save_table(labelled, f"{root}/training")
     return spark.read.parquet(f"{root}/training")
 
