@@ -89,3 +89,25 @@ def test_the_scaler_table_is_what_the_model_uses(spark, scored):
     moved = ml.ScoringModel(model.stages, model.categories, model.scaler.withColumn("mean", F.col("mean") + 5 * F.col("std")))
     again = ml.probability(rows.drop("fraud_probability"), moved).select("transaction_id", F.col("fraud_probability").alias("p"))
     assert again.join(rows, "transaction_id").filter("abs(p - fraud_probability) > 0.01").count() > 100
+
+
+def test_training_rows_are_dealt_evenly_whatever_the_files(spark, small, monkeypatch):
+    """A stored table with one row group is one task to a scan, but not to the forest."""
+    from pyspark.ml import Pipeline
+    from pyspark.sql import functions as F
+
+    from testbed.views import spark_view
+    from txnscore import session
+
+    monkeypatch.setattr(session, "SPREAD_LEAST", 100)
+    labelled = add_fraud_labels(materialize(offline_features(spark_view(spark, small, "txns")).coalesce(1), "features"))
+    sizes, fit = [], Pipeline.fit
+
+    def seen(self, rows, *args):
+        sizes.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+        return fit(self, rows, *args)
+
+    monkeypatch.setattr(Pipeline, "fit", seen)
+    trained = ml.train(materialize(labelled.coalesce(1), "training"), Settings(num_trees=2, max_depth=2))
+    assert sum(sizes) == 800 and len(sizes) >= 8 and max(sizes) <= 2 * 800 / len(sizes)
+    assert trained.test.count() == 200
