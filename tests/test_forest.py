@@ -91,6 +91,25 @@ def test_the_scaler_table_is_what_the_model_uses(spark, scored):
     assert again.join(rows, "transaction_id").filter("abs(p - fraud_probability) > 0.01").count() > 100
 
 
+def test_walk_makes_no_row_for_every_tree(spark, scored):
+    model, rows, _ = scored
+    plan = walk(rows, node_table(spark, model), model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+
+
+def test_walk_keeps_one_row_per_key_and_takes_odd_values(spark, scored):
+    """Unknown categories, missing numbers and repeated ids walk as the model scores them."""
+    from pyspark.sql import functions as F
+
+    model, rows, _ = scored
+    odd = rows.limit(40).withColumns({"merchant_id": F.lit("nowhere"), "card_provider": F.lit(None).cast("string"), "amount": F.lit(float("nan"))})
+    odd = materialize(odd.drop("fraud_probability"), "odd")
+    walked = {r[0]: r[1] for r in walk(odd.unionAll(odd), node_table(spark, model), model).collect()}
+    given = {r["transaction_id"]: r["fraud_probability"] for r in ml.probability(odd, model).collect()}
+    assert len(walked) == 40 and walked.keys() == given.keys()
+    assert max(abs(walked[k] - given[k]) for k in given) < 1e-12
+
+
 def test_training_rows_are_dealt_evenly_whatever_the_files(spark, small, monkeypatch):
     """A stored table with one row group is one task to a scan, but not to the forest."""
     from pyspark.ml import Pipeline

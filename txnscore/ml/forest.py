@@ -3,22 +3,25 @@
 The node table says what the forest does in plain columns, so that any engine can score
 with it and a score can be explained: a node tests one numeric feature against a
 threshold, or asks for one category of a categorical feature; a leaf has the votes of
-its training rows. ``walk`` is such a scorer in built-in functions; the tests hold
-another one, in plain SQL of another engine, against the model.
+its training rows. ``walk`` is such a scorer in arrays, a batch of rows at a time; the
+tests hold another one, in plain SQL of another engine, against the model.
 """
 
-from __future__ import annotations
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnscore.functions import features as fx
 from txnscore.ml.model import ScoringModel, scaled_numbers
 from txnscore.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from txnscore.session import materialize
 
+# Rows that walk together: their places in all trees stay in a core's cache.
+WALKED = 1_000
 NODES = T.StructType(
     [
         T.StructField("tree", T.IntegerType()),
@@ -84,22 +87,50 @@ def _collect(root, tree: int, slots: list[str], starts: list[tuple[int, str]], r
 def walk(rows: DataFrame, nodes: DataFrame, model: ScoringModel, key: str = "transaction_id") -> DataFrame:
     """``key`` and ``walked_probability``: the mean over all trees of the share in the leaf a row falls into.
 
-    A row enters every tree at its root and takes one step per level, a join with the
-    nodes; their number is bounded by the forest's settings, so they are broadcast.
+    A row walks all trees inside its task, so no (row, tree) pairs are formed. The node
+    table goes along with the tasks; its size is bounded by the forest's settings.
     """
     named = model.categories.select("feature", F.col("place").cast("int").alias("place"), "category")
-    tests = {c: F.lit(k) for k, c in enumerate((*NUMERIC_FEATURES, *CATEGORICAL_FEATURES))}
-    number = F.create_map(*[x for c, k in tests.items() for x in (F.lit(c), k)])[F.col("feature")]
-    full = nodes.join(named, ["feature", "place"], "left").withColumn("test", number)
-    full = materialize(full.select("tree", "node", "test", "threshold", "category", "left", "right", "fraud_share"), "nodes")
-    forest, first = forest_of(model), len(NUMERIC_FEATURES)
-    values = F.array(*scaled_numbers(model.scaler).values())
-    texts = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit(fx.UNKNOWN)) for c in CATEGORICAL_FEATURES])
-    trees = F.explode(F.sequence(F.lit(0), F.lit(forest.getNumTrees - 1)))
-    at = rows.select(key, values.alias("x"), texts.alias("t"), trees.alias("tree"), F.lit(0).alias("node"))
-    holds = F.when(F.col("category").isNull(), F.get("x", F.col("test")) <= F.col("threshold")).otherwise(F.get("t", F.col("test") - first) != F.col("category"))
-    step = F.when(F.col("left").isNull(), F.col("node")).when(holds, F.col("left")).otherwise(F.col("right"))
-    for _ in range(forest.getMaxDepth()):
-        at = at.join(F.broadcast(full), ["tree", "node"]).select(key, "x", "t", "tree", step.alias("node"))
-    leaves = at.join(F.broadcast(full.select("tree", "node", "fraud_share")), ["tree", "node"])
-    return leaves.groupBy(key).agg(F.avg("fraud_share").alias("walked_probability"))
+    table = nodes.join(F.broadcast(named), ["feature", "place"], "left").toPandas()
+    share = _walker(table, forest_of(model).getMaxDepth())
+    numbers = F.array(*scaled_numbers(model.scaler).values())
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit(fx.UNKNOWN)) for c in CATEGORICAL_FEATURES]
+    return rows.select(key, share(numbers, *texts).alias("walked_probability")).groupBy(key).agg(F.avg("walked_probability").alias("walked_probability"))
+
+
+def _walker(table: pd.DataFrame, depth: int) -> Callable[..., Column]:
+    """A column function of the scaled numbers and the categories: a row's mean share over all trees.
+
+    A category is compared by its number among those that nodes ask for, -1 for any other.
+    """
+    table = table.sort_values(["tree", "node"], ignore_index=True)
+    begins = table.groupby("tree")["tree"].size().cumsum().shift(fill_value=0)
+    begin = table["tree"].map(begins).to_numpy()
+    leaf = table["left"].isna().to_numpy()
+    own = np.arange(len(table))
+    left, right = (np.where(leaf, own, table[c].fillna(0).to_numpy() + begin).astype(np.int32) for c in ("left", "right"))
+    asked = [{text: i for i, text in enumerate(table["category"][table["feature"] == c].dropna().unique())} for c in CATEGORICAL_FEATURES]
+    places = {c: i for i, c in enumerate((*NUMERIC_FEATURES, *CATEGORICAL_FEATURES))}
+    test = table["feature"].map(places).fillna(0).to_numpy().astype(np.int32)
+    first = len(NUMERIC_FEATURES)
+    is_text = ~leaf & (test >= first)
+    edge = table["threshold"].fillna(0.0).to_numpy().copy()
+    # A category that the table doesn't have is asked for by no row: -2 is no number of any.
+    edge[is_text] = [asked[t - first].get(text, -2) for t, text in zip(test[is_text], table["category"][is_text])]
+    shares, roots = table["fraud_share"].fillna(0.0).to_numpy(), begins.to_numpy(dtype=np.int32)
+
+    @F.pandas_udf("double")
+    def share(numbers: pd.Series, *texts: pd.Series) -> pd.Series:
+        found = [np.empty(0)]
+        for start in range(0, len(numbers), WALKED):
+            part = slice(start, start + WALKED)
+            codes = [t.iloc[part].map(known).fillna(-1).to_numpy(dtype=float) for t, known in zip(texts, asked)]
+            x = np.column_stack([np.stack(numbers.iloc[part].to_numpy()), *codes])
+            row, at = np.arange(len(x))[:, None], np.tile(roots, (len(x), 1))
+            for _ in range(depth):
+                value, limit = x[row, test[at]], edge[at]
+                at = np.where(np.where(is_text[at], value != limit, value <= limit), left[at], right[at])
+            found.append(shares[at].mean(axis=1))
+        return pd.Series(np.concatenate(found))
+
+    return share
