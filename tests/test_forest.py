@@ -1,5 +1,7 @@
 """The node table says what the model does: DuckDB walks it, row by row and tree by tree."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -104,6 +106,26 @@ def test_walk_keeps_one_row_per_key_and_takes_odd_values(spark, scored):
     assert max(abs(walked[k] - given[k]) for k in given) < 1e-12
 
 
+def test_a_walked_row_stays_one_row(spark, scored):
+    """It was made a hundred rows, each joined with the nodes once a level; nor do the trees go along as its values."""
+    model, rows, _ = scored
+    text = walk(rows, node_table(spark, model), model)._jdf.queryExecution().executedPlan().toString()
+    upper = text.split("Subquery")[0]
+    assert "transform(" in upper and "Generate" not in text
+    assert not re.search(r"Join|held#", upper)
+
+
+def test_node_table_reads_the_nodes_at_once(spark, scored, monkeypatch):
+    """Not one by one over the bridge to the JVM."""
+    from pyspark.ml.classification import DecisionTreeClassificationModel
+
+    asked = []
+    call = DecisionTreeClassificationModel._call_java
+    monkeypatch.setattr(DecisionTreeClassificationModel, "_call_java", lambda self, *args: asked.append(args) or call(self, *args))
+    assert node_table(spark, scored[0]).groupBy("tree").count().count() == 12
+    assert asked == []
+
+
 def test_training_rows_are_dealt_evenly_whatever_the_files(spark, small, monkeypatch):
     """A stored table with one row group is one task to a scan, but not to the forest."""
     from pyspark.ml import Pipeline
