@@ -146,3 +146,44 @@ def test_training_rows_are_dealt_evenly_whatever_the_files(spark, small, monkeyp
     trained = ml.train(materialize(labelled.coalesce(1), "training"), Settings(num_trees=2, max_depth=2))
     assert sum(sizes) == 800 and len(sizes) >= 8 and max(sizes) <= 2 * 800 / len(sizes)
     assert trained.test.count() == 200
+
+
+def test_rows_of_a_task_are_fitted_in_the_order_of_their_values(spark, small, monkeypatch):
+    """Rows next to each other then fall into the same nodes; they came in any order before."""
+    from pyspark.ml import Pipeline
+    from pyspark.sql import functions as F
+
+    from testbed.views import spark_view
+
+    labelled = materialize(add_fraud_labels(materialize(offline_features(spark_view(spark, small, "txns")), "features")), "training")
+    tasks, fit = {}, Pipeline.fit
+
+    def seen(self, rows, *args):
+        columns = [*[f"{c}_index" for c in CATEGORICAL_FEATURES], *[f"{c}_scaled" for c in NUMERIC_FEATURES]]
+        for r in rows.withColumn("task", F.spark_partition_id()).collect():
+            tasks.setdefault(r["task"], []).append(tuple(r[c] for c in columns))
+        return fit(self, rows, *args)
+
+    monkeypatch.setattr(Pipeline, "fit", seen)
+    ml.train(labelled, Settings(num_trees=2, max_depth=2))
+    assert sum(map(len, tasks.values())) == 800
+    assert all(rows == sorted(rows) for rows in tasks.values())
+
+
+def test_versions_score_features_that_are_made_once(spark, small, monkeypatch):
+    """Every version worked them out again, as did the count of its rows."""
+    from types import SimpleNamespace
+
+    from testbed import queries
+
+    model, made, make = SimpleNamespace(), [], queries._feature_rows
+    monkeypatch.setattr(queries, "_feature_rows", lambda v: made.append(make(v)) or made[-1])
+    monkeypatch.setattr(queries, "_trained", lambda *_: SimpleNamespace(model=model, metrics=None))
+    monkeypatch.setattr(queries.ModelRegistry, "save", lambda *_: None)
+    monkeypatch.setattr(queries.ModelRegistry, "load", lambda *_: model)
+    versions = spark.createDataFrame([("v1", "a", "b", None), ("v2", "a", "c", "{}")], "version STRING, name STRING, description STRING, metrics STRING")
+    monkeypatch.setattr(queries.ModelRegistry, "versions", lambda *_: versions)
+    monkeypatch.setattr(queries.ml, "score", lambda rows, _: rows.withColumn("fraud_probability", rows["amount"] * 0))
+    found = queries.QUERIES["model_versions"](spark, small)
+    assert "events.parquet" not in found._jdf.queryExecution().optimizedPlan().toString() + str(found.inputFiles())
+    assert len(made) == 1 and [r["rows_scored"] for r in found.collect()] == [1000, 1000]
