@@ -187,3 +187,27 @@ def test_versions_score_features_that_are_made_once(spark, small, monkeypatch):
     found = queries.QUERIES["model_versions"](spark, small)
     assert "events.parquet" not in found._jdf.queryExecution().optimizedPlan().toString() + str(found.inputFiles())
     assert len(made) == 1 and [r["rows_scored"] for r in found.collect()] == [1000, 1000]
+
+
+def test_a_batch_is_dealt_evenly_before_the_forest(spark, small, monkeypatch):
+    """It was scored in the tasks the joins left, in one stage with them."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from testbed import queries
+    from txnscore import session
+    from txnscore.plans.results import flag_predictions
+    from txnscore.streaming import score as streaming
+
+    sizes = []
+
+    def scored(rows, model, threshold):
+        sizes.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+        return flag_predictions(rows.withColumn("fraud_probability", F.lit(0.9)), threshold)
+
+    monkeypatch.setattr(session, "SPREAD_LEAST", 100)
+    monkeypatch.setattr(streaming, "score", scored)
+    monkeypatch.setattr(queries, "_trained", lambda *_: SimpleNamespace(model=None))
+    assert queries.QUERIES["score_batch"](spark, small).filter("flag_fits").count() == 1000
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 110
